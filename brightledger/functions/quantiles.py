@@ -137,13 +137,22 @@ def _step(s: _Wanted, bracket, tally) -> None:
         s.low, s.size = hi, s.size - taken
 
 
-def quantiles_by_class(df: DataFrame, label: Column, classes: list, value: Column, probs: list[float], batch: int = 40) -> dict:
-    """Quantiles of ``value`` for each of the given classes."""
-    out = {}
-    for start in range(0, len(classes), batch):
-        part = classes[start:start + batch]
-        got = quantiles(df, {str(i): F.when(label == F.lit(c), value) for i, c in enumerate(part)}, probs)
-        out.update({c: got[str(i)] for i, c in enumerate(part)})
+def quantiles_by_class(df: DataFrame, label: Column, value: Column, probs: list[float], class_rows: int = BUFFER_VALUES, batch: int = 40) -> DataFrame:
+    """(class, q array): exact quantiles of ``value`` inside every class.
+
+    Classes up to ``class_rows`` rows use one grouped ``percentile``; larger ones, of which there can be only
+    few, are narrowed like whole columns.
+    """
+    pairs = df.select(label.alias("class"), value.cast("double").alias("v")).where("class is not null and v is not null")
+    large = [r[0] for r in pairs.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > class_rows).select("class").collect()]
+    rest = pairs.where(~F.col("class").isin(large)) if large else pairs
+    out = rest.groupBy("class").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q"))
+    for start in range(0, len(large), batch):
+        part = large[start:start + batch]
+        got = quantiles(pairs, {str(i): F.when(F.col("class") == F.lit(c), F.col("v")) for i, c in enumerate(part)}, probs)
+        kind = pairs.schema["class"].dataType.simpleString()
+        rows = [(c, got[str(i)]) for i, c in enumerate(part)]
+        out = out.unionByName(df.sparkSession.createDataFrame(rows, f"class {kind}, q array<double>"))
     return out
 
 

@@ -62,3 +62,57 @@ def hash_positions(df: DataFrame, group: list[str], digest: Column, out: str, ti
         .withColumn(out, (F.col("_before") + F.col("_row") - 1).cast("long"))
         .drop("_digest", "_bucket", "_row", "_before", "_o_bucket", *[f"_o_{g}" for g in group])
     )
+
+
+def ranked_counts(counts: DataFrame, value: str, n: str, cuts: list[float]) -> DataFrame:
+    """Adds ``avg_rank`` (1-based, ties share their mean) to a table of distinct numeric values and counts.
+
+    ``cuts`` split the value range; cumulative counts run inside one slice and the slices before it add a
+    bounded broadcast offset.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    inner = sorted(set(c for c in cuts if c is not None))
+    if not inner:
+        w = W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        ahead = F.coalesce(F.sum(n).over(w), F.lit(0))
+        return counts.withColumn("avg_rank", ahead + (F.col(n) + 1) / 2.0)
+    splits = [float("-inf"), *inner, float("inf")]
+    sliced = Bucketizer(splits=splits, inputCol=value, outputCol="_slice").transform(counts)
+    sums = sliced.groupBy("_slice").agg(F.sum(n).alias("_in"))
+    offsets = sums.select("_slice", F.coalesce(F.sum("_in").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    w = W.partitionBy("_slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum(n).over(w), F.lit(0))
+    return (
+        sliced.withColumn("_ahead", ahead).join(F.broadcast(offsets), "_slice")
+        .withColumn("avg_rank", F.col("_before") + F.col("_ahead") + (F.col(n) + 1) / 2.0)
+        .drop("_slice", "_ahead", "_before")
+    )
+
+
+def slice_cuts(df: DataFrame, columns: dict[str, Column], rows: int, per_slice: int = 1_000_000) -> dict[str, list[float]]:
+    """Values that cut each column into slices of about ``per_slice`` rows; none for small tables."""
+    slices = min(1000, rows // per_slice)
+    if slices < 2:
+        return {c: [] for c in columns}
+    at = [i / slices for i in range(1, slices)]
+    row = df.agg(*[F.percentile_approx(x, F.array(*map(F.lit, at)), 10_000).alias(f"c{i}") for i, x in enumerate(columns.values())]).first()
+    return {c: list(row[i] or []) for i, c in enumerate(columns)}
+
+
+def average_ranks(df: DataFrame, columns: list[str], rows: int, per_slice: int = 1_000_000) -> DataFrame:
+    """Replaces each (non-null, numeric) column by its average rank.
+
+    Ranks come from value counts, so ties are combined before any sort; they return to the rows by a join in
+    which the few very frequent values are salted.
+    """
+    from .joins import frequent_values, lookup_join
+
+    cuts = slice_cuts(df, {c: F.col(c) for c in columns}, rows, per_slice)
+    out = df
+    for c in columns:
+        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+        ranks = ranked_counts(counts, c, "_n", cuts[c]).select(c, F.col("avg_rank").alias(f"_rank_{c}"))
+        hot = frequent_values(counts, c, "_n", rows) if rows > per_slice else []
+        out = lookup_join(out, ranks, c, hot)
+    return out.select(*[F.col(f"_rank_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])

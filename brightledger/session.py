@@ -25,6 +25,7 @@ def local_session(cores: str | int = "*", memory: str = "8g", name: str = "brigh
         "spark.sql.shuffle.partitions": str(os.cpu_count() or 8),
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",
         **extra,

@@ -23,7 +23,7 @@ def _cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6) + 0.0
+        return round(v, 7) + 0.0
     if hasattr(v, "isoformat"):
         return v.isoformat()
     if isinstance(v, dict):
