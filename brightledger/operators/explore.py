@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -14,14 +13,13 @@ from ..functions.columns import (
     CATEGORICAL, DATETIME, NUMERICAL, as_moment, as_number, column_kinds, is_number, literal_rows, ref, rows_table,
 )
 from ..functions.counts import count_summary, value_counts
-from ..functions.moments import pearson, round4, sample_kurtosis, sample_skewness
+from ..functions.moments import pair_correlations, pearson, round4, sample_kurtosis, sample_skewness
 from ..functions.quantiles import quantiles, quantiles_by_class
 from ..functions.ranking import average_ranks
 from .profile import cell_summary, duplicate_summary, missing_by_column
 
 IQR_FACTOR, SIGMA = 1.5, 3.0
 TOP_PAIRS, TOP_CATEGORIES = 15, 10
-PAIRS_PER_JOB = 120
 TREND_COLUMNS = 3
 
 
@@ -85,19 +83,8 @@ def _complete_rows(df: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
     return view.na.fill(0.0), view.count()
 
 
-def _pair_values(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
-    """Correlation of every pair; pairs are computed together, a bounded number per scan."""
-    pairs = list(combinations(columns, 2))
-    out = {}
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        part = pairs[start:start + PAIRS_PER_JOB]
-        row = df.agg(*[pearson(ref(a), ref(b)).alias(f"p{i}") for i, (a, b) in enumerate(part)]).first()
-        out.update({p: row[i] for i, p in enumerate(part)})
-    return out
-
-
 def _matrix(df: DataFrame, columns: list[str], spark, name: str) -> DataFrame:
-    found = _pair_values(df, columns)
+    found = pair_correlations(df, columns)
     spreads = df.agg(*[F.stddev_pop(ref(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
     varies = {c: bool(spreads[i]) for i, c in enumerate(columns)}
     rows = []
