@@ -72,7 +72,7 @@ def _gram_correlations(df, columns, pairs):
         square.append(F.coalesce(z * z, F.lit(0.0)).alias(f"q{i}"))
     cells = df.select(*present, *value, *square)
     vectors = VectorAssembler(inputCols=cells.columns, outputCol="v").transform(cells).select("v")
-    head = vectors.select(Summarizer.metrics("count", "mean", "variance").summary("v").alias("s")).select("s.count", "s.mean", "s.variance").first()
+    head = vectors.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).select("s.count", "s.mean", "s.variance").first()
     n = head[0]
     if n < 2:
         return {p: None for p in pairs}
