@@ -83,7 +83,7 @@ def _run(s, d, models, **extra):
 
 
 def _boosted(s, d):
-    return _forecast_rows(_run(s, d, ("boosted",))["forecast"])
+    return _forecast_rows(_run(s, d, ("boosted",), trees=40)["forecast"])
 
 
 def _summary(s, d):
@@ -94,9 +94,9 @@ QUERIES = {
     "series_clean": lambda s, d: S.clean_series(table(s, d, "events"), "ts", "value", ("event_type",)),
     "infer_frequency": lambda s, d: S.infer_frequency(_mixed_points(s, d)).select("series", "frequency", "points", "times"),
     "missing_steps": lambda s, d: S.missing_steps(_frequency(s, d)).select("series", "grid_steps", "missing_steps"),
-    "resample_interpolate": lambda s, d: _rounded(_grid(s, d), "value", places=3),
+    "resample_interpolate": lambda s, d: _rounded(_grid(s, d), "value", places=5),
     "calendar_features": lambda s, d: _grid(s, d).select("series", "ts", *S.calendar_columns()),
-    "lag_features": lambda s, d: _rounded(S.time_features(_grid(s, d)).select("series", "ts", "lag_1", "lag_2", "lag_7"), "lag_1", "lag_2", "lag_7", places=3),
+    "lag_features": lambda s, d: _rounded(S.time_features(_grid(s, d)).select("series", "ts", "lag_1", "lag_2", "lag_7"), "lag_1", "lag_2", "lag_7", places=5),
     "rolling_features": lambda s, d: _rounded(S.time_features(_grid(s, d)).select("series", "ts", "rolling_mean_7", "rolling_std_7"), "rolling_mean_7", "rolling_std_7", places=5),
     "chronological_split": lambda s, d: _split(s, d).select("series", "ts", "pos", "n_total", "n_train", "part"),
     "future_grid": _future,
@@ -127,10 +127,10 @@ ORACLES = {
     "infer_frequency": f"""WITH {_MIXED} SELECT series, CASE WHEN points = times AND starts AND months = times THEN 'MS' WHEN points = times AND g0 = g1 AND g0 = 86400 THEN 'D'
         WHEN mid <= 3600 THEN 'h' WHEN mid <= 172800 THEN 'D' WHEN mid <= 864000 THEN 'W' ELSE 'MS' END AS frequency, points, times FROM st""",
     "missing_steps": f"WITH {DAILY_SQL} SELECT series, date_diff('day', min(ts), max(ts)) + 1 AS grid_steps, greatest(date_diff('day', min(ts), max(ts)) + 1 - count(DISTINCT ts), 0) AS missing_steps FROM dl GROUP BY 1",
-    "resample_interpolate": f"WITH {GRID_SQL} SELECT series, ts, round(value, 3) AS value, observed FROM r",
+    "resample_interpolate": f"WITH {GRID_SQL} SELECT series, ts, round(value, 5) AS value, observed FROM r",
     "calendar_features": f"""WITH {GRID_SQL} SELECT series, ts, year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, day(ts)::INTEGER AS day, (isodow(ts) - 1)::INTEGER AS dayofweek,
         quarter(ts)::INTEGER AS quarter, CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend FROM r""",
-    "lag_features": f"WITH {FEATURE_SQL} SELECT series, ts, round(lag_1, 3) AS lag_1, round(lag_2, 3) AS lag_2, round(lag_7, 3) AS lag_7 FROM ft",
+    "lag_features": f"WITH {FEATURE_SQL} SELECT series, ts, round(lag_1, 5) AS lag_1, round(lag_2, 5) AS lag_2, round(lag_7, 5) AS lag_7 FROM ft",
     "rolling_features": f"WITH {FEATURE_SQL} SELECT series, ts, round(rolling_mean_7, 5) AS rolling_mean_7, round(rolling_std_7, 5) AS rolling_std_7 FROM ft",
     "chronological_split": f"WITH {SPLIT_SQL} SELECT series, ts, pos, n_total, n_train, {_PART} FROM s",
     "future_grid": f"WITH {GRID_SQL}, e AS (SELECT series, max(ts) AS b FROM r GROUP BY 1) SELECT series, i::INTEGER AS step, b + to_days(i::INTEGER) AS ts FROM e, (SELECT unnest(range(1, {HORIZON + 1})) AS i) z",
