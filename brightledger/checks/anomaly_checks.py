@@ -63,14 +63,14 @@ def _projection(s, d):
 _FILL = f"""d AS (SELECT item_key, quantity, price, discount, tax FROM {ITEMS_SQL} i), md AS (SELECT median(quantity) AS mq, median(price) AS mp, median(discount) AS md, median(tax) AS mt FROM d),
   x AS (SELECT item_key, coalesce(quantity, mq) AS quantity, coalesce(price, mp) AS price, coalesce(discount, md) AS discount, coalesce(tax, mt) AS tax FROM d, md)"""
 _Z = f"""{_FILL}, st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in FEATURES)} FROM x),
-  z AS (SELECT item_key, {', '.join(f'abs(({c} - m_{c}) / s_{c}) AS z_{c}' for c in FEATURES)} FROM x, st), zt AS (SELECT *, greatest({', '.join(f'z_{c}' for c in FEATURES)}) AS top FROM z),
+  z AS (SELECT x.*, {', '.join(f'abs(({c} - m_{c}) / s_{c}) AS z_{c}' for c in FEATURES)} FROM x, st), zt AS (SELECT *, greatest({', '.join(f'z_{c}' for c in FEATURES)}) AS top FROM z),
   zs AS (SELECT *, top > 3.0 AS zf, greatest(0.0::DOUBLE, least(1.0::DOUBLE, top / 6.0)) AS zsc FROM zt)"""
 _Q = f"""{_Z}, qt AS (SELECT {', '.join(f'quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.75) AS b_{c}' for c in FEATURES)} FROM x),
-  dv AS (SELECT item_key, greatest({', '.join(f'(greatest(0.0::DOUBLE, {c} - (b_{c} + 1.5::DOUBLE * (b_{c} - a_{c}))) + greatest(0.0::DOUBLE, (a_{c} - 1.5::DOUBLE * (b_{c} - a_{c})) - {c})) / (b_{c} - a_{c})' for c in FEATURES)}) AS dev FROM x, qt),
-  iq AS (SELECT item_key, dev > 0 AS qf, greatest(0.0::DOUBLE, least(1.0::DOUBLE, dev / 4.5::DOUBLE)) AS qsc FROM dv)"""
+  dv AS (SELECT zs.*, greatest({', '.join(f'(greatest(0.0::DOUBLE, {c} - (b_{c} + 1.5::DOUBLE * (b_{c} - a_{c}))) + greatest(0.0::DOUBLE, (a_{c} - 1.5::DOUBLE * (b_{c} - a_{c})) - {c})) / (b_{c} - a_{c})' for c in FEATURES)}) AS dev FROM zs, qt),
+  iq AS (SELECT item_key, zf, zsc, dev > 0 AS qf, greatest(0.0::DOUBLE, least(1.0::DOUBLE, dev / 4.5::DOUBLE)) AS qsc FROM dv)"""
 _SEV = "CASE WHEN zsc >= 0.85 THEN 'Critical' WHEN zsc >= 0.70 THEN 'High' WHEN zsc >= 0.50 THEN 'Medium' ELSE 'Low' END"
-_TOP = f"""{_Z}, l AS ({' UNION ALL '.join(f"SELECT item_key, '{c}' AS feature, z_{c} AS zv FROM zs WHERE zf" for c in FEATURES)}),
-  k AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY zv DESC, feature) AS rn FROM l)"""
+_SORTED = "list_sort([" + ", ".join(f"{{'a': -z_{c}, 'b': '{c}'}}" for c in FEATURES) + "])[1:3]"
+_TOP = f"""{_Z}, k AS (SELECT item_key, {_SORTED} AS top3 FROM zs WHERE zf)"""
 
 QUERIES = {
     "anomaly_fill": _fill,
@@ -92,11 +92,11 @@ ORACLES = {
     "zscore_matrix": f"WITH {_Z} SELECT item_key, {', '.join(f'round(z_{c}, 4) AS z_{c}' for c in FEATURES)} FROM z",
     "anomaly_zscore": f"WITH {_Z} SELECT item_key, zf AS is_anomaly, round(zsc, 4) AS anomaly_score FROM zs",
     "anomaly_iqr": f"WITH {_Q} SELECT item_key, qf AS is_anomaly, round(qsc, 4) AS anomaly_score FROM iq",
-    "anomaly_two_methods": f"""WITH {_Q}, m AS (SELECT zs.item_key, (zsc + qsc) / 2 AS sc, CAST(zf AS INTEGER) + CAST(qf AS INTEGER) AS votes FROM zs JOIN iq ON iq.item_key = zs.item_key)
+    "anomaly_two_methods": f"""WITH {_Q}, m AS (SELECT item_key, (zsc + qsc) / 2 AS sc, CAST(zf AS INTEGER) + CAST(qf AS INTEGER) AS votes FROM iq)
         SELECT item_key, votes >= 2 OR sc >= (SELECT quantile_cont(sc, 0.95) FROM m) AS is_anomaly, round(sc, 4) AS anomaly_score FROM m""",
     "anomaly_severity": f"WITH {_Z} SELECT item_key, {_SEV} AS severity FROM zs WHERE zf",
-    "anomaly_contributions": f"WITH {_TOP} SELECT item_key, string_agg(feature || '=' || printf('%.2f', round(zv, 3)), ';' ORDER BY rn) AS contributions FROM k WHERE rn <= 3 GROUP BY 1",
-    "anomaly_feature_ranking": f"""WITH {_TOP}, n AS (SELECT count(*) AS n FROM zs WHERE zf), g AS (SELECT feature, sum(round(zv, 3)) AS s FROM k WHERE rn <= 3 GROUP BY 1)
+    "anomaly_contributions": f"WITH {_TOP} SELECT item_key, list_aggregate(list_transform(top3, lambda e: e.b || '=' || printf('%.2f', round(-e.a, 3))), 'string_agg', ';') AS contributions FROM k",
+    "anomaly_feature_ranking": f"""WITH {_TOP}, n AS (SELECT count(*) AS n FROM zs WHERE zf), u3 AS (SELECT unnest(top3) AS e FROM k), g AS (SELECT e.b AS feature, sum(round(-e.a, 3)) AS s FROM u3 GROUP BY 1)
         SELECT f AS feature, round(coalesce(s, 0.0) / greatest(n, 1), 3) AS importance FROM (SELECT unnest([{', '.join(f"'{c}'" for c in FEATURES)}]) AS f) u LEFT JOIN g ON g.feature = u.f, n""",
     "anomaly_summary": f"""WITH {_Z} SELECT 'zscore' AS method, count(*) AS total_rows, count(*) FILTER (WHERE zf) AS affected_rows, round(count(*) FILTER (WHERE zf) * 100.0::DOUBLE / count(*), 2) AS anomaly_pct,
         CASE max(CASE WHEN zf THEN CASE WHEN zsc >= 0.85 THEN 4 WHEN zsc >= 0.70 THEN 3 WHEN zsc >= 0.50 THEN 2 ELSE 1 END END) WHEN 4 THEN 'Critical' WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS max_severity FROM zs""",

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,7 +158,6 @@ def isolation_trees(table: DataFrame, features: list[str], rows: int, seed: int
     limit = int(np.ceil(np.log2(max(size, 2))))
 
     def build(key, pdf):
-        import pandas as pd
         chosen = pdf.sort_values(["r", *names]).head(tree_rows)
         nodes = _grow(chosen[names].to_numpy(float), limit, np.random.default_rng([seed, int(key[0])]))
         out = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "depth"])
@@ -186,9 +186,9 @@ def isolation_scores(table: DataFrame, features: list[str], contamination: float
     shared = table.sparkSession.sparkContext.broadcast(forest)
     scale = float(_average_path(min(TREE_ROWS, rows))) or 1.0
 
-    def score(*cols):
-        import pandas as pd
-        x = np.column_stack([c.to_numpy(float) for c in cols])
+    @F.pandas_udf("double")
+    def score(cells: pd.DataFrame) -> pd.Series:
+        x = cells.to_numpy(float)
         total = np.zeros(len(x))
         for feature, cut, left, right, depth in shared.value:
             at = np.zeros(len(x), dtype=np.int64)
@@ -202,8 +202,7 @@ def isolation_scores(table: DataFrame, features: list[str], contamination: float
             total += depth[at]
         return pd.Series(-np.exp2(-total / len(shared.value) / scale))
 
-    udf = F.pandas_udf(_typed(score), "double")
-    scored = table.withColumn("_iso", udf(*[ref(_x(c)) for c in features])).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = table.withColumn("_iso", score(F.struct(*[ref(_x(c)) for c in features]))).persist(StorageLevel.MEMORY_AND_DISK)
     offset = quantiles(scored, {"s": F.col("_iso")}, [contamination])["s"][0]
     lo, hi = scored.agg(F.min("_iso"), F.max("_iso")).first()
     decision = F.col("_iso") - F.lit(offset)
@@ -211,13 +210,6 @@ def isolation_scores(table: DataFrame, features: list[str], contamination: float
         "iso_score", 1.0 - (F.col("_iso") - F.lit(lo)) / (F.lit(hi) - F.lit(lo) + TINY)).drop("_iso")
 
 
-def _typed(fn):
-    import pandas as pd
-    def call(*cols: pd.Series) -> pd.Series:
-        return fn(*cols)
-    return call
-
-
 def severity_of(score: Column) -> Column:
     out = F.lit("Low")
     for limit, name in reversed(SEVERITIES[:-1]):
