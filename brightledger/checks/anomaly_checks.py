@@ -31,7 +31,7 @@ def _two_methods(s, d):
 
 def _contributions(s, d):
     flagged = _run(s, d, "zscore")["flagged"]
-    text = F.array_join(F.transform(F.map_entries("contributing_features"), lambda e: F.concat_ws("=", e["key"], F.format_string("%.2f", e["value"]))), ";")
+    text = F.array_join(F.transform(F.map_entries("contributing_features"), lambda e: F.concat_ws("=", e["key"], F.format_string("%.3f", e["value"]))), ";")
     return flagged.select("item_key", text.alias("contributions"))
 
 
@@ -95,7 +95,7 @@ ORACLES = {
     "anomaly_two_methods": f"""WITH {_Q}, m AS (SELECT item_key, (zsc + qsc) / 2 AS sc, CAST(zf AS INTEGER) + CAST(qf AS INTEGER) AS votes FROM iq)
         SELECT item_key, votes >= 2 OR sc >= (SELECT quantile_cont(sc, 0.95) FROM m) AS is_anomaly, round(sc, 4) AS anomaly_score FROM m""",
     "anomaly_severity": f"WITH {_Z} SELECT item_key, {_SEV} AS severity FROM zs WHERE zf",
-    "anomaly_contributions": f"WITH {_TOP} SELECT item_key, list_aggregate(list_transform(top3, lambda e: e.b || '=' || printf('%.2f', round(-e.a, 3))), 'string_agg', ';') AS contributions FROM k",
+    "anomaly_contributions": f"WITH {_TOP} SELECT item_key, list_aggregate(list_transform(top3, lambda e: e.b || '=' || printf('%.3f', round(-e.a, 3))), 'string_agg', ';') AS contributions FROM k",
     "anomaly_feature_ranking": f"""WITH {_TOP}, n AS (SELECT count(*) AS n FROM zs WHERE zf), u3 AS (SELECT unnest(top3) AS e FROM k), g AS (SELECT e.b AS feature, sum(round(-e.a, 3)) AS s FROM u3 GROUP BY 1)
         SELECT f AS feature, round(coalesce(s, 0.0) / greatest(n, 1), 3) AS importance FROM (SELECT unnest([{', '.join(f"'{c}'" for c in FEATURES)}]) AS f) u LEFT JOIN g ON g.feature = u.f, n""",
     "anomaly_summary": f"""WITH {_Z} SELECT 'zscore' AS method, count(*) AS total_rows, count(*) FILTER (WHERE zf) AS affected_rows, round(count(*) FILTER (WHERE zf) * 100.0::DOUBLE / count(*), 2) AS anomaly_pct,

@@ -137,12 +137,12 @@ def _grow(x: np.ndarray, limit: int, rng) -> list[tuple[int, float, int, int, fl
 def isolation_trees(table: DataFrame, features: list[str], rows: int, seed: int = 42, trees: int = TREES, tree_rows: int = TREE_ROWS) -> DataFrame:
     """(tree, node, feature, cut, left, right, depth): one random tree per group of sampled rows.
 
-    A hash of the row picks a pool of bounded size, and a hash of row and tree picks the rows of each tree, so
-    every group holds about 256 rows whatever the table size, and the same rows on every run.
+    A hash of row and row position picks a pool of bounded size (copies of one row are drawn apart), and a hash
+    of it and the tree picks the rows of each tree, so every group holds about 256 rows whatever the table size.
     """
     pool_size = trees * tree_rows
     cols = [ref(_x(c)) for c in features]
-    drawn = table.select(*[c.alias(f"f{i}") for i, c in enumerate(cols)], F.xxhash64(*[ref(c) for c in table.columns]).alias("h"))
+    drawn = table.select(*[c.alias(f"f{i}") for i, c in enumerate(cols)], F.xxhash64(*[ref(c) for c in table.columns], F.monotonically_increasing_id()).alias("h"))
     span = 1 << 40
     if rows > pool_size:
         drawn = drawn.where(F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(span)) < int(span * min(1.0, 1.1 * pool_size / rows)))

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import (
     CATEGORICAL, DATETIME, IDENTIFIER, NUMERICAL, as_moment, as_number, column_kinds, has_id_name, is_text, literal_rows, plain, ref,
@@ -91,7 +92,8 @@ class CleaningModel:
             elif self.roles.get(c) == NUMERICAL:
                 out.append(as_number(df, c).alias(c))
             elif self.roles.get(c) == CATEGORICAL:
-                out.append(ref(c).cast("string").alias(c))
+                nested = isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+                out.append((F.to_json(ref(c)) if nested else ref(c).cast("string")).alias(c))
             else:
                 out.append(ref(c))
         return df.select(*out)
@@ -117,7 +119,7 @@ class CleaningModel:
     def transform(self, df: DataFrame, clip: bool = False) -> DataFrame:
         """Applies the fitted state. Rows stay as they are unless a fill strategy is ``drop``."""
         cfg = self.config
-        work = self.prepared(plain(df))
+        work = self.prepared(df)
         if cfg.numeric_fill == "drop" and self.numbers:
             work = work.na.drop("any", subset=self.numbers)
         if cfg.category_fill == "drop" and self.categories:
