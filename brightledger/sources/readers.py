@@ -47,10 +47,15 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
         schema = spark.read.options(**base, inferSchema=True, enforceSchema=True).csv(path).schema
     width = len(schema.fields)
     marked = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
-    rows = spark.read.options(**base, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN).schema(marked).csv(path)
-    # A broken line is kept when it is only short; its fields are counted outside of quotes.
-    fields = F.size(F.split(F.regexp_replace(BROKEN, '"[^"]*"', ""), "\\Q" + sep + "\\E", -1))
-    kept = rows.where(F.col(BROKEN).isNull() | (fields <= width))
+    # Without column pruning in the parser, a line counts as broken whichever columns a query asks for.
+    options = {**base, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, "columnPruning": False}
+    rows = spark.read.options(**options).schema(marked).csv(path)
+    # A broken line is kept when it is only short; its fields are counted outside of quotes. The empty piece of
+    # the first column keeps a data column in every query, which Spark demands beside the broken-line column.
+    nothing = F.coalesce(F.substring(ref(schema.fields[0].name).cast("string"), 1, 0), F.lit(""))
+    line = F.concat(F.regexp_replace(BROKEN, '"[^"]*"', ""), nothing)
+    fields = F.size(F.split(line, "\\Q" + sep + "\\E", -1))
+    kept = rows.where(F.when(line.isNotNull(), fields <= width).otherwise(True))
     return kept.select(*[ref(f.name) for f in schema.fields])
 
 
