@@ -37,7 +37,7 @@ def _model(s, d):
 
 def _future(s, d):
     """The held-out values of each daily series in the place of a forecast."""
-    return series_checks._split(s, d).where("part = 'test'").select("series", (F.col("pos") - F.col("n_train")).alias("step"), F.round("value", 2).alias("predicted"))
+    return series_checks._split(s, d).where("part = 'test'").select("series", (F.col("pos") - F.col("n_train")).alias("step"), F.round("value", 6).alias("predicted"))
 
 
 def _anomaly(s, d):
@@ -70,7 +70,7 @@ def _overview(s, d):
     out = R.executive_overview(
         s, P.cell_summary(dirty_orders(s, d)), P.quality_score(dirty_orders(s, d)), C.business_kpis(transactions(s, d), TRANSACTIONS),
         anomaly_checks._run(s, d, "zscore")["summary"], "rule", forecast_metrics(series_checks._naive(s, d)), _all(s, d))
-    return out.withColumn("top_items", F.array_join("top_items", "; ")).withColumn("forecast_smape", F.round("forecast_smape", 2))
+    return out.withColumn("top_items", F.array_join("top_items", "; ")).withColumn("forecast_smape", F.round("forecast_smape", 3))
 
 
 QUERIES = {
@@ -95,7 +95,7 @@ def _item(title: str, priority: str, metric: str, module: str, tail: str) -> str
 
 _GAPS = f"(SELECT round(({' + '.join(f'count(*) - count({c})' for c in _GAPPY)}) * 100.0::DOUBLE / (count(*) * {len(_GAPPY)}), 2) AS pct FROM {DIRTY_SQL} dd) g"
 _OUT = f"(SELECT sum(iqr_outliers) AS n FROM ({explore_checks.ORACLES['outlier_analysis']}) o) oo"
-_CHANGE = f"""(WITH {series_checks.SPLIT_SQL}, fv AS (SELECT series, pos - n_train AS step, round(value, 2) AS predicted FROM s WHERE pos > n_train),
+_CHANGE = f"""(WITH {series_checks.SPLIT_SQL}, fv AS (SELECT series, pos - n_train AS step, round(value, 6) AS predicted FROM s WHERE pos > n_train),
   e AS (SELECT series, arg_min(predicted, step) AS first_value, arg_max(predicted, step) AS last_value, count(*) AS steps FROM fv GROUP BY 1)
   SELECT *, round((last_value - first_value) * 100.0 / greatest(1e-8, abs(first_value)), 2) AS change_pct FROM e) c"""
 _CHURN = f"(SELECT CAST(churned_customers AS BIGINT) AS n FROM ({customer_checks.ORACLES['churn_derived']}) q) h"

@@ -82,7 +82,7 @@ QUERIES = {
     "anomaly_ensemble": _ensemble,
     "anomaly_severity": lambda s, d: _run(s, d, "zscore")["flagged"].select("item_key", "severity"),
     "anomaly_contributions": _contributions,
-    "anomaly_feature_ranking": lambda s, d: _run(s, d, "zscore")["ranking"].withColumn("importance", F.round("importance", 3)),
+    "anomaly_feature_ranking": lambda s, d: _run(s, d, "zscore")["ranking"],
     "anomaly_summary": lambda s, d: _run(s, d, "zscore")["summary"],
     "anomaly_projection": _projection,
 }
@@ -96,8 +96,8 @@ ORACLES = {
         SELECT item_key, votes >= 2 OR sc >= (SELECT quantile_cont(sc, 0.95) FROM m) AS is_anomaly, round(sc, 4) AS anomaly_score FROM m""",
     "anomaly_severity": f"WITH {_Z} SELECT item_key, {_SEV} AS severity FROM zs WHERE zf",
     "anomaly_contributions": f"WITH {_TOP} SELECT item_key, list_aggregate(list_transform(top3, lambda e: e.b || '=' || printf('%.3f', round(-e.a, 3))), 'string_agg', ';') AS contributions FROM k",
-    "anomaly_feature_ranking": f"""WITH {_TOP}, n AS (SELECT count(*) AS n FROM zs WHERE zf), u3 AS (SELECT unnest(top3) AS e FROM k), g AS (SELECT e.b AS feature, sum(round(-e.a, 3)) AS s FROM u3 GROUP BY 1)
-        SELECT f AS feature, round(coalesce(s, 0.0) / greatest(n, 1), 3) AS importance FROM (SELECT unnest([{', '.join(f"'{c}'" for c in FEATURES)}]) AS f) u LEFT JOIN g ON g.feature = u.f, n""",
+    "anomaly_feature_ranking": f"""WITH {_TOP}, n AS (SELECT count(*) AS n FROM zs WHERE zf), u3 AS (SELECT unnest(top3) AS e FROM k), g AS (SELECT e.b AS feature, sum(CAST(round(-e.a * 1000) AS BIGINT)) AS s FROM u3 GROUP BY 1)
+        SELECT f AS feature, CAST((20 * coalesce(s, 0) + greatest(n, 1)) // (2 * greatest(n, 1)) AS DOUBLE) / 10000 AS importance FROM (SELECT unnest([{', '.join(f"'{c}'" for c in FEATURES)}]) AS f) u LEFT JOIN g ON g.feature = u.f, n""",
     "anomaly_summary": f"""WITH {_Z} SELECT 'zscore' AS method, count(*) AS total_rows, count(*) FILTER (WHERE zf) AS affected_rows, round(count(*) FILTER (WHERE zf) * 100.0::DOUBLE / count(*), 2) AS anomaly_pct,
         CASE max(CASE WHEN zf THEN CASE WHEN zsc >= 0.85 THEN 4 WHEN zsc >= 0.70 THEN 3 WHEN zsc >= 0.50 THEN 2 ELSE 1 END END) WHEN 4 THEN 'Critical' WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS max_severity FROM zs""",
 }

@@ -1,4 +1,4 @@
-"""Time-series queries: daily revenue per order priority with some days left out, and raw event values."""
+"""Time-series queries: daily revenue (in thousands) per order priority with some days left out, and raw event values."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from .views import table
 
 HORIZON = 14
 
-DAILY_SQL = """dl AS (SELECT o_orderpriority AS series, o_orderdate AS ts, round(sum(o_totalprice), 2) AS value FROM orders WHERE day(o_orderdate) % 7 <> 3 GROUP BY 1, 2)"""
+DAILY_SQL = """dl AS (SELECT o_orderpriority AS series, o_orderdate AS ts, round(sum(o_totalprice) / 1000, 0) AS value FROM orders WHERE day(o_orderdate) % 7 <> 3 GROUP BY 1, 2)"""
 GRID_SQL = f"""{DAILY_SQL}, sp AS (SELECT series, min(ts) AS a, max(ts) AS b FROM dl GROUP BY 1),
   g AS (SELECT series, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS ts FROM sp),
   f AS (SELECT g.series, g.ts, dl.value FROM g LEFT JOIN dl ON dl.series = g.series AND dl.ts = g.ts),
@@ -30,7 +30,7 @@ def daily(s, d):
     o = table(s, d, "orders")
     return (
         o.where(F.dayofmonth("o_orderdate") % 7 != 3).groupBy(F.col("o_orderpriority").alias("series"), F.col("o_orderdate").alias("ts"))
-        .agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+        .agg(F.round(F.sum("o_totalprice") / 1000, 0).alias("value"))
     )
 
 
@@ -67,7 +67,7 @@ def _rounded(df, *columns, places=2):
 
 
 def _forecast_rows(rows):
-    return _rounded(rows, "value", "predicted", "lower", "upper")
+    return _rounded(rows, "value", "predicted", "lower", "upper", places=6)
 
 
 def _naive(s, d):
@@ -94,17 +94,17 @@ QUERIES = {
     "series_clean": lambda s, d: S.clean_series(table(s, d, "events"), "ts", "value", ("event_type",)),
     "infer_frequency": lambda s, d: S.infer_frequency(_mixed_points(s, d)).select("series", "frequency", "points", "times"),
     "missing_steps": lambda s, d: S.missing_steps(_frequency(s, d)).select("series", "grid_steps", "missing_steps"),
-    "resample_interpolate": lambda s, d: _rounded(_grid(s, d), "value", places=5),
+    "resample_interpolate": lambda s, d: _rounded(_grid(s, d), "value", places=8),
     "calendar_features": lambda s, d: _grid(s, d).select("series", "ts", *S.calendar_columns()),
-    "lag_features": lambda s, d: _rounded(S.time_features(_grid(s, d)).select("series", "ts", "lag_1", "lag_2", "lag_7"), "lag_1", "lag_2", "lag_7", places=5),
-    "rolling_features": lambda s, d: _rounded(S.time_features(_grid(s, d)).select("series", "ts", "rolling_mean_7", "rolling_std_7"), "rolling_mean_7", "rolling_std_7", places=5),
+    "lag_features": lambda s, d: _rounded(S.time_features(_grid(s, d)).select("series", "ts", "lag_1", "lag_2", "lag_7"), "lag_1", "lag_2", "lag_7", places=8),
+    "rolling_features": lambda s, d: _rounded(S.time_features(_grid(s, d)).select("series", "ts", "rolling_mean_7", "rolling_std_7"), "rolling_mean_7", "rolling_std_7", places=6),
     "chronological_split": lambda s, d: _split(s, d).select("series", "ts", "pos", "n_total", "n_train", "part"),
     "future_grid": _future,
     "holt_forecast": lambda s, d: _forecast_rows(_run(s, d, ("baseline",))["forecast"]),
     "harmonic_sums": lambda s, d: (lambda t: t.select(*[F.round(c, 3).alias(c) if c[0] in "xy" else F.col(c) for c in t.columns]))(S.harmonic_sums(_split(s, d))),
     "harmonic_forecast": lambda s, d: _forecast_rows(_run(s, d, ("seasonal",))["forecast"]),
     "gbt_forecast": _boosted,
-    "forecast_metrics": lambda s, d: _rounded(S.forecast_metrics(_naive(s, d)), "mae", "mse", "rmse", "mape", "smape"),
+    "forecast_metrics": lambda s, d: _rounded(S.forecast_metrics(_naive(s, d)), "mae", "mse", "rmse", "mape", "smape", places=3),
     "forecast_best_model": lambda s, d: S.best_models(S.forecast_metrics(_naive(s, d))).select("series", "best_model"),
     "forecast_summary": _summary,
 }
@@ -127,11 +127,11 @@ ORACLES = {
     "infer_frequency": f"""WITH {_MIXED} SELECT series, CASE WHEN points = times AND starts AND months = times THEN 'MS' WHEN points = times AND g0 = g1 AND g0 = 86400 THEN 'D'
         WHEN mid <= 3600 THEN 'h' WHEN mid <= 172800 THEN 'D' WHEN mid <= 864000 THEN 'W' ELSE 'MS' END AS frequency, points, times FROM st""",
     "missing_steps": f"WITH {DAILY_SQL} SELECT series, date_diff('day', min(ts), max(ts)) + 1 AS grid_steps, greatest(date_diff('day', min(ts), max(ts)) + 1 - count(DISTINCT ts), 0) AS missing_steps FROM dl GROUP BY 1",
-    "resample_interpolate": f"WITH {GRID_SQL} SELECT series, ts, round(value, 5) AS value, observed FROM r",
+    "resample_interpolate": f"WITH {GRID_SQL} SELECT series, ts, round(value, 8) AS value, observed FROM r",
     "calendar_features": f"""WITH {GRID_SQL} SELECT series, ts, year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, day(ts)::INTEGER AS day, (isodow(ts) - 1)::INTEGER AS dayofweek,
         quarter(ts)::INTEGER AS quarter, CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend FROM r""",
-    "lag_features": f"WITH {FEATURE_SQL} SELECT series, ts, round(lag_1, 5) AS lag_1, round(lag_2, 5) AS lag_2, round(lag_7, 5) AS lag_7 FROM ft",
-    "rolling_features": f"WITH {FEATURE_SQL} SELECT series, ts, round(rolling_mean_7, 5) AS rolling_mean_7, round(rolling_std_7, 5) AS rolling_std_7 FROM ft",
+    "lag_features": f"WITH {FEATURE_SQL} SELECT series, ts, round(lag_1, 8) AS lag_1, round(lag_2, 8) AS lag_2, round(lag_7, 8) AS lag_7 FROM ft",
+    "rolling_features": f"WITH {FEATURE_SQL} SELECT series, ts, round(rolling_mean_7, 6) AS rolling_mean_7, round(rolling_std_7, 6) AS rolling_std_7 FROM ft",
     "chronological_split": f"WITH {SPLIT_SQL} SELECT series, ts, pos, n_total, n_train, {_PART} FROM s",
     "future_grid": f"WITH {GRID_SQL}, e AS (SELECT series, max(ts) AS b FROM r GROUP BY 1) SELECT series, i::INTEGER AS step, b + to_days(i::INTEGER) AS ts FROM e, (SELECT unnest(range(1, {HORIZON + 1})) AS i) z",
     "holt_forecast": f"""WITH RECURSIVE {SPLIT_SQL}, tr AS (SELECT *, value - coalesce(lag(value) OVER (PARTITION BY series ORDER BY pos), value) AS d FROM s WHERE pos <= n_train),
@@ -140,12 +140,12 @@ ORACLES = {
               UNION ALL SELECT h.series, h.pos + 1, 0.3::DOUBLE * tr.value + 0.7::DOUBLE * (lev + trd), 0.1::DOUBLE * (0.3::DOUBLE * tr.value + 0.7::DOUBLE * (lev + trd) - lev) + 0.9::DOUBLE * trd
               FROM h JOIN tr ON tr.series = h.series AND tr.pos = h.pos + 1),
         z AS (SELECT h.*, n, sigma, n_total FROM h JOIN en ON en.series = h.series AND h.pos = n)
-        SELECT s.series, 'baseline' AS model, 'test' AS part, CAST(s.pos - n AS BIGINT) AS step, s.ts, round(s.value, 2) AS value, round(lev + (s.pos - n) * trd, 2) AS predicted, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper
+        SELECT s.series, 'baseline' AS model, 'test' AS part, CAST(s.pos - n AS BIGINT) AS step, s.ts, round(s.value, 6) AS value, round(lev + (s.pos - n) * trd, 6) AS predicted, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper
           FROM s JOIN z ON z.series = s.series WHERE s.pos > s.n_train
-        UNION ALL SELECT z.series, 'baseline', 'future', CAST(i AS BIGINT), (SELECT max(ts) FROM s WHERE s.series = z.series) + to_days(i::INTEGER), NULL, round(lev + (z.n_total - n + i) * trd, 2),
-          round(lev + (z.n_total - n + i) * trd - 1.96::DOUBLE * sigma * sqrt(1 + 0.05::DOUBLE * i), 2), round(lev + (z.n_total - n + i) * trd + 1.96::DOUBLE * sigma * sqrt(1 + 0.05::DOUBLE * i), 2)
+        UNION ALL SELECT z.series, 'baseline', 'future', CAST(i AS BIGINT), (SELECT max(ts) FROM s WHERE s.series = z.series) + to_days(i::INTEGER), NULL, round(lev + (z.n_total - n + i) * trd, 6),
+          round(lev + (z.n_total - n + i) * trd - 1.96::DOUBLE * sigma * sqrt(1 + 0.05::DOUBLE * i), 6), round(lev + (z.n_total - n + i) * trd + 1.96::DOUBLE * sigma * sqrt(1 + 0.05::DOUBLE * i), 6)
           FROM z, (SELECT unnest(range(1, {HORIZON + 1})) AS i) y""",
     "harmonic_sums": f"WITH {SPLIT_SQL}, k AS (SELECT *, (pos - 1)::DOUBLE AS k FROM s WHERE pos <= n_train) SELECT series, count(*) AS f_train, max(n_total) AS f_total, {_SUMS} FROM k GROUP BY 1",
-    "forecast_metrics": f"WITH {_NAIVE} SELECT series, model, n, round(mae, 2) AS mae, round(mse, 2) AS mse, round(rmse, 2) AS rmse, round(mape, 2) AS mape, round(smape, 2) AS smape FROM mt",
+    "forecast_metrics": f"WITH {_NAIVE} SELECT series, model, n, round(mae, 3) AS mae, round(mse, 3) AS mse, round(rmse, 3) AS rmse, round(mape, 3) AS mape, round(smape, 3) AS smape FROM mt",
     "forecast_best_model": f"WITH {_NAIVE} SELECT series, arg_min(model, round(rmse, 4)) AS best_model FROM mt GROUP BY 1",
 }

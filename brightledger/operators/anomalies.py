@@ -281,7 +281,7 @@ def feature_ranking(flagged: DataFrame, features: list[str]) -> DataFrame:
     """Sum of each feature's z where it is among a row's top three, over the number of flagged rows."""
     sums = flagged.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("contributing_features")[c]).alias(f"s{i}") for i, c in enumerate(features)])
     return sums.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.round(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) / F.greatest(F.col("n"), F.lit(1)), 4).alias("importance")) for i, c in enumerate(features)
+        F.struct(F.lit(c).alias("feature"), F.round(F.round(F.coalesce(F.col(f"s{i}"), F.lit(0.0)), 3) / F.greatest(F.col("n"), F.lit(1)), 4).alias("importance")) for i, c in enumerate(features)
     ]))).orderBy(F.desc("importance"), "feature")
 
 
