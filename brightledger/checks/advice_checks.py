@@ -70,7 +70,7 @@ def _overview(s, d):
     out = R.executive_overview(
         s, P.cell_summary(dirty_orders(s, d)), P.quality_score(dirty_orders(s, d)), C.business_kpis(transactions(s, d), TRANSACTIONS),
         anomaly_checks._run(s, d, "zscore")["summary"], "rule", forecast_metrics(series_checks._naive(s, d)), _all(s, d))
-    return out.withColumn("top_items", F.array_join("top_items", "; ")).withColumn("forecast_smape", F.round("forecast_smape", 3))
+    return out.withColumn("top_items", F.array_join("top_items", "; "))
 
 
 QUERIES = {

@@ -104,7 +104,7 @@ QUERIES = {
     "harmonic_sums": lambda s, d: (lambda t: t.select(*[F.round(c, 3).alias(c) if c[0] in "xy" else F.col(c) for c in t.columns]))(S.harmonic_sums(_split(s, d))),
     "harmonic_forecast": lambda s, d: _forecast_rows(_run(s, d, ("seasonal",))["forecast"]),
     "gbt_forecast": _boosted,
-    "forecast_metrics": lambda s, d: _rounded(S.forecast_metrics(_naive(s, d)), "mae", "mse", "rmse", "mape", "smape", places=3),
+    "forecast_metrics": lambda s, d: S.forecast_metrics(_naive(s, d)),
     "forecast_best_model": lambda s, d: S.best_models(S.forecast_metrics(_naive(s, d))).select("series", "best_model"),
     "forecast_summary": _summary,
 }
@@ -146,6 +146,6 @@ ORACLES = {
           round(lev + (z.n_total - n + i) * trd - 1.96::DOUBLE * sigma * sqrt(1 + 0.05::DOUBLE * i), 6), round(lev + (z.n_total - n + i) * trd + 1.96::DOUBLE * sigma * sqrt(1 + 0.05::DOUBLE * i), 6)
           FROM z, (SELECT unnest(range(1, {HORIZON + 1})) AS i) y""",
     "harmonic_sums": f"WITH {SPLIT_SQL}, k AS (SELECT *, (pos - 1)::DOUBLE AS k FROM s WHERE pos <= n_train) SELECT series, count(*) AS f_train, max(n_total) AS f_total, {_SUMS} FROM k GROUP BY 1",
-    "forecast_metrics": f"WITH {_NAIVE} SELECT series, model, n, round(mae, 3) AS mae, round(mse, 3) AS mse, round(rmse, 3) AS rmse, round(mape, 3) AS mape, round(smape, 3) AS smape FROM mt",
+    "forecast_metrics": f"WITH {_NAIVE} SELECT series, model, n, round(mae, 4) AS mae, round(mse, 4) AS mse, round(rmse, 4) AS rmse, round(mape, 4) AS mape, round(smape, 4) AS smape FROM mt",
     "forecast_best_model": f"WITH {_NAIVE} SELECT series, arg_min(model, round(rmse, 4)) AS best_model FROM mt GROUP BY 1",
 }

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUFFER_VALUES = 5_000_000
+BUFFER_VALUES = 250_000
 LAST_VALUES = 20_000
 SKETCH = 10_000
 
@@ -88,34 +88,59 @@ def _resolve(work: DataFrame, position: dict[str, str], slots: list[_Wanted], la
         wide = [s for s in slots if s.value is None and s.size > last_values]
         if not wide:
             break
+        # One sketch per interval answers for all its slots; neighbouring ranks share a bracket.
+        intervals = _grouped(wide, lambda s: (s.name, s.low, s.high))
+        bracket_of = {}
+        aggs, asked = [], []
+        for (name, _, _), members in intervals.items():
+            x = F.col(position[name])
+            probs = sorted({p for s in members for p in _around(s)})
+            aggs.append(F.percentile_approx(F.when(members[0].inside(x), x), F.array(*map(F.lit, probs)), SKETCH).alias(f"s{len(aggs)}"))
+            asked.append((members, probs))
+        row = work.agg(*aggs).first()
+        for i, (members, probs) in enumerate(asked):
+            found = dict(zip(probs, row[i]))
+            for s in members:
+                bracket_of[id(s)] = tuple(found[p] for p in _around(s))
+        counted = _grouped(wide, lambda s: (s.name, s.low, s.high, *bracket_of[id(s)]))
         aggs = []
-        for i, s in enumerate(wide):
-            x = F.col(position[s.name])
-            p = (s.k + 0.5) / s.size
-            around = F.array(F.lit(max(0.0, p - 2.0 / SKETCH)), F.lit(min(1.0, p + 2.0 / SKETCH)))
-            aggs.append(F.percentile_approx(F.when(s.inside(x), x), around, SKETCH).alias(f"s{i}"))
-        brackets = work.agg(*aggs).first()
-        aggs = []
-        for i, s in enumerate(wide):
-            x, (lo, hi) = F.col(position[s.name]), brackets[i]
-            inside = s.inside(x)
+        for (name, _, _, lo, hi), members in counted.items():
+            x = F.col(position[name])
+            inside = members[0].inside(x)
             aggs.append(F.struct(
                 F.count_if(inside & (x < F.lit(lo))).alias("below"),
                 F.count_if(inside & (x == F.lit(lo))).alias("at_lo"),
                 F.count_if(inside & (x > F.lit(lo)) & (x < F.lit(hi))).alias("between"),
                 F.count_if(inside & (x == F.lit(hi))).alias("at_hi"),
-            ).alias(f"s{i}"))
+            ).alias(f"s{len(aggs)}"))
         tallies = work.agg(*aggs).first()
-        for i, s in enumerate(wide):
-            _step(s, brackets[i], tallies[i])
-    last = [s for s in slots if s.value is None]
+        for i, members in enumerate(counted.values()):
+            for s in members:
+                _step(s, bracket_of[id(s)], tallies[i])
+    last = _grouped([s for s in slots if s.value is None], lambda s: (s.name, s.low, s.high))
     if last:
         row = work.agg(*[
-            F.element_at(F.sort_array(F.collect_list(F.when(s.inside(F.col(position[s.name])), F.col(position[s.name])))), s.k + 1).alias(f"s{i}")
-            for i, s in enumerate(last)
+            F.sort_array(F.collect_list(F.when(members[0].inside(F.col(position[name])), F.col(position[name])))).alias(f"s{i}")
+            for i, ((name, _, _), members) in enumerate(last.items())
+        ]).select(*[
+            F.array(*[F.element_at(F.col(f"s{i}"), s.k + 1) for s in members]).alias(f"s{i}") for i, members in enumerate(last.values())
         ]).first()
-        for i, s in enumerate(last):
-            s.value = row[i]
+        for i, members in enumerate(last.values()):
+            for s, v in zip(members, row[i]):
+                s.value = v
+
+
+def _grouped(slots: list[_Wanted], key) -> dict:
+    out: dict = {}
+    for s in slots:
+        out.setdefault(key(s), []).append(s)
+    return out
+
+
+def _around(s: _Wanted) -> tuple[float, float]:
+    """Probabilities that bracket a rank, on a fixed lattice so that close ranks get the same ones."""
+    cell = math.floor((s.k + 0.5) / s.size * SKETCH)
+    return max(0, cell - 2) / SKETCH, min(SKETCH, cell + 3) / SKETCH
 
 
 def _step(s: _Wanted, bracket, tally) -> None:

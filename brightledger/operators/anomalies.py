@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_number, is_number, literal_rows, ref
+from ..functions.layout import spread
 from ..functions.quantiles import medians, quantiles
 
 TINY = 1e-8
@@ -202,7 +203,7 @@ def isolation_scores(table: DataFrame, features: list[str], contamination: float
             total += depth[at]
         return pd.Series(-np.exp2(-total / len(shared.value) / scale))
 
-    scored = table.withColumn("_iso", score(F.struct(*[ref(_x(c)) for c in features]))).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = spread(table).withColumn("_iso", score(F.struct(*[ref(_x(c)) for c in features]))).persist(StorageLevel.MEMORY_AND_DISK)
     offset = quantiles(scored, {"s": F.col("_iso")}, [contamination])["s"][0]
     lo, hi = scored.agg(F.min("_iso"), F.max("_iso")).first()
     decision = F.col("_iso") - F.lit(offset)

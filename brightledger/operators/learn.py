@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_number, is_number, literal_rows, ref
+from ..functions.layout import compact
 from ..functions.ranking import hash_positions, ranked_counts, slice_cuts
 from .cleaning import CleaningConfig, CleaningModel, fit as fit_cleaning
-from .series import compact
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 MACHINE_EPS = 2.220446049250313e-16

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.columns import as_moment, as_number, literal_rows, ref
+from ..functions.columns import as_moment, as_number, ref
+from ..functions.layout import compact
 
 MIN_POINTS = 10
 HOUR, DAY = 3600, 86400
@@ -387,12 +388,6 @@ def _field(name: str):
     return lambda s: s[name]
 
 
-def compact(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
-    """Fewer, fuller partitions for iterative fits on small tables; large tables keep theirs."""
-    parts = df.count() // rows_per_task + 1
-    return df.coalesce(int(parts)) if parts < df.sparkSession.sparkContext.defaultParallelism else df
-
-
 def forecast_metrics(rows: DataFrame, actual: str = "value", predicted: str = "predicted", by: tuple[str, ...] = ("series", "model")) -> DataFrame:
     """MAE, MSE, RMSE, MAPE % and sMAPE % (4 decimals)."""
     y, p = F.col(actual), F.col(predicted)
