@@ -12,6 +12,10 @@ def _rfm(s, d):
     return C.rfm_table(transactions(s, d), TRANSACTIONS)
 
 
+def _base(s, d):
+    return C.rfm_base(transactions(s, d), TRANSACTIONS).persist()
+
+
 def _head(s, d):
     return C.business_kpis(transactions(s, d), TRANSACTIONS).first()
 
@@ -55,12 +59,11 @@ def _by_market(s, d):
 
 
 def _clusters(s, d, algorithm):
-    got = C.cluster_customers(_rfm(s, d), algorithm)
-    return got.profile
+    return C.cluster_customers(_base(s, d), algorithm).profile
 
 
 def _quality(s, d):
-    return C.cluster_customers(_rfm(s, d)).quality
+    return C.cluster_customers(_base(s, d)).quality
 
 
 def _no_churn():

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def compact(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+def compact(df: DataFrame, rows: int | None = None, rows_per_task: int = 50_000) -> DataFrame:
     """Fewer, fuller partitions for iterative fits on small tables; large tables keep theirs."""
-    parts = df.count() // rows_per_task + 1
+    parts = (df.count() if rows is None else rows) // rows_per_task + 1
     return df.coalesce(int(parts)) if parts < df.sparkSession.sparkContext.defaultParallelism else df
 
 

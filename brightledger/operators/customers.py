@@ -8,7 +8,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_moment, as_number, is_number, literal_rows, ref
+from ..functions.columns import as_moment, as_number, literal_rows, ref
+from ..functions.layout import compact
 from ..functions.quantiles import medians, quantiles
 from ..functions.ranking import ONE_TASK_ROWS, positions
 
@@ -204,7 +205,7 @@ def _scaled(rfm: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
 def davies_bouldin(points: DataFrame, label: str, features: list[str]) -> DataFrame:
     """Davies-Bouldin index from centroids and mean distances; the pair formula runs over clusters only."""
     centres = points.groupBy(label).agg(*[F.avg(f).alias(f"_c_{f}") for f in features])
-    joined = points.join(F.broadcast(centres), label)
+    joined = points.join(centres, label)
     sq = sum(((F.col(f) - F.col(f"_c_{f}")) ** 2 for f in features), F.lit(0.0))
     stats = joined.groupBy(label).agg(
         F.avg(F.sqrt(sq)).alias("spread"), F.array(*[F.first(f"_c_{f}") for f in features]).alias("centre"),
@@ -279,8 +280,8 @@ def cluster_customers(rfm: DataFrame, algorithm: str = "kmeans", seed: int = 42)
 
     cols = ["recency", "frequency", "monetary"]
     features, _ = _scaled(rfm, cols)
-    features = features.persist(StorageLevel.MEMORY_AND_DISK)
-    n = features.count()
+    n = rfm.count()
+    features = compact(features, n).persist(StorageLevel.MEMORY_AND_DISK)
     spark = rfm.sparkSession
     title = "K-Means" if algorithm == "kmeans" else "Hierarchical Agglomerative"
     schema = "algorithm string, optimal_k int, silhouette double, davies_bouldin double"
@@ -321,7 +322,7 @@ def cluster_customers(rfm: DataFrame, algorithm: str = "kmeans", seed: int = 42)
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     best_k, best = ks[0], -2.0
     for k, labelled in candidates.items():
-        score = judge.evaluate(labelled) if labelled.select("cluster").distinct().count() > 1 else -1.0
+        score = judge.evaluate(labelled) if labelled.select("cluster").distinct().limit(2).count() > 1 else -1.0
         if score > best:
             best_k, best = k, score
     chosen = candidates[best_k]

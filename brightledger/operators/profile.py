@@ -181,8 +181,10 @@ def quality_score(df: DataFrame, profile: DataFrame | None = None, duplicates: D
         F.count_if("is_constant").alias("constant_columns"),
         F.count_if(F.col("missing_pct") >= SEVERE_MISSING_PCT).alias("column_critical"),
         (F.count_if("is_constant") + F.count_if(is_warning)).alias("column_warnings"),
-    ).withColumn("_one", F.lit(1))
-    both = parts.join(duplicates.withColumn("_one", F.lit(1)), "_one")
+    )
+    # Two one-row tables side by side, without a join.
+    stacked = parts.unionByName(duplicates, allowMissingColumns=True)
+    both = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     repeated = F.col("duplicate_rows") > 0
     severe = repeated & (F.col("duplicate_pct") >= DUPLICATE_CRITICAL_PCT)
     critical = F.col("column_critical") + F.when(severe, 1).otherwise(0)
