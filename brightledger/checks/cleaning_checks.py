@@ -95,6 +95,12 @@ _ONEHOT = ", ".join(f"CASE WHEN priority = '{p}' THEN 1.0::DOUBLE ELSE 0.0::DOUB
 _ONEHOT_FILLED = _ONEHOT.replace("WHEN priority =", "WHEN coalesce(priority, fp) =")
 _STATUS = ", ".join(f"CASE WHEN status = '{p}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"status_{p}\"" for p in ("F", "O", "P"))
 
+# A missing date counts as no weekend, so that part stays present in every row.
+_DATE_PARTS = {
+    "year": "year({c})", "month": "month({c})", "day": "day({c})", "dayofweek": "isodow({c}) - 1",
+    "is_weekend": "CASE WHEN isodow({c}) >= 6 THEN 1 ELSE 0 END",
+}
+
 ORACLES = {
     "dedupe_rows": f"WITH d AS {DIRTY_SQL} SELECT DISTINCT * FROM d",
     "coerce_numeric": f"WITH d AS {DIRTY_SQL} SELECT order_key, TRY_CAST(code_text AS DOUBLE) AS code_text FROM d",
@@ -135,6 +141,9 @@ ORACLES = {
                      (SELECT priority FROM t WHERE priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS fp FROM t),
         f AS (SELECT CASE WHEN amount IS NULL THEN m ELSE greatest(least(amount, b + 1.5::DOUBLE * (b - a)), a - 1.5::DOUBLE * (b - a)) END AS x FROM t, q), s AS (SELECT avg(x) AS mu, stddev_pop(x) AS sd FROM f)
         SELECT round((coalesce(amount, m) - mu) / sd, 4) AS amount, {_ONEHOT_FILLED}, {_STATUS}, order_key FROM d, q, s WHERE order_key % 5 = 0""",
-    "clean_fit_removed": f"""SELECT unnest(['ordered_at', 'date_text', 'flag', 'near_flag', 'date_text_year', 'date_text_month', 'date_text_day', 'date_text_dayofweek', 'date_text_is_weekend']) AS column_name
-        FROM (SELECT count(*) AS n FROM orders) z""",
+    "clean_fit_removed": f"""WITH d AS {DIRTY_SQL}, u AS (SELECT DISTINCT * FROM d), t AS (SELECT *, TRY_CAST(date_text AS TIMESTAMP) AS dt FROM u)
+        SELECT 'ordered_at' AS column_name UNION ALL SELECT 'date_text' FROM t HAVING count(dt)::DOUBLE / count(date_text) > 0.8
+        UNION ALL SELECT 'flag' FROM u HAVING count(DISTINCT flag) = 1 UNION ALL SELECT 'near_flag' FROM u HAVING count(*) FILTER (WHERE near_flag = 'X')::DOUBLE / count(*) >= 0.98
+        UNION ALL """ + " UNION ALL ".join(
+        f"SELECT 'date_text_{n}' FROM t HAVING abs(corr({e.format(c='ordered_at')}, {e.format(c='dt')})) > 0.95" for n, e in _DATE_PARTS.items()),
 }

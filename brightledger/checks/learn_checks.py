@@ -53,7 +53,7 @@ def _predictions(s, d):
 
 QUERIES = {
     "task_type": lambda s, d: L.task_types(table(s, d, "lineitem"), ["l_returnflag", "l_linenumber", "l_extendedprice", "l_discount", "l_quantity"]),
-    "label_codes": lambda s, d: (lambda o: o.select("o_orderkey", L.label_codes(o, "o_orderpriority").cast("int").alias("code")))(table(s, d, "orders")),
+    "label_codes": lambda s, d: L.encode_labels(table(s, d, "orders"), "o_orderpriority").select("o_orderkey", F.col("label").cast("int").alias("code")),
     "stratified_split": lambda s, d: L.split(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], "o_orderstatus"),
     "class_metrics": lambda s, d: L.class_metrics(_ruled(s, d)).select(*[F.round(c, 5).alias(c) for c in ("accuracy", "precision", "recall", "f1")]),
     "confusion_matrix": lambda s, d: L.confusion_matrix(_ruled(s, d), FLAGS),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -405,7 +406,8 @@ def _fit_categories(work: DataFrame, model: CleaningModel) -> None:
     cfg, categories = model.config, model.categories
     if not categories:
         return
-    counts = value_counts(work, categories)
+    # Read once per category column below, so the counted values (not the rows) are kept.
+    counts = value_counts(work, categories).persist(StorageLevel.MEMORY_AND_DISK)
     summary = {r["column_name"]: r for r in count_summary(counts).collect()}
     for c in categories:
         if cfg.category_fill == "constant":
@@ -413,6 +415,7 @@ def _fit_categories(work: DataFrame, model: CleaningModel) -> None:
         elif cfg.category_fill == "most_frequent":
             model.fills[c] = summary[c]["top_value"] if c in summary else None
     if cfg.encoding == "none":
+        counts.unpersist()
         return
     distinct = {c: summary[c]["distinct_count"] if c in summary else 0 for c in categories}
     small = [c for c in categories if distinct[c] <= cfg.max_categories]
@@ -441,6 +444,7 @@ def _fit_categories(work: DataFrame, model: CleaningModel) -> None:
         hot = [r[0] for r in values.where(F.col("n") > total / 200).select("value").collect()]
         coded = positions(values.select("value"), ["value"], "code", n)
         model.dictionaries[c] = (durable(coded.withColumn("code", F.col("code").cast("double"))), n, hot)
+    counts.unpersist()
 
 
 def impute(df: DataFrame, columns: list[str], strategy: str = "median", value: float | None = None) -> DataFrame:

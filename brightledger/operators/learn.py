@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_number, is_number, literal_rows, ref
+from ..functions.joins import frequent_values, lookup_join
 from ..functions.layout import compact
-from ..functions.ranking import hash_positions, ranked_counts, slice_cuts
+from ..functions.ranking import hash_positions, positions, ranked_counts, slice_cuts
 from .cleaning import CleaningConfig, CleaningModel, fit as fit_cleaning
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
@@ -80,6 +81,21 @@ def label_codes(df: DataFrame, target: str, classes: list | None = None) -> Colu
     return F.try_element_at(at, ref(target))
 
 
+def encode_labels(df: DataFrame, target: str, out: str = "label", literal_classes: int = 1000) -> DataFrame:
+    """Adds the label code (position of the class in sorted order) without a limit on the number of classes.
+
+    Up to ``literal_classes`` classes are literals; more become a dictionary table that is joined back with its
+    frequent classes salted.
+    """
+    counts = df.where(ref(target).isNotNull()).groupBy(ref(target).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    size = counts.agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("n")).first()
+    if size["k"] <= literal_classes:
+        return df.withColumn(out, label_codes(df, target)) if size["k"] else df.withColumn(out, F.lit(None).cast("double"))
+    coded = positions(counts.select("_class"), ["_class"], out, size["k"]).withColumn(out, F.col(out).cast("double"))
+    hot = frequent_values(counts, "_class", "_n", size["n"])
+    return lookup_join(df.withColumn("_class", ref(target)), coded, "_class", hot).drop("_class")
+
+
 def split(df: DataFrame, key: list[str], label: str | None, test_size: float = 0.15, val_size: float = 0.15, seed: int = 42) -> DataFrame:
     """Adds ``part``: exact shares of train / val / test, inside each class when every class has two rows or more.
 

@@ -28,6 +28,14 @@ def test_task_types(spark):
     assert L.task_type(df.unionAll(df).unionAll(df), "mid") == "classification"
 
 
+@pytest.mark.parametrize("literals", [1000, 3])
+def test_label_codes_with_and_without_a_dictionary(spark, literals):
+    df = spark.range(200).select("id", F.when(F.col("id") % 20 != 7, F.concat(F.lit("c"), F.when(F.col("id") < 90, 0).otherwise(F.col("id") % 12))).alias("y"))
+    got = L.encode_labels(df, "y", literal_classes=literals).toPandas()
+    order = {c: float(i) for i, c in enumerate(sorted(got["y"].dropna().unique()))}
+    assert len(got) == 200 and all((pd.isna(v) and y is None) or order[y] == v for y, v in zip(got["y"], got["label"]))
+
+
 def test_split_has_exact_shares_and_ignores_layout(classes):
     a = L.split(classes, ["row_no"], "target")
     b = L.split(classes.repartition(7), ["row_no"], "target")

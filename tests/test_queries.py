@@ -29,7 +29,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["business_kpis", "numeric_stats", "duplicate_rows", "latest_per_key", "class_metrics", "anomaly_zscore", "scale_standard", "resample_interpolate"])
+@pytest.mark.parametrize("name", ["business_kpis", "numeric_stats", "duplicate_rows", "quality_score", "column_profile", "latest_per_key", "class_metrics", "anomaly_zscore", "scale_standard", "resample_interpolate"])
 def test_no_cartesian_product(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
