@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 MEMO_WORDS = 1_000_000
@@ -85,7 +86,7 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20, name: str = "
         col = b.column(name)
         at = 0
         if b.num_rows:
-            ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             while at < b.num_rows:
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
                 yield b.slice(at, to - at)
