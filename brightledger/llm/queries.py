@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, quality_rules, simhash
+from . import bpe, packing, quality_rules, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts of the known forms, their digest, and all spans."""
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("spans", lambda x: x["k"] < 3)
+    count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document and the smallest doc_id of its group of near copies."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -38,6 +49,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op7_bpe": op7_bpe,
