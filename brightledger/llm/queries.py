@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, quality_rules, secrets, simhash
+from . import bpe, fingerprints, packing, quality_rules, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold-scaled sketch of every document, of its edited text, and their likeness."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"), parts)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), bpe.default_path())
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_fingerprints": op6_fingerprints,
     "op7_bpe": op7_bpe,
 }
 
