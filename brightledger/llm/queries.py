@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, packing, quality_rules, secrets, simhash
+from . import bpe, fingerprints, packing, quality_rules, secrets, simhash, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,46 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), bpe.default_path())
 
 
+def _replica(pages: DataFrame) -> DataFrame:
+    """The second copy of the archive, damaged where a digest of the url says so: one page in 64 altered, one lost."""
+    mark = F.substring(F.sha2(F.coalesce("url", F.lit("")), 256), 1, 2)
+    return pages.withColumn("html", F.when(mark.isin("00", "01", "02", "03"), F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))).where(~mark.isin("04", "05", "06", "07"))
+
+
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's WARC record with its place, digest, Merkle root and what the audit of the damaged replica found."""
+    pages = _table(spark, sf_dir, "pages")
+    found = warc_fixity.audited(pages, _replica(pages))
+    return found.select("page_id", "file_id", "record_no", "offset", "length", "sha256", "root_sha256", "status")
+
+
+_OP9_SQL = r"""
+WITH recs AS (
+  SELECT coalesce(page_id, -1) AS page_id, CAST(floor(coalesce(page_id, -1) / 512.0) AS BIGINT) AS file_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         substr(sha256(coalesce(url, '')), 1, 2) AS mark
+  FROM pages
+), text AS (
+  SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:sha256:' || sha256(url || chr(10) || html)
+    || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+    || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM recs
+), dig AS (
+  SELECT page_id, file_id, mark, html, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256 FROM text
+), leaf AS (
+  SELECT page_id, file_id, mark, html, length, sha256,
+    row_number() OVER w - 1 AS record_no, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM dig WINDOW w AS (PARTITION BY file_id ORDER BY page_id, sha256)
+), l1 AS (SELECT file_id, record_no // 16 AS node, sha256(string_agg(sha256, '' ORDER BY record_no)) AS sha256 FROM leaf GROUP BY ALL),
+l2 AS (SELECT file_id, node // 16 AS up, sha256(string_agg(sha256, '' ORDER BY node)) AS sha256 FROM l1 GROUP BY ALL),
+l3 AS (SELECT file_id, up // 16 AS top, sha256(string_agg(sha256, '' ORDER BY up)) AS sha256 FROM l2 GROUP BY ALL),
+root AS (SELECT file_id, sha256(string_agg(sha256, '' ORDER BY top)) AS root_sha256 FROM l3 GROUP BY file_id)
+SELECT page_id, file_id, record_no, "offset", length, sha256, root_sha256,
+  CASE WHEN mark IN ('04', '05', '06', '07') THEN 'missing'
+       WHEN mark IN ('00', '01', '02', '03') AND html NOT LIKE '~%' THEN 'altered' ELSE 'intact' END AS status
+FROM leaf JOIN root USING (file_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -60,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_fingerprints": op6_fingerprints,
     "op7_bpe": op7_bpe,
+    "op9_warc_fixity": op9_warc_fixity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc_fixity": _OP9_SQL,
+}
