@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, packing, quality_rules, secrets, simhash, warc_fixity
+from . import bpe, fingerprints, line_crf, packing, quality_rules, secrets, simhash, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), bpe.default_path())
 
 
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from a random field over its lines."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = line_crf.score_documents(docs, line_crf.learn(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", line_crf.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def _replica(pages: DataFrame) -> DataFrame:
     """The second copy of the archive, damaged where a digest of the url says so: one page in 64 altered, one lost."""
     mark = F.substring(F.sha2(F.coalesce("url", F.lit("")), 256), 1, 2)
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_fingerprints": op6_fingerprints,
     "op7_bpe": op7_bpe,
+    "op8_line_crf": op8_line_crf,
     "op9_warc_fixity": op9_warc_fixity,
 }
 
