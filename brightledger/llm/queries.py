@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, line_crf, packing, quality_rules, secrets, simhash, warc_fixity
+from . import bpe, disclosure, fingerprints, line_crf, packing, quality_rules, secrets, simhash, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,16 @@ FROM leaf JOIN root USING (file_id)
 """
 
 
+def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts of the base forms, their digest, and all spans."""
+    found = disclosure.find_private(_table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, disclosure.KINDS))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
+    base = F.filter("spans", lambda x: x["k"] < 4)
+    return found.select("doc_id", *(count(k).alias(f"n_{disclosure.KINDS[k]}") for k in range(4)), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -109,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_line_crf": op8_line_crf,
     "op9_warc_fixity": op9_warc_fixity,
+    "op10_disclosure": op10_disclosure,
 }
 
 ORACLES: dict[str, str] = {
