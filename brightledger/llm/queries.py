@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, disclosure, fingerprints, line_crf, packing, quality_rules, secrets, simhash, warc_fixity
+from . import bpe, disclosure, fingerprints, line_crf, packing, quality_rules, secrets, simhash, substrings, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows with an earlier occurrence cover, and the digest of the others."""
+    return substrings.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document, with cutoffs certified by language."""
     judged = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
+    "op4_substrings": op4_substrings,
     "op5_quality_rules": op5_quality_rules,
     "op6_fingerprints": op6_fingerprints,
     "op7_bpe": op7_bpe,
