@@ -13,18 +13,18 @@ def cut(df: DataFrame) -> DataFrame:
     The folder comes from spark.checkpoint.dir. A session on this machine alone (tests) gets one of its own where that is
     unset; on a cluster a machine-local folder would be lost with its machine, so the setting is required there.
     """
-    spark = df.sparkSession
-    _folder(spark)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def _folder(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(folder)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()

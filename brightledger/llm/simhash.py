@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import tokens, words
 from .components import components
@@ -192,3 +192,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     groups = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(groups, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of every group of near copies, the one with the smallest doc_id, with all columns; a null doc_id counts as the smallest."""
+    id_ = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    named = near_duplicates(docs.select(id_.alias("_id"), "text"), "_id")
+    kept = named.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    packed = docs.select(F.struct("*").alias("_row"), id_.alias("_id"), F.xxhash64("text").alias("_h"))
+    chosen = packed.join(kept, F.col("_id") == F.col("_kept"), "left_semi")
+    # Rows that repeat a doc_id: one of them stays.
+    first = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_h"))).where("_n = 1")
+    return first.select("_row.*")
