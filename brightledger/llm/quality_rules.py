@@ -71,7 +71,9 @@ def measures(docs: DataFrame, keys: list[str], text_column: str = "text") -> Dat
         lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(5), p - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
-    return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).select(*keys, *MEASURES)
+    d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
+    # As one generated row: a later filter is then applied to values, not pushed into copies of the expressions above.
+    return d.select(*keys, F.inline(F.array(F.struct(*MEASURES))))
 
 
 def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
