@@ -10,7 +10,7 @@ from .views import table
 
 HORIZON = 14
 
-DAILY_SQL = """dl AS (SELECT o_orderpriority AS series, o_orderdate AS ts, round(sum(o_totalprice) / 1000, 0) AS value FROM orders WHERE day(o_orderdate) % 7 <> 3 GROUP BY 1, 2)"""
+DAILY_SQL = """dl AS (SELECT o_orderpriority AS series, o_orderdate AS ts, round(sum(o_totalprice) / 1000, 0) AS value FROM orders GROUP BY 1, 2)"""
 GRID_SQL = f"""{DAILY_SQL}, sp AS (SELECT series, min(ts) AS a, max(ts) AS b FROM dl GROUP BY 1),
   g AS (SELECT series, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS ts FROM sp),
   f AS (SELECT g.series, g.ts, dl.value FROM g LEFT JOIN dl ON dl.series = g.series AND dl.ts = g.ts),
@@ -26,24 +26,30 @@ FEATURE_SQL = f"""{GRID_SQL}, ft AS (SELECT *, lag(value, 1) OVER w AS lag_1, la
     coalesce(stddev_samp(value) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS rolling_std_7 FROM r WINDOW w AS (PARTITION BY series ORDER BY ts))"""
 
 
-def daily(s, d):
+def _gapped(sql: str) -> str:
+    """The same over a daily series with days left out."""
+    return sql.replace("FROM orders GROUP BY", "FROM orders WHERE day(o_orderdate) % 7 <> 3 GROUP BY")
+
+
+def daily(s, d, gaps=False):
+    """Daily revenue; gaps: without some days of each month, for the operators that find and fill gaps."""
     o = table(s, d, "orders")
     return (
-        o.where(F.dayofmonth("o_orderdate") % 7 != 3).groupBy(F.col("o_orderpriority").alias("series"), F.col("o_orderdate").alias("ts"))
+        (o.where(F.dayofmonth("o_orderdate") % 7 != 3) if gaps else o).groupBy(F.col("o_orderpriority").alias("series"), F.col("o_orderdate").alias("ts"))
         .agg(F.round(F.sum("o_totalprice") / 1000, 0).alias("value"))
     )
 
 
-def _points(s, d):
-    return S.clean_series(daily(s, d), "ts", "value", ("series",))
+def _points(s, d, gaps=False):
+    return S.clean_series(daily(s, d, gaps), "ts", "value", ("series",))
 
 
-def _frequency(s, d):
-    return S.infer_frequency(_points(s, d), "D")
+def _frequency(s, d, gaps=False):
+    return S.infer_frequency(_points(s, d, gaps), "D")
 
 
-def _grid(s, d):
-    return S.resample(_points(s, d), _frequency(s, d))
+def _grid(s, d, gaps=False):
+    return S.resample(_points(s, d, gaps), _frequency(s, d, gaps))
 
 
 def _split(s, d):
@@ -83,7 +89,7 @@ def _run(s, d, models, **extra):
 
 
 def _boosted(s, d):
-    return _forecast_rows(_run(s, d, ("boosted",), trees=40)["forecast"])
+    return _forecast_rows(_run(s, d, ("boosted",))["forecast"])
 
 
 def _summary(s, d):
@@ -93,8 +99,8 @@ def _summary(s, d):
 QUERIES = {
     "series_clean": lambda s, d: S.clean_series(table(s, d, "events"), "ts", "value", ("event_type",)),
     "infer_frequency": lambda s, d: S.infer_frequency(_mixed_points(s, d)).select("series", "frequency", "points", "times"),
-    "missing_steps": lambda s, d: S.missing_steps(_frequency(s, d)).select("series", "grid_steps", "missing_steps"),
-    "resample_interpolate": lambda s, d: _rounded(_grid(s, d), "value", places=8),
+    "missing_steps": lambda s, d: S.missing_steps(_frequency(s, d, True)).select("series", "grid_steps", "missing_steps"),
+    "resample_interpolate": lambda s, d: _rounded(_grid(s, d, True), "value", places=8),
     "calendar_features": lambda s, d: _grid(s, d).select("series", "ts", *S.calendar_columns()),
     "lag_features": lambda s, d: _rounded(S.time_features(_grid(s, d)).select("series", "ts", "lag_1", "lag_2", "lag_7"), "lag_1", "lag_2", "lag_7", places=8),
     "rolling_features": lambda s, d: _rounded(S.time_features(_grid(s, d)).select("series", "ts", "rolling_mean_7", "rolling_std_7"), "rolling_mean_7", "rolling_std_7", places=6),
@@ -126,8 +132,8 @@ ORACLES = {
     "series_clean": "SELECT event_type AS series, ts, value FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING count(*) >= 10)",
     "infer_frequency": f"""WITH {_MIXED} SELECT series, CASE WHEN points = times AND starts AND months = times THEN 'MS' WHEN points = times AND g0 = g1 AND g0 = 86400 THEN 'D'
         WHEN mid <= 3600 THEN 'h' WHEN mid <= 172800 THEN 'D' WHEN mid <= 864000 THEN 'W' ELSE 'MS' END AS frequency, points, times FROM st""",
-    "missing_steps": f"WITH {DAILY_SQL} SELECT series, date_diff('day', min(ts), max(ts)) + 1 AS grid_steps, greatest(date_diff('day', min(ts), max(ts)) + 1 - count(DISTINCT ts), 0) AS missing_steps FROM dl GROUP BY 1",
-    "resample_interpolate": f"WITH {GRID_SQL} SELECT series, ts, round(value, 8) AS value, observed FROM r",
+    "missing_steps": f"WITH {_gapped(DAILY_SQL)} SELECT series, date_diff('day', min(ts), max(ts)) + 1 AS grid_steps, greatest(date_diff('day', min(ts), max(ts)) + 1 - count(DISTINCT ts), 0) AS missing_steps FROM dl GROUP BY 1",
+    "resample_interpolate": f"WITH {_gapped(GRID_SQL)} SELECT series, ts, round(value, 8) AS value, observed FROM r",
     "calendar_features": f"""WITH {GRID_SQL} SELECT series, ts, year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, day(ts)::INTEGER AS day, (isodow(ts) - 1)::INTEGER AS dayofweek,
         quarter(ts)::INTEGER AS quarter, CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend FROM r""",
     "lag_features": f"WITH {FEATURE_SQL} SELECT series, ts, round(lag_1, 8) AS lag_1, round(lag_2, 8) AS lag_2, round(lag_7, 8) AS lag_7 FROM ft",

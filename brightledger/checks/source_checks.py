@@ -10,7 +10,9 @@ from ..functions.durable import ensure_checkpoint_dir
 from ..sources import history, readers
 from .views import table
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 def _csv(s, d):
@@ -29,7 +31,7 @@ QUERIES = {
     "latest_per_key": lambda s, d: history.latest_per_key(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"]),
     "catalogue_counts": lambda s, d: history.catalogue_counts({n: table(s, d, n) for n in _TABLES}),
 }
-_WIDTHS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6}
+_WIDTHS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
 
 ORACLES = {
     "csv_roundtrip": "SELECT * FROM orders",

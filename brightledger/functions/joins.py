@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.005
+TASK_ROWS = 2_000_000
 SALTS = 64
 
 
 def frequent_values(counts: DataFrame, key: str, n: str, rows: int, share: float = HOT_SHARE) -> list:
-    """Values that hold more than ``share`` of the rows: at most 1 / share of them."""
-    return [r[0] for r in counts.where((F.col(n) > rows * share) & F.col(key).isNotNull()).select(key).collect()]
+    """Values that hold more than ``share`` of the rows: at most 1 / share of them.
+
+    What a rarer value holds fits one task: more than ``TASK_ROWS`` rows under a smaller share still count as frequent,
+    down to a thousandth of the usual share, which bounds the list whatever the table holds.
+    """
+    least = max(min(rows * share, TASK_ROWS), rows * share / 1000)
+    return [r[0] for r in counts.where((F.col(n) > least) & F.col(key).isNotNull()).select(key).collect()]
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, hot: list, salts: int = SALTS) -> DataFrame:
@@ -20,10 +26,9 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, hot: list, salts: in
     Rows of frequent (or null) keys are spread over salts and the few matching lookup rows are repeated per
     salt. Small lookups are broadcast by adaptive execution, which knows their size.
     """
-    if not hot:
-        return df.join(lookup, key, "left")
-    spread = F.col(key).isNull() | F.col(key).isin(hot)
+    spread = F.col(key).isNull() | F.col(key).isin(hot) if hot else F.col(key).isNull()
     left = df.withColumn("_salt", F.when(spread, F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")).otherwise(0))
-    repeat = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    once = F.array(F.lit(0))
+    repeat = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(once) if hot else once
     right = lookup.withColumn("_salt", F.explode(repeat))
     return left.join(right, [key, "_salt"], "left").drop("_salt")

@@ -22,7 +22,7 @@ from ..functions.quantiles import medians, quantiles
 TINY = 1e-8
 # Lower score limit of each severity.
 SEVERITIES = ((0.85, "Critical"), (0.70, "High"), (0.50, "Medium"), (0.0, "Low"))
-TOP_FEATURES, SHOWN_VALUES = 3, 5
+TOP_FEATURES = 3
 TREES, TREE_ROWS = 100, 256
 
 
@@ -260,7 +260,7 @@ def combine(table: DataFrame, named: list[tuple[str, str]], methods: list[tuple[
 
 
 def reports(scored: DataFrame, scale: AnomalyScale, config: AnomalyConfig) -> dict[str, DataFrame]:
-    shown = F.create_map(*[v for c in scale.features[:SHOWN_VALUES] for v in (F.lit(c), as_number(scored, c))])
+    shown = F.create_map(*[v for c in scale.features for v in (F.lit(c), as_number(scored, c))])
     score = _clip01(F.col("anomaly_score"))
     helper = [_x(c) for c in scale.features]
     flagged = scored.where("is_anomaly").select(

@@ -53,7 +53,8 @@ class CleaningConfig:
     category_fill: str = "most_frequent"  # most_frequent, constant, drop
     category_fill_value: str = "Unknown"
     encoding: str = "onehot"           # onehot, ordinal, none
-    max_categories: int = 256
+    onehot_form: str = "columns"       # columns (one per category), vector (one per column; for very many categories)
+    max_categories: int = 256          # ordinal codes of more categories are looked up in a table; the codes are the same
 
 
 @dataclass
@@ -135,9 +136,10 @@ class CleaningModel:
         done = work.select(*out)
         for c in self.dictionaries if cfg.encoding == "onehot" else ():
             from pyspark.ml.feature import OneHotEncoder
+            # "keep" adds a slot for values that were not fitted, and dropLast leaves it out: they are all zeros.
             size = self.dictionaries[c][1]
             template = literal_rows(df.sparkSession, [(float(size - 1),)], f"`{c}_code` double")
-            encoder = OneHotEncoder(inputCol=f"{c}_code", outputCol=f"{c}_onehot", dropLast=False, handleInvalid="keep").fit(template)
+            encoder = OneHotEncoder(inputCol=f"{c}_code", outputCol=f"{c}_onehot", dropLast=True, handleInvalid="keep").fit(template)
             done = encoder.transform(done).drop(f"{c}_code")
         return done
 
@@ -418,7 +420,10 @@ def _fit_categories(work: DataFrame, model: CleaningModel) -> None:
         counts.unpersist()
         return
     distinct = {c: summary[c]["distinct_count"] if c in summary else 0 for c in categories}
-    small = [c for c in categories if distinct[c] <= cfg.max_categories]
+    if cfg.encoding == "onehot":
+        small = categories if cfg.onehot_form == "columns" else []
+    else:
+        small = [c for c in categories if distinct[c] <= cfg.max_categories]
     for c in small:
         model.levels[c] = []
     for r in counts.where(F.col("column_name").isin(small)).select("column_name", "value").collect() if small else []:
@@ -434,7 +439,7 @@ def _fit_categories(work: DataFrame, model: CleaningModel) -> None:
     for c in categories:
         if c in small:
             continue
-        # Too many categories for one column each: a dictionary table with codes in sorted order.
+        # A dictionary table with codes in sorted order.
         values = counts.where(F.col("column_name") == c).select("value", "n")
         if cfg.category_fill == "constant":
             filler = literal_rows(work.sparkSession, [(cfg.category_fill_value, 0)], "value string, n long")

@@ -198,7 +198,8 @@ def _scaled(rfm: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     z = rfm
     for c in cols:
         std = row[f"{c}_s"] or 1.0
-        z = z.withColumn(f"_z_{c}", (F.col(c) - F.lit(row[f"{c}_m"])) / F.lit(std))
+        # Around 10, not 0: bisecting K-means moves a centre by a share of its length to split it.
+        z = z.withColumn(f"_z_{c}", (F.col(c) - F.lit(row[f"{c}_m"])) / F.lit(std) + 10.0)
     return VectorAssembler(inputCols=[f"_z_{c}" for c in cols], outputCol="features").transform(z), row
 
 
@@ -241,41 +242,13 @@ class Clusters:
     k: int
 
 
-MICRO_CLUSTERS = 256
-
-
-def _ward_merge(centres, weights, ks: list[int]) -> dict[int, list[int]]:
-    """Ward merging of weighted centroids (at most 256 of them); the label of each centroid per k."""
-    import numpy as np
-
-    c, w = np.asarray(centres, float).copy(), np.asarray(weights, float).copy()
-    label = np.arange(len(c))
-    live = list(range(len(c)))
-    out = {}
-    while True:
-        if len(live) in ks:
-            order = {g: i for i, g in enumerate(sorted(live))}
-            out[len(live)] = [order[g] for g in label]
-        if len(live) <= min(ks):
-            return out
-        p, q = c[live], w[live]
-        cost = ((p[:, None, :] - p[None, :, :]) ** 2).sum(-1) * (q[:, None] * q[None, :]) / (q[:, None] + q[None, :])
-        np.fill_diagonal(cost, np.inf)
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)
-        a, b = live[min(i, j)], live[max(i, j)]
-        c[a] = (c[a] * w[a] + c[b] * w[b]) / (w[a] + w[b])
-        w[a] += w[b]
-        label[label == b] = a
-        live.remove(b)
-
-
 def cluster_customers(rfm: DataFrame, algorithm: str = "kmeans", seed: int = 42) -> Clusters:
     """Clusters on standardised recency, frequency, monetary; k from 2 to 6 by best silhouette.
 
-    Hierarchical clustering merges (Ward) at most 256 K-means micro-clusters; up to 256 customers each one is
-    its own micro-cluster, so small inputs get the plain Ward tree.
+    The hierarchy is built from the top, by bisecting K-means: every split is a Spark job over the rows, and the method
+    is the same for every number of customers.
     """
-    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
 
     cols = ["recency", "frequency", "monetary"]
@@ -283,7 +256,7 @@ def cluster_customers(rfm: DataFrame, algorithm: str = "kmeans", seed: int = 42)
     n = rfm.count()
     features = compact(features, n).persist(StorageLevel.MEMORY_AND_DISK)
     spark = rfm.sparkSession
-    title = "K-Means" if algorithm == "kmeans" else "Hierarchical Agglomerative"
+    title = "K-Means" if algorithm == "kmeans" else "Hierarchical Bisecting"
     schema = "algorithm string, optimal_k int, silhouette double, davies_bouldin double"
     if min(6, n - 1) < 2:
         assigned = features.withColumn("cluster", F.lit(0))
@@ -291,33 +264,10 @@ def cluster_customers(rfm: DataFrame, algorithm: str = "kmeans", seed: int = 42)
 
     candidates = {}
     ks = list(range(2, min(6, n - 1) + 1))
-    if algorithm == "hierarchical":
-        if n <= MICRO_CLUSTERS:
-            pts = features.select("customer_id", "features").orderBy("customer_id").collect()
-            merged = _ward_merge([p["features"].toArray() for p in pts], [1.0] * n, ks)
-            kind = rfm.schema["customer_id"].dataType.simpleString()
-            for k in ks:
-                names = literal_rows(spark, [(p["customer_id"], int(g)) for p, g in zip(pts, merged[k])], f"customer_id {kind}, cluster int")
-                candidates[k] = features.join(F.broadcast(names), "customer_id")
-        else:
-            model = KMeans(k=MICRO_CLUSTERS, seed=seed, featuresCol="features", predictionCol="micro").fit(features)
-            centres = model.clusterCenters()
-            micro = model.transform(features).persist(StorageLevel.MEMORY_AND_DISK)
-            sizes = {r[0]: r[1] for r in micro.groupBy("micro").count().collect()}
-            used = sorted(sizes)
-            merged = _ward_merge([centres[i] for i in used], [sizes[i] for i in used], ks)
-            for k in ks:
-                if k not in merged:
-                    continue
-                lookup = [0] * len(centres)
-                for i, g in zip(used, merged[k]):
-                    lookup[i] = int(g)
-                at = F.element_at(F.array(*map(F.lit, lookup)), F.col("micro") + 1)
-                candidates[k] = micro.withColumn("cluster", at.cast("int")).drop("micro")
-    else:
-        for k in ks:
-            model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(features)
-            candidates[k] = model.transform(features)
+    make = BisectingKMeans if algorithm == "hierarchical" else KMeans
+    for k in ks:
+        model = make(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(features)
+        candidates[k] = model.transform(features)
 
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     best_k, best = ks[0], -2.0

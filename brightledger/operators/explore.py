@@ -20,7 +20,6 @@ from .profile import cell_summary, duplicate_summary, missing_by_column
 
 IQR_FACTOR, SIGMA = 1.5, 3.0
 TOP_PAIRS, TOP_CATEGORIES = 15, 10
-TREND_COLUMNS = 3
 
 
 def _of_kind(df: DataFrame, kind: str, given: list[str] | None) -> list[str]:
@@ -160,7 +159,6 @@ def daily_means(df: DataFrame, date: str, columns: list[str]) -> DataFrame:
 
 def time_trends(df: DataFrame, date: str, columns: list[str]) -> DataFrame:
     """Least-squares trend of each column over its day buckets (one row per calendar day reaches the window)."""
-    columns = columns[:TREND_COLUMNS]
     means = daily_means(df, date, columns)
     indexed = means.withColumn("x", (F.row_number().over(W.orderBy("bucket")) - 1).cast("double"))
     wide = indexed.agg(
@@ -353,7 +351,7 @@ def explore(df: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
         out["histogram"] = histogram_bins(df, numbers[0])
     trends = corr = None
     if dates and numbers:
-        out["daily"] = daily_means(df, dates[0], numbers[:TREND_COLUMNS])
+        out["daily"] = daily_means(df, dates[0], numbers)
         trends = out["trends"] = time_trends(df, dates[0], numbers)
     if target in df.columns:
         features = [c for c in numbers if c != target]

@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 from random import Random
 
 from pyspark import StorageLevel
@@ -21,8 +22,6 @@ from .cleaning import CleaningConfig, CleaningModel, fit as fit_cleaning
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 MACHINE_EPS = 2.220446049250313e-16
-MAX_TRIALS = 15
-DEEPEST = 30
 
 # Search grids per algorithm.
 GRIDS = {
@@ -203,12 +202,18 @@ def param_draws(name: str, trials: int, seed: int) -> list[dict]:
     combos = [{}]
     for k, values in GRIDS[name].items():
         combos = [{**c, k: v} for c in combos for v in values]
-    return Random(seed).sample(combos, min(trials, MAX_TRIALS, len(combos)))
+    return Random(seed).sample(combos, min(trials, len(combos)))
 
 
-def fold_column(df: DataFrame, key: list[str], folds: int, seed: int = 42) -> DataFrame:
-    """Adds ``fold``, a key-hash fold number: the same on every run and layout."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(*[ref(k) for k in key], F.lit(seed)), F.lit(folds)).cast("int"))
+def fold_column(df: DataFrame, key: list[str], folds: int, seed: int = 42, label: str | None = None) -> DataFrame:
+    """Adds ``fold``: rows in the order of a digest of key and seed take folds in turn, the same on every run and layout.
+
+    With a label the turns run inside each class, so fold sizes differ by one row per class at most.
+    """
+    digest = F.md5(F.concat_ws("|", *[ref(k).cast("string") for k in key], F.lit(f"fold{seed}")))
+    work, group = (df, [label]) if label else (df.withColumn("_all", F.lit(0)), ["_all"])
+    placed = hash_positions(work, group, digest, "_turn", key)
+    return placed.withColumn("fold", F.pmod("_turn", F.lit(folds)).cast("int")).drop("_turn", "_turn_size", "_all")
 
 
 def cross_validate(vectors: DataFrame, task: str, make, folds: int) -> list[float]:
@@ -265,8 +270,9 @@ class Training:
 
 def vectorise(cleaned: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
-    # The assembler reads dots in names as struct access, so it gets plain helper names.
-    named = cleaned.select(*[ref(k) for k in keep], *[ref(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
+    # The assembler reads dots in names as struct access, so it gets plain helper names. Vectors go in as they are.
+    kinds = dict(cleaned.dtypes)
+    named = cleaned.select(*[ref(k) for k in keep], *[(ref(f) if kinds[f] == "vector" else ref(f).cast("double")).alias(f"_f{i}") for i, f in enumerate(features)])
     out = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="features", handleInvalid="keep").transform(named)
     return out.select(*keep, "features")
 
@@ -298,6 +304,14 @@ def evaluate(model, vectors: DataFrame, task: str, classes: int) -> dict:
     return out
 
 
+def _trained_rows(cleaner: CleaningModel, rows: DataFrame) -> DataFrame:
+    """The rows that the fit kept: without outliers where its action drops them."""
+    if cleaner.config.outlier_action != "drop_rows" or not cleaner.bounds:
+        return rows
+    typed = cleaner.prepared(rows.withColumn("_row", F.struct("*")))
+    return typed.where(~reduce(lambda a, b: a | b, [cleaner.is_outlier(c) for c in cleaner.bounds])).select("_row.*")
+
+
 def train(df: DataFrame, config: TrainingConfig) -> Training:
     """Split, preparation fitted on the training part only, every chosen model, metrics and the leaderboard."""
     spark, target = df.sparkSession, config.target
@@ -310,14 +324,19 @@ def train(df: DataFrame, config: TrainingConfig) -> Training:
     key = list(config.key) or [c for c in rows.columns if c != target]
     inputs = [c for c in rows.columns if c != target]
     parts = split(rows.withColumn("label", label), key, "label" if task == CLASSIFICATION else None, config.test_size, config.val_size, config.seed)
-    parts = fold_column(parts, key, config.folds, config.seed).persist(StorageLevel.MEMORY_AND_DISK)
+    # Folds are dealt among training rows only: each part and class is a group of its own.
+    strata = parts.withColumn("_stratum", F.concat_ws("|", "part", F.col("label").cast("string") if task == CLASSIFICATION else F.lit("")))
+    parts = fold_column(strata, key, config.folds, config.seed, "_stratum").drop("_stratum").persist(StorageLevel.MEMORY_AND_DISK)
 
     from dataclasses import replace
     cleaner, _ = fit_cleaning(parts.where("part = 'train'").select(*[ref(c) for c in inputs]), replace(config.cleaning, remove_duplicates=False))
     features = [c for c in cleaner.feature_names if c not in cleaner.kept or cleaner.roles.get(c) == "id" and is_number(df.schema[c].dataType)]
     # Label, part and fold ride along as pass-through columns, so the rows stay matched to their labels.
     cleaner_with_labels = replace(cleaner, kept=cleaner.kept + ["label", "part", "fold"])
-    ready = vectorise(cleaner_with_labels.transform(parts.select(*[ref(c) for c in inputs], "label", "part", "fold"), clip=False), features, ["label", "part", "fold"])
+    # Estimators see training rows as the fit saw them, with its outlier action; the other parts are only transformed.
+    chosen_rows = parts.select(*[ref(c) for c in inputs], "label", "part", "fold")
+    seen, unseen = (cleaner_with_labels.transform(_trained_rows(cleaner, chosen_rows.where("part = 'train'")), clip=True), cleaner_with_labels.transform(chosen_rows.where("part <> 'train'")))
+    ready = vectorise(seen.unionByName(unseen), features, ["label", "part", "fold"])
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = {r["part"]: r["n"] for r in ready.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = {p: ready.where(F.col("part") == p) for p in ("val", "test")}

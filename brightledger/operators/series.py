@@ -378,7 +378,9 @@ def boosted_forecast(split: DataFrame, frequency: DataFrame, horizon: int, confi
 
     z, c = _z(confidence), SPREAD["boosted"]
     margin = F.lit(z) * F.col("sigma") * F.sqrt(1 + c * F.col("step"))
-    future_rows = state.mapInPandas(walk, "series string, step int, ts timestamp_ntz, predicted double").join(spread, "series").select(
+    ahead_rows = state.mapInPandas(walk, "series string, step int, ts timestamp_ntz, predicted double")
+    # A short series has no complete training row and so no residuals: its spread is 1.
+    future_rows = ahead_rows.join(spread, "series", "left").withColumn("sigma", F.coalesce("sigma", F.lit(1.0))).select(
         "series", F.lit("boosted").alias("model"), F.lit("future").alias("part"), "step", "ts", F.lit(None).cast("double").alias("value"),
         "predicted", (F.col("predicted") - margin).alias("lower"), (F.col("predicted") + margin).alias("upper"))
     return test_rows.unionByName(future_rows)

@@ -63,15 +63,33 @@ def orders(spark):
     return spark.createDataFrame(rows, "customer_id string, order_date timestamp, revenue double, profit double").persist()
 
 
+@pytest.fixture(scope="module")
+def two_kinds(spark):
+    """Six customers with ten large recent orders each, nine with one small old one."""
+    last = datetime(2024, 6, 30)
+    rows = [(f"big{c}", last - timedelta(days=3 * i + c), 1000.0 + c) for c in range(6) for i in range(10)]
+    rows += [(f"small{c}", last - timedelta(days=300 + c), 20.0 + c) for c in range(9)]
+    return spark.createDataFrame(rows, "customer_id string, order_date timestamp, revenue double")
+
+
 @pytest.mark.parametrize("algorithm", ["kmeans", "hierarchical"])
-def test_customer_analysis(orders, algorithm):
-    out = C.analyse_customers(orders, algorithm=algorithm)
-    q = out["cluster_quality"].first()
-    assert q["optimal_k"] >= 2 and -1 <= q["silhouette"] <= 1 and q["davies_bouldin"] >= 0
-    assert out["clusters"].count() == out["rfm"].count() == orders.select("customer_id").distinct().count()
-    assert out["clv"].first()["top_clv_segment"] and out["churn"].count() == 1
-    assert out["segments"].agg(F.sum("customer_count")).first()[0] == out["rfm"].count()
-    assert out["segments"].agg(F.sum("total_revenue_share_pct")).first()[0] == pytest.approx(100, abs=0.1)
+def test_two_kinds_of_customers_are_two_clusters(two_kinds, algorithm):
+    out = C.analyse_customers(two_kinds, algorithm=algorithm)
+    assert out["cluster_quality"].first()["optimal_k"] == 2
+    labels = {r["customer_id"]: r["cluster"] for r in out["clusters"].collect()}
+    assert len({v for k, v in labels.items() if k[0] == "b"}) == len({v for k, v in labels.items() if k[0] == "s"}) == 1
+    assert labels["big0"] != labels["small0"] and len(labels) == 15
+    spent = out["segments"].agg(F.sum("customer_count"), F.sum("total_revenue_share_pct")).first()
+    assert spent[0] == 15 and spent[1] == pytest.approx(100, abs=0.1)
+
+
+def test_the_hierarchy_is_one_method_for_every_size(spark):
+    """256 and 257 customers in three far groups give the same three clusters."""
+    for n in (256, 257):
+        df = spark.range(n).select(F.col("id").alias("customer_id"), (F.col("id") % 3 * 100 + F.col("id") % 2).alias("recency"), (F.col("id") % 3 * 40 + 1).alias("frequency"), (F.col("id") % 3 * 5000.0 + F.col("id") % 5).alias("monetary"))
+        got = C.cluster_customers(df, "hierarchical")
+        groups = got.assigned.groupBy((F.col("customer_id") % 3).alias("g")).agg(F.collect_set("cluster").alias("c")).collect()
+        assert got.k == 3 and sorted(len(r["c"]) for r in groups) == [1, 1, 1] and len({r["c"][0] for r in groups}) == 3
 
 
 def test_scores_match_pandas_cuts_and_the_distributed_rank(orders):
@@ -90,11 +108,6 @@ def test_equal_edges_give_the_middle_score(spark):
     assert sorted(r["f_score"] for r in got) == sorted(pd.qcut(pd.Series(range(8)), 5, labels=[1, 2, 3, 4, 5]).astype(int))
 
 
-def test_ward_merge_joins_the_near_points():
-    labels = C._ward_merge([[0, 0], [0.1, 0], [10, 10], [10.1, 10], [50, 0]], [1, 1, 1, 1, 1], [2, 3])
-    assert len(set(labels[3])) == 3 and labels[3][0] == labels[3][1] and labels[3][2] == labels[3][3]
-
-
 def test_results_do_not_depend_on_partitions(orders):
     mapping = C.resolve_mapping(orders.columns)
     runs = [sorted(map(tuple, C.rfm_table(orders.repartition(n), mapping).select("customer_id", "segment_name", "monetary").collect())) for n in (1, 17)]

@@ -68,6 +68,35 @@ def test_training_prediction_and_registry(spark, classes, tmp_path):
         registry.load(done.best.model_id)
 
 
+@pytest.mark.parametrize("form", ["columns", "vector"])
+def test_training_on_many_categories(spark, form):
+    from brightledger.operators.cleaning import CleaningConfig
+
+    df = spark.range(900).select("id", F.concat(F.lit("v"), F.col("id") % 300).alias("word"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 300 < 150).cast("int").alias("y"))
+    cleaning = CleaningConfig(onehot_form=form, drop_correlated=False)
+    done = L.train(df, L.TrainingConfig("y", models=("logistic_regression",), key=("id",), folds=1, cleaning=cleaning))
+    assert done.best.validation["accuracy"] > 0.9
+
+
+def test_training_rows_are_clipped_and_others_are_not(spark):
+    from brightledger.operators.cleaning import CleaningConfig, fit
+
+    df = spark.createDataFrame([(float(i % 10), i) for i in range(99)] + [(1e6, 99)], "x double, row_key int")
+    model, _ = fit(df, CleaningConfig(scaling="none"))
+    assert L._trained_rows(model, df).count() == 100
+    assert model.transform(df, clip=True).agg(F.max("x")).first()[0] < 100 < model.transform(df).agg(F.max("x")).first()[0]
+    dropping, _ = fit(df, CleaningConfig(scaling="none", outlier_action="drop_rows"))
+    assert L._trained_rows(dropping, df).count() == 99 and L._trained_rows(dropping, df).columns == df.columns
+
+
+def test_folds_differ_by_one_row_per_class(classes):
+    folded = L.fold_column(classes, ["row_no"], 5, label="target")
+    n = folded.groupBy("target", "fold").count().groupBy("target").agg(F.max("count") - F.min("count"), F.count("fold")).collect()
+    assert all(r[1] <= 1 and r[2] == 5 for r in n)
+    same = lambda df: sorted(map(tuple, L.fold_column(df, ["row_no"], 5, label="target").select("row_no", "fold").collect()))
+    assert same(classes.repartition(1)) == same(classes.repartition(17))
+
+
 def test_regression_training(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (200, 3))

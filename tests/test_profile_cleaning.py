@@ -104,8 +104,19 @@ def test_drop_rows_action_and_codes_for_many_categories(spark):
     assert all(got[i] == words.index(f"v{i % 40}") for i in range(399))
     new = spark.createDataFrame([(1.0, "never seen", 1)], "x double, word string, row_key int")
     assert model.transform(new).first()["word"] == -1.0
-    wide, out = K.fit(df, K.CleaningConfig(encoding="onehot", max_categories=10))
-    assert out.schema["word_onehot"].dataType.simpleString() == "vector" and out.first()["word_onehot"].toArray().sum() == 1.0
+    wide, out = K.fit(df, K.CleaningConfig(encoding="onehot", onehot_form="vector"))
+    first = out.first()["word_onehot"].toArray()
+    assert out.schema["word_onehot"].dataType.simpleString() == "vector" and first.sum() == 1.0 and len(first) == 40
+    assert wide.transform(new).first()["word_onehot"].toArray().tolist() == [0.0] * 40
+
+
+def test_one_hot_has_one_form_for_every_number_of_categories(spark):
+    for n in (256, 300):
+        df = spark.range(2 * n).select(F.concat(F.lit("v"), F.col("id") % n).alias("word"), F.col("id").cast("double").alias("x"))
+        out = K.encode(df, ["word"])
+        assert len(out.columns) == n + 1
+        row = out.where("x = 7").first().asDict()
+        assert row.pop("x") == 7.0 and row.pop("word_v7") == 1.0 and set(row.values()) == {0.0}
 
 
 @pytest.mark.parametrize("fill,want", [("median", 2.0), ("mean", 7 / 3), ("most_frequent", 1.0), ("constant", 9.0)])

@@ -99,6 +99,14 @@ def test_boosted_recursion_matches_spark_predictions(spark):
     assert rows["ts"].min() > out["series"].agg(F.max("ts")).first()[0]
 
 
+def test_short_series_keep_their_boosted_future(spark):
+    long, short = (daily(spark, n).withColumn("shop", F.lit(f"s{n}")) for n in (60, 10))
+    out = S.forecast(long.union(short), S.ForecastConfig("ts", "value", ("shop",), horizon=5, models=("boosted",), trees=3))
+    future = out["forecast"].where("part = 'future'")
+    assert {r[0]: r[1] for r in future.groupBy("series").count().collect()} == {"s60": 5, "s10": 5}
+    assert future.where("lower IS NULL OR upper <= lower").count() == 0
+
+
 def test_many_series_at_once(spark):
     df = daily(spark, 40).withColumn("shop", F.explode(F.array(*[F.lit(f"s{i}") for i in range(5)]))).withColumn("value", F.col("value") + F.length("shop"))
     out = S.forecast(df, S.ForecastConfig("ts", "value", ("shop",), horizon=5, models=("baseline",)))

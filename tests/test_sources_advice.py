@@ -25,6 +25,8 @@ def test_delimiters(spark, tmp_path):
     for i, sep in enumerate("\t|"):
         path = write(tmp_path / f"c{i}.txt", f"p{sep}q\n1{sep}2\n")
         assert readers.detect_delimiter(spark, path) == sep and readers.read_table(spark, path).columns == ["p", "q"]
+    late = write(tmp_path / "late.csv", "a|b\n" + "x,y\n" * 3 + "1|2\n" * 40)
+    assert readers.detect_delimiter(spark, late) == "|"
     with pytest.raises(ValueError):
         readers.read_csv(spark, write(tmp_path / "empty.csv", ""))
 
