@@ -206,16 +206,14 @@ def rewrite(text: str, spans: list[dict]) -> str:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """The same rows and columns with private data masked and disclosing terms generalised or removed."""
-    keyed = docs.withColumn("_copy_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_copy"))
     found = find_private(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "copy"])
-    found = found.select(F.col("doc_id").alias("_found_id"), F.col("copy").alias("_found_copy"), F.col("spans").alias("_spans"))
-    both = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("_found_id")) & (F.col("_copy_key") == F.col("_found_copy")), "left")
-    both = both.drop("_copy_key", "_found_id", "_found_copy")
+    both = keyed.join(found, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_copy") == F.col("copy")), "left").select("_row.*", F.col("spans").alias("_spans"))
     names = docs.columns
     at = names.index("text")
 
     def run(batches):
-        for b in tokens.slices(batches):
+        for b in tokens.slices(batches, name=at):
             spans = b.column(b.num_columns - 1).to_pylist()
             texts = [rewrite(t, s) if s else t for t, s in zip(b.column(at).to_pylist(), spans)]
             columns = [b.column(i) for i in range(b.num_columns - 1)]

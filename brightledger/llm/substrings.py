@@ -15,8 +15,8 @@ can only match in the shard of its anchor. An anchor with more than SHARD classe
 windows are compared by hash, with minima combined on the map side.
 
 Positions are word numbers. Null and empty texts have no words. A null doc_id counts as the smallest. Rows that repeat a
-doc_id are one place: at the same start neither is earlier. Empty tables give no rows. `deduplicated` keeps all columns
-and rows; extra columns cannot clash with its own, which start with an underscore.
+doc_id are one place: at the same start neither is earlier. Empty tables give no rows. `deduplicated` keeps all rows and
+columns, also those whose names it uses itself.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import tokens, words
+from .durable import table
 
 WINDOW, ANCHOR = 20, 6
 SHARD = 1_000
@@ -98,14 +99,26 @@ def _anchors(w: words.Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """_d, _h, _t: the place of a document in the order, a hash of its text, and the text."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_column), F.lit(-(1 << 63))).cast("long").alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t"))
+    """_d and _t: the place of a document in the order, and its text."""
+    return docs.select(F.coalesce(F.col(id_column), F.lit(-(1 << 63))).cast("long").alias("_d"), F.coalesce(F.col(text_column), F.lit("")).alias("_t"))
+
+
+def _tags(w: words.Words) -> np.ndarray:
+    """24 bits of each text's hash, which tell rows with one doc_id apart."""
+    return (words.hash_ranges(w.buffer, w.text_start[:-1], w.text_start[1:] - 1) & np.uint64(0xFFFFFF)).astype(np.int64)
+
+
+def _place(start: np.ndarray, n: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """First window, number of windows and text tag in one long, which sorts by the first window."""
+    return start.astype(np.int64) << 31 | n.astype(np.int64) << 24 | tag
+
+
+def _start(place: Column) -> Column:
+    return F.shiftright(place, 31)
 
 
 def _pieces(keyed: DataFrame, window: int) -> DataFrame:
-    """a (anchor), p (content), _d, _h, s (first window) and n (windows) of every piece."""
-    names = ["a", "p", "_d", "_h", "s", "n"]
+    """a (anchor), p (content), _d and the place at of every piece."""
 
     def run(batches):
         for b in tokens.slices(batches, name="_t"):
@@ -114,49 +127,55 @@ def _pieces(keyed: DataFrame, window: int) -> DataFrame:
             start, n, anchor = _anchors(w, h, window)
             content = words.hash_ranges(h, start, start + n + window - 1)
             text = w.text[start] if len(start) else start
-            d, k = (b.column(c).to_numpy(zero_copy_only=False)[text] for c in ("_d", "_h"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), content.view(np.int64), d, k, (start - w.first[text]).astype(np.int32), n.astype(np.int32))], names)
+            d = b.column("_d").to_numpy(zero_copy_only=False)[text]
+            at = _place(start - w.first[text], n, _tags(w)[text])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), content.view(np.int64), d, at)], ["a", "p", "_d", "at"])
 
-    return keyed.mapInArrow(run, "a long, p long, _d long, _h long, s int, n int")
+    return keyed.mapInArrow(run, "a long, p long, _d long, at long")
 
 
 def _marked(keyed: DataFrame, window: int) -> DataFrame:
-    """_d, _h, s, n and kind of the pieces that are repeated (_ALL) or may be in part (_SOME, _HOT)."""
+    """_d, at and kind of the pieces that are repeated (_ALL) or may be in part (_SOME, _HOT)."""
     pieces = _pieces(keyed, window)
     twice = pieces.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
-    # Grouped by the complement, not by a itself: what a hot anchor's join has split is combined before it is dealt again.
-    seen = pieces.join(twice, "a").select(F.bitwise_not("a").alias("b"), "p", "_d", "_h", "s", "n")
-    classes = seen.groupBy("b", "p").agg(F.min(F.struct("_d", "s")).alias("first"))
-    several = classes.groupBy("b").agg(F.count(F.lit(1)).alias("classes"))
-    known = classes.join(several, "b").select("b", "p", "first", "classes")
-    is_first = (F.col("_d") == F.col("first._d")) & (F.col("s") == F.col("first.s"))
+    seen = table(pieces.join(twice, "a"))
+    classes = table(seen.groupBy("a", "p").agg(F.min(F.struct("_d", "at")).alias("first")))
+    several = classes.groupBy("a").agg(F.count(F.lit(1)).alias("classes"))
+    known = classes.join(several, "a").select("a", "p", "first", "classes")
+    is_first = (F.col("_d") == F.col("first._d")) & (_start(F.col("at")) == _start(F.col("first.at")))
     kind = F.when(~is_first, _ALL).when((F.col("classes") > 1) & (F.col("classes") <= SHARD), _SOME).when(F.col("classes") > SHARD, _HOT)
-    marked = seen.join(known, ["b", "p"]).select("_d", "_h", "s", "n", kind.alias("kind"))
+    marked = seen.join(known, ["a", "p"]).select("_d", "at", kind.alias("kind"))
     return marked.where("kind IS NOT NULL")
 
 
+def _unpacked(marks: list[int], tag: int) -> list[tuple[int, int]]:
+    """(first window, windows) of the marks of the text with this tag."""
+    return [(m >> 31, m >> 24 & 127) for m in marks if m & 0xFFFFFF == tag]
+
+
 def _reference(open_docs: DataFrame, window: int) -> DataFrame:
-    """a, _d, _h, s, kind and the word hashes of the pieces that are still undecided."""
+    """a, _d, tag, s, hot and the word hashes of the pieces that are still undecided: 32 bits a word, many words a window."""
 
     def run(batches):
         for b in tokens.slices(batches, name="_t"):
             w = words.find_words(b.column("_t"))
-            h = w.hashes().view(np.int64)
+            h, tags = w.hashes(), _tags(w).tolist()
             rows = []
-            for i, (d, k, marks) in enumerate(zip(b.column("_d").to_pylist(), b.column("_h").to_pylist(), b.column("open").to_pylist())):
-                for m in marks:
-                    own = h[w.first[i] + m["s"] : w.first[i] + m["s"] + m["n"] + window - 1]
-                    runs = words.hash_ranges(own.view(np.uint64), np.arange(window - ANCHOR + 1), np.arange(ANCHOR, window + 1))
-                    rows.append((int(runs.min().view(np.int64)), d, k, m["s"], m["kind"], own))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            for i, d in enumerate(b.column("_d").to_pylist()):
+                for hot, name in ((False, "some"), (True, "hot")):
+                    for start, n in _unpacked(b.column(name)[i].as_py(), tags[i]):
+                        own = h[w.first[i] + start : w.first[i] + start + n + window - 1]
+                        runs = words.hash_ranges(own, np.arange(window - ANCHOR + 1), np.arange(ANCHOR, window + 1))
+                        rows.append((int(runs.min().view(np.int64)), d, tags[i], start, hot, (own >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
             columns = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "_d", "_h", "s", "kind", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "_d", "tag", "s", "hot", "w"])
 
-    return open_docs.mapInArrow(run, "a long, _d long, _h long, s int, kind int, w array<long>")
+    return open_docs.mapInArrow(run, "a long, _d long, tag long, s long, hot boolean, w array<int>")
 
 
 def _shared_spans(reference: DataFrame, window: int) -> DataFrame:
-    """_d, _h, s, n of the windows that an earlier piece of the same anchor has.
+    """_d and at of the stretches of windows that an earlier piece of the same anchor has.
 
     Of equal starts in rows with one doc_id none is earlier, so their pieces are matched before any of them is added.
     """
@@ -165,7 +184,7 @@ def _shared_spans(reference: DataFrame, window: int) -> DataFrame:
         anchor, automaton, waiting, place = None, None, [], None
         for b in batches:
             out = []
-            for a, d, k, s, w in zip(*(b.column(c).to_pylist() for c in ("a", "_d", "_h", "s", "w"))):
+            for a, d, tag, s, w in zip(*(b.column(c).to_pylist() for c in ("a", "_d", "tag", "s", "w"))):
                 if a != anchor:
                     anchor, automaton, waiting, place = a, SuffixAutomaton(), [], None
                 if (d, s) != place:
@@ -173,69 +192,69 @@ def _shared_spans(reference: DataFrame, window: int) -> DataFrame:
                         automaton.add(x)
                     waiting, place = [], (d, s)
                 hit = [i - window + 1 for i, n in enumerate(automaton.matching_statistics(w)) if n >= window]
-                for j in hit:
-                    if out and out[-1][:2] == (d, k) and out[-1][2] + out[-1][3] == s + j and j:
-                        out[-1] = (d, k, out[-1][2], out[-1][3] + 1)
-                    else:
-                        out.append((d, k, s + j, 1))
+                while hit:
+                    n = next((k for k in range(1, len(hit)) if hit[k] != hit[0] + k), len(hit))
+                    out.append((d, (s + hit[0]) << 31 | n << 24 | tag))
+                    hit = hit[n:]
                 waiting.append(w)
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["_d", "_h", "s", "n"])
+            columns = list(zip(*out)) if out else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["_d", "at"])
 
-    dealt = reference.repartition("a").sortWithinPartitions("a", "_d", "s", "_h")
-    return dealt.mapInArrow(run, "_d long, _h long, s int, n int")
+    dealt = reference.repartition("a").sortWithinPartitions("a", "_d", "s", "tag")
+    return dealt.mapInArrow(run, "_d long, at long")
 
 
 def _shared_windows(reference: DataFrame, window: int) -> DataFrame:
     """The same by hashes of single windows."""
     at = F.sequence(F.lit(0), F.size("w") - window)
-    each = reference.select("_d", "_h", "s", F.explode(F.transform(at, lambda i: F.struct(i.alias("i"), F.slice("w", i + 1, F.lit(window)).alias("w")))).alias("x"))
-    each = each.select("_d", "_h", (F.col("s") + F.col("x.i")).alias("s"), F.xxhash64("x.w").alias("v"))
+    each = reference.select("_d", "tag", "s", F.explode(F.transform(at, lambda i: F.struct(i.alias("i"), F.slice("w", i + 1, F.lit(window)).alias("w")))).alias("x"))
+    each = each.select("_d", "tag", (F.col("s") + F.col("x.i")).alias("s"), F.xxhash64("x.w").alias("v"))
     first = each.groupBy("v").agg(F.min(F.struct("_d", "s")).alias("first"))
     late = each.join(first, "v").where((F.col("_d") != F.col("first._d")) | (F.col("s") != F.col("first.s")))
-    return late.select("_d", "_h", "s", F.lit(1).alias("n"))
+    return late.select("_d", (F.shiftleft("s", 31) + F.lit(1 << 24) + F.col("tag")).alias("at"))
 
 
 def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and per _d, _h the stretches (s, n) of windows that occur earlier."""
+    """The keyed documents, and by _d the packed stretches of windows that occur earlier."""
+    if window - ANCHOR + 1 > 127 or window < ANCHOR:
+        raise ValueError("a window has at least as many words as an anchor and at most 126 more")
     keyed = _keyed(docs, id_column, text_column)
-    listed = F.collect_list(F.struct("s", "n", "kind"))
-    marks = _marked(keyed, window).groupBy("_d", "_h").agg(listed.alias("marks"))
-    undecided = marks.select("_d", "_h", F.filter("marks", lambda m: m["kind"] != _ALL).alias("open"))
-    # Outer joins keep this exchange of the texts equal to the last one's, so that Spark reuses it.
-    open_docs = keyed.join(undecided, ["_d", "_h"], "left").where(F.size("open") > 0).dropDuplicates(["_d", "_h"])
-    reference = _reference(open_docs.select("_d", "_h", "_t", "open"), window)
-    shared = _shared_spans(reference.where(F.col("kind") == _SOME), window).union(_shared_windows(reference.where(F.col("kind") == _HOT), window))
-    shared = shared.groupBy("_d", "_h").agg(F.collect_list(F.struct("s", "n")).alias("shared"))
-    repeated = F.transform(F.filter("marks", lambda m: m["kind"] == _ALL), lambda m: F.struct(m["s"].alias("s"), m["n"].alias("n")))
-    both = marks.select("_d", "_h", repeated.alias("all")).join(shared, ["_d", "_h"], "left")
-    none = F.array().cast("array<struct<s:int,n:int>>")
-    return keyed, both.select("_d", "_h", F.concat("all", F.coalesce("shared", none)).alias("repeats")).where(F.size("repeats") > 0)
-
-
-def _kept_words(w: words.Words, i: int, repeats: list[dict] | None, window: int) -> np.ndarray:
+    of_kind = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("at")))
+    marks = table(_marked(keyed, window).groupBy("_d").agg(of_kind(_ALL).alias("all"), of_kind(_SOME).alias("some"), of_kind(_HOT).alias("hot")))
+    # The texts are dealt by _d here and once more by the caller: one exchange, which Spark reuses.
+    open_docs = keyed.join(marks.where(F.size("some") + F.size("hot") > 0), "_d")
+    reference = _reference(open_docs.select("_d", "_t", "some", "hot"), window)
+    shared = _shared_spans(reference.where(~F.col("hot")), window).union(_shared_windows(reference.where("hot"), window))
+    shared = shared.groupBy("_d").agg(F.collect_list("at").alias("shared"))
+    both = marks.join(shared, "_d", "left")
+    repeats = F.concat("all", F.coalesce("shared", F.array().cast("array<bigint>")))
+    return keyed, both.select("_d", repeats.alias("repeats")).where(F.size("repeats") > 0)
+
+
+def _kept_words(w: words.Words, i: int, repeats: list[tuple[int, int]], window: int) -> np.ndarray:
     """Numbers, in the batch, of the words of text i that no repeated window covers."""
     first, last = int(w.first[i]), int(w.first[i + 1])
     if not repeats:
         return np.arange(first, last)
     cover = np.zeros(last - first + 1, np.int64)
-    for m in repeats:
-        cover[m["s"]] += 1
-        cover[m["s"] + m["n"] + window - 1] -= 1
+    for start, n in repeats:
+        cover[start] += 1
+        cover[start + n + window - 1] -= 1
     return first + np.flatnonzero(np.cumsum(cover[:-1]) == 0)
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words of every document."""
     keyed, repeats = repeated_windows(docs, window=window)
-    all_docs = keyed.join(repeats, ["_d", "_h"], "left")
+    all_docs = keyed.join(repeats, "_d", "left")
 
     def run(batches):
         for b in tokens.slices(batches, name="_t"):
             w = words.find_words(b.column("_t"))
             raw, n, removed, digest = w.buffer.tobytes(), np.diff(w.first), [], []
+            tags = _tags(w).tolist()
             for i, m in enumerate(b.column("repeats").to_pylist()):
-                kept = _kept_words(w, i, m, window)
+                kept = _kept_words(w, i, _unpacked(m or [], tags[i]), window)
                 removed.append(int(n[i]) - len(kept))
                 digest.append(sha256(b" ".join([raw[s:e] for s, e in zip(w.start[kept].tolist(), w.end[kept].tolist())])).hexdigest())
             ids = [None if d == -(1 << 63) else d for d in b.column("_d").to_pylist()]
@@ -258,17 +277,17 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The same rows and columns, texts without their repeated words; a text without repeats is left as it is."""
     names = docs.columns
     _, repeats = repeated_windows(docs, window=window)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    repeats = repeats.withColumnsRenamed({"_d": "_rd", "_h": "_rh"})
-    keyed = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(-(1 << 63))), "_h": F.xxhash64(text)})
-    both = keyed.join(repeats, (F.col("_d") == F.col("_rd")) & (F.col("_h") == F.col("_rh")), "left").select(*(F.col(f"`{c}`") for c in names), "repeats")
+    packed = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_d"))
+    both = packed.join(repeats, "_d", "left").select("_row.*", F.col("repeats").alias("_repeats"))
     at = names.index("text")
 
     def run(batches):
-        for b in tokens.slices(batches):
+        for b in tokens.slices(batches, name=at):
             texts = b.column(at).to_pylist()
             w = words.find_words(b.column(at))
+            tags = _tags(w).tolist()
             for i, m in enumerate(b.column(len(names)).to_pylist()):
+                m = _unpacked(m or [], tags[i])
                 if m:
                     first, origin = int(w.first[i]), int(w.text_start[i])
                     own = slice(first, int(w.first[i + 1]))

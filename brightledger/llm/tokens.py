@@ -80,7 +80,7 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20, name: str | int = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `size` bytes of text, so that memory follows the longest text only."""
     for b in batches:
         col = b.column(name)
