@@ -57,7 +57,7 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
     """Levels (file_id, node, sha256) from the leaves up; the last has one root a file, its node 0."""
     levels = [leaf.select("file_id", F.col("record_no").alias("node"), "sha256")]
     for _ in range(LEVELS):
-        levels.append(_parent(levels[-1], F.floor(F.col("node") / FANOUT).alias("node")))
+        levels.append(cut(_parent(levels[-1], F.floor(F.col("node") / FANOUT).alias("node"))))  # short plans for the descent
     levels.append(_parent(levels[-1]).select("file_id", F.lit(0).cast("long").alias("node"), "sha256"))
     return levels
 
