@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import learn as L
 from .views import table
 
-# Boosted models in these queries stop after this many rounds; the operator's default is 100.
-ROUNDS = 15
 _RULE = "CASE WHEN l_discount > 0.05 THEN 'R' WHEN l_tax > 0.04 THEN 'A' ELSE 'N' END"
 FLAGS = ["A", "N", "R"]
 
@@ -29,12 +27,12 @@ def priced_lines(s, d):
 
 
 def _classes(s, d, *models, **extra):
-    cfg = L.TrainingConfig("quality", models=models, key=("doc_id",), trees=ROUNDS, **{"folds": 1, **extra})
+    cfg = L.TrainingConfig("quality", models=models, key=("doc_id",), **extra)
     return L.train(labelled_documents(s, d), cfg)
 
 
 def _numbers(s, d, *models, **extra):
-    cfg = L.TrainingConfig("l_extendedprice", models=models, key=("l_orderkey", "l_linenumber", "l_quantity", "l_discount"), trees=ROUNDS, **{"folds": 1, **extra})
+    cfg = L.TrainingConfig("l_extendedprice", models=models, key=("l_orderkey", "l_linenumber", "l_quantity", "l_discount"), **extra)
     return L.train(priced_lines(s, d), cfg)
 
 
@@ -43,7 +41,7 @@ def _board(training):
 
 
 def _search(s, d):
-    return _board(_classes(s, d, "logistic_regression", tuning=True, trials=3, folds=2))
+    return _board(_classes(s, d, "logistic_regression", tuning=True, trials=10))
 
 
 def _predictions(s, d):
@@ -64,11 +62,11 @@ QUERIES = {
     "ml_linear": lambda s, d: _board(_numbers(s, d, "linear_regression")),
     "ml_rf_class": lambda s, d: _board(_classes(s, d, "random_forest")),
     "ml_rf_reg": lambda s, d: _board(_numbers(s, d, "random_forest")),
-    "ml_gbt_class": lambda s, d: _board(_classes(s, d, "gradient_boosting")),
-    "ml_gbt_reg": lambda s, d: _board(_numbers(s, d, "gradient_boosting")),
-    "ml_boosted_alt": lambda s, d: _board(_classes(s, d, "boosted_alt")),
+    "ml_gbt_class": lambda s, d: _board(_classes(s, d, "gradient_boosting", folds=1)),
+    "ml_gbt_reg": lambda s, d: _board(_numbers(s, d, "gradient_boosting", folds=1)),
+    "ml_boosted_alt": lambda s, d: _board(_classes(s, d, "boosted_alt", folds=1)),
     "ml_random_search": _search,
-    "ml_cv": lambda s, d: _board(_classes(s, d, "logistic_regression", folds=3)),
+    "ml_cv": lambda s, d: _board(_classes(s, d, "logistic_regression", folds=5)),
     "ml_leaderboard": lambda s, d: _board(_classes(s, d, "logistic_regression", "random_forest")),
     "ml_predict": _predictions,
 }

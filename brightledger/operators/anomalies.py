@@ -138,18 +138,23 @@ def _grow(x: np.ndarray, limit: int, rng) -> list[tuple[int, float, int, int, fl
 def isolation_trees(table: DataFrame, features: list[str], rows: int, seed: int = 42, trees: int = TREES, tree_rows: int = TREE_ROWS) -> DataFrame:
     """(tree, node, feature, cut, left, right, depth): one random tree per group of sampled rows.
 
-    A hash of row and row position picks a pool of bounded size (copies of one row are drawn apart), and a hash
-    of it and the tree picks the rows of each tree, so every group holds about 256 rows whatever the table size.
+    A hash of the row's content picks a pool of bounded size and a hash of it and the tree the rows of each tree, so every
+    group holds about 256 rows whatever the table size, and no layout changes the trees. Equal rows are counted, and as
+    many of their copies are drawn as their number asks for.
     """
     pool_size = trees * tree_rows
     cols = [ref(_x(c)) for c in features]
-    drawn = table.select(*[c.alias(f"f{i}") for i, c in enumerate(cols)], F.xxhash64(*[ref(c) for c in table.columns], F.monotonically_increasing_id()).alias("h"))
+    names = [f"f{i}" for i in range(len(features))]
     span = 1 << 40
-    if rows > pool_size:
-        drawn = drawn.where(F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(span)) < int(span * min(1.0, 1.1 * pool_size / rows)))
+    unit = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(span)) / F.lit(float(span))
+    chance = min(1.0, 1.1 * pool_size / rows) if rows > pool_size else 1.0
+    equal = table.select(*[c.alias(f"f{i}") for i, c in enumerate(cols)], F.xxhash64(*[ref(c) for c in table.columns]).alias("h"))
+    equal = equal.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.max(n).alias(n) for n in names])
+    copies = F.floor(F.col("n") * F.lit(chance) + unit).cast("int") if chance < 1.0 else F.col("n").cast("int")
+    drawn = equal.withColumn("k", copies).where("k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("k"))))
+    drawn = drawn.select(*names, F.xxhash64("h", "copy").alias("h"))
     expected = min(rows, int(1.1 * pool_size))
     share = min(1.0, 1.25 * tree_rows / max(1, expected))
-    names = [f"f{i}" for i in range(len(features))]
     picked = (
         drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         .withColumn("r", F.pmod(F.xxhash64("h", "tree", F.lit(seed + 1)), F.lit(span)))

@@ -72,7 +72,7 @@ def test_training_prediction_and_registry(spark, classes, tmp_path):
 def test_training_on_many_categories(spark, form):
     from brightledger.operators.cleaning import CleaningConfig
 
-    df = spark.range(900).select("id", F.concat(F.lit("v"), F.col("id") % 300).alias("word"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 300 < 150).cast("int").alias("y"))
+    df = spark.range(3000).select("id", F.concat(F.lit("v"), F.col("id") % 300).alias("word"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 300 < 150).cast("int").alias("y"))
     cleaning = CleaningConfig(onehot_form=form, drop_correlated=False)
     done = L.train(df, L.TrainingConfig("y", models=("logistic_regression",), key=("id",), folds=1, cleaning=cleaning))
     assert done.best.validation["accuracy"] > 0.9

@@ -169,3 +169,11 @@ def test_projection_of_three_features_is_centred(planted):
     x = x - x.mean(0)
     u, s, v = np.linalg.svd(x, full_matrices=False)
     assert np.allclose(np.abs(got["x"]), np.abs(x @ v[0]), atol=1e-6) and abs(got["x"].mean()) < 1e-6
+
+
+def test_isolation_scores_do_not_depend_on_the_layout(spark):
+    df = spark.range(40_000).select(F.col("id").alias("row_id"), F.sin(F.col("id") * 1.7).alias("a"), (F.col("id") % 101 * 1.0).alias("b"))
+    df = df.union(df.where("row_id < 50"))
+    config = A.AnomalyConfig(features=("a", "b"), method="isolation_forest")
+    runs = [sorted((r["row_id"], round(r["anomaly_score"], 9), r["is_anomaly"]) for r in A.detect(df.repartition(n), config)["scores"].collect()) for n in (1, 17)]
+    assert runs[0] == runs[1] and len(runs[0]) == 40_050
