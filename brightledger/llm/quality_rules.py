@@ -21,7 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .durable import cut
+from .durable import cut, table
 
 MAX_FALSE, MISS, GOOD_COST = 0.05, 0.05, 10
 #: A word: no space, no U+0009 to U+000D.
@@ -139,7 +139,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
     Texts are measured once more beside their rows: that costs less than a shuffle of all texts to the verdicts.
     """
     measured = cut(measures(docs, ["doc_id", stratum]))
-    cutoffs = certified_cutoffs(measured, labels, stratum)
+    # Written: a file's size is known, so Spark joins a short table without dealing the texts by stratum.
+    cutoffs = table(certified_cutoffs(measured, labels, stratum))
     packed = docs.select(F.struct("*").alias("_row"), F.col(stratum).alias(stratum), F.col("text").alias("_text"))
     judged = _with_verdict(measures(packed, ["_row", stratum], "_text"), cutoffs, stratum)
     return judged.where("kept").select("_row.*")
