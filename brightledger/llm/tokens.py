@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 #: Fixed value: how the byte-level tokenizers cut text into pre-tokens. White space is Unicode's, without the
 #: separators U+001C to U+001F that Python counts as well.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
