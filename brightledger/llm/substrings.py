@@ -137,11 +137,12 @@ def _pieces(keyed: DataFrame, window: int) -> DataFrame:
 def _marked(keyed: DataFrame, window: int) -> DataFrame:
     """_d, at and kind of the pieces that are repeated (_ALL) or may be in part (_SOME, _HOT)."""
     pieces = _pieces(keyed, window)
-    twice = pieces.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
+    # Aggregates are written before they are joined: a join of two plain exchanges is one whose hot anchors Spark can split.
+    twice = table(pieces.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a"))
     seen = table(pieces.join(twice, "a"))
     classes = table(seen.groupBy("a", "p").agg(F.min(F.struct("_d", "at")).alias("first")))
     several = classes.groupBy("a").agg(F.count(F.lit(1)).alias("classes"))
-    known = classes.join(several, "a").select("a", "p", "first", "classes")
+    known = table(classes.join(several, "a").select("a", "p", "first", "classes"))
     is_first = (F.col("_d") == F.col("first._d")) & (_start(F.col("at")) == _start(F.col("first.at")))
     kind = F.when(~is_first, _ALL).when((F.col("classes") > 1) & (F.col("classes") <= SHARD), _SOME).when(F.col("classes") > SHARD, _HOT)
     marked = seen.join(known, ["a", "p"]).select("_d", "at", kind.alias("kind"))
