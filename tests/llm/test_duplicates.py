@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from conftest import EDGE
+from edge_cases import EDGE
 
 from brightledger.llm import components, fingerprints, simhash, substrings
 

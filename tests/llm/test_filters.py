@@ -8,7 +8,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
-from conftest import EDGE
+from edge_cases import EDGE
 from pyspark.sql import functions as F
 
 from brightledger.llm import disclosure, line_crf, quality_rules, secrets, warc_fixity
@@ -56,7 +56,7 @@ def test_entropy_windows(spark):
 
 
 def test_allowed_and_plain_strings_are_left_alone(spark):
-    texts = ["123e4567-e89b-12d3-a456-426614174000", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1", "donaudampfschifffahrtsgesellschaft", "aaaaaaaaaaaaaaaaaaaaaaaa1", "12345678901234567890123"]
+    texts = ["123e4567-e89b-12d3-a456-426614174000", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1", "donaudampfschifffahrtsgesellschaft", "zzzzzzzzzzzzzzzzzzzzzzzz1", "12345678901234567890123"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["spans"] for r in secrets.find_secrets(df, ["doc_id"]).collect()] == [[]] * len(texts)
 
@@ -102,8 +102,9 @@ def test_binomial_bound_is_exact(spark):
 
 def test_cutoffs_need_enough_labels(spark):
     words = " ".join(f"w{i}" for i in range(40))
-    rows = [(i, words + f" x{i}", "many") for i in range(400)] + [(1000 + i, words + " ###" * 30 + f" y{i}", "many") for i in range(30)]
-    rows += [(2000 + i, words + f" z{i}", "few") for i in range(20)] + [(3000 + i, words + " ###" * 30 + f" v{i}", "few") for i in range(20)]
+    signs = " " + " ".join(f"##{j}#" for j in range(30))
+    rows = [(i, words + f" x{i}", "many") for i in range(400)] + [(1000 + i, words + signs + f" y{i}", "many") for i in range(30)]
+    rows += [(2000 + i, words + f" z{i}", "few") for i in range(20)] + [(3000 + i, words + signs + f" v{i}", "few") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_w", F.lit(1))
     labels = docs.select("doc_id", (~F.col("text").contains("#")).cast("int").alias("quality"))
     judged = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs, labels).collect()}

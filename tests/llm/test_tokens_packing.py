@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import EDGE
+from edge_cases import EDGE
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
