@@ -115,6 +115,16 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{disclosure.KINDS[k]}") for k in range(4)), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+_OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, w FROM d),
+win AS (SELECT doc_id, i, word, CASE WHEN i + 19 <= n THEN array_to_string(w[i:i + 19], ' ') END AS window_text FROM word),
+flag AS (SELECT doc_id, i, word, CASE WHEN window_text IS NOT NULL AND row_number() OVER (PARTITION BY window_text ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS late FROM win),
+cover AS (SELECT doc_id, i, word, max(late) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM flag),
+kept AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS text FROM cover GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -129,5 +139,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_substrings": _OP4_SQL,
     "op9_warc_fixity": _OP9_SQL,
 }
