@@ -17,6 +17,7 @@ with those made here are not read.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -108,12 +109,10 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, max_
             above.append(F.struct(F.lit(i).alias("rule"), F.lit(c).cast("long").alias("cutoff"), F.sum((over & (F.col("quality") == 1)).cast("long")).alias("k"), F.sum((over & (F.col("quality") == 0)).cast("long")).alias("bad")))
     counts = held.groupBy(stratum).agg(F.sum("quality").cast("long").alias("n"), F.array(*above).alias("c"))
     counts = cut(counts.select(stratum, "n", F.explode("c").alias("c")).select(stratum, "n", "c.*"))
-    tests = counts.agg(F.count(F.lit(1)).alias("tests"))
-    sure = log_binomial_cdf(F.col("k"), F.col("n"), max_false) <= F.log(F.lit(miss) / F.greatest(F.col("tests"), F.lit(1)))
+    sure = log_binomial_cdf(F.col("k"), F.col("n"), max_false) <= F.lit(math.log(miss / max(1, counts.count())))
     gain = F.col("bad") - GOOD_COST * F.col("k")
     best = (
-        counts.join(F.broadcast(tests))  # one row
-        .where((gain > 0) & (F.col("k") <= max_false * F.col("n")) & (F.col("n") > 0) & sure)
+        counts.where((gain > 0) & (F.col("k") <= max_false * F.col("n")) & (F.col("n") > 0) & sure)
         .groupBy(stratum, "rule")
         .agg(F.max(F.struct(gain.alias("gain"), "cutoff"))["cutoff"].alias("cutoff"))
     )
