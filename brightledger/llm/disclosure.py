@@ -8,9 +8,10 @@ GENERALISE on a term is generalised, from REMOVE on it is removed, wherever it s
 than SUPPORT different texts are chance. Documents without an entity are never touched.
 
 Positions count code points, ends are exclusive. Terms are words without punctuation at either end, A-Z in lower case,
-known by a 64-bit hash. Counts combine on the map side; only hashes and counts are shuffled, texts are not.
+known by a 64-bit hash. Counts combine on the map side. Copies of a text count once in every number, so each text is
+shuffled once to its copies; besides that only hashes and counts are.
 
-Null and empty texts have no spans. Repeated rows give a row each and count as one text where pairs are counted. Null ids
+Null and empty texts have no spans. Repeated rows give a row each and count as one text. Null ids
 keep their rows. Empty tables give no rows. Other columns are not read by `find_private` and kept by `sanitised`.
 """
 
@@ -93,7 +94,7 @@ def _terms(w: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def term_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """term (hash) and n, the number of texts that hold it."""
+    """term (hash) and n_term, the number of different texts that hold it."""
 
     def run(batches):
         for b in tokens.slices(batches, name=text_column):
@@ -107,7 +108,9 @@ def term_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
             term, n = np.unique(h[new], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
 
-    parts = docs.select(text_column).mapInArrow(run, "term long, n long")
+    text = F.coalesce(text_column, F.lit(""))
+    once = docs.groupBy(F.xxhash64(text).alias("_copy")).agg(F.first(text).alias(text_column))
+    parts = once.select(text_column).mapInArrow(run, "term long, n long")
     return parts.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
@@ -181,7 +184,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     """doc_id, copy and spans (k, s, e) of every document, by kind and start; k is an index of KINDS."""
     found = cut(_base_and_context(docs))
     near = found.where(F.size("near") > 0).select("doc_id", "copy", F.explode("near").alias("x")).select("doc_id", "copy", "x.*")
-    flagged = disclosing_terms(near, term_counts(docs), found.count())
+    flagged = disclosing_terms(near, term_counts(docs), found.select("copy").distinct().count())
     telling = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("k", "s", "e")).alias("terms"))
     # A term near two entities is removed if either asks for it.
     removed = F.filter("terms", lambda x: x["k"] == KINDS.index("remove"))

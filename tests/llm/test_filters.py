@@ -213,6 +213,14 @@ def test_terms_that_reveal_an_entity(spark):
     assert "zanzibar" not in texts[1000] and "[EMAIL]" in texts[1000] and texts[2001] == "zanzibar alone" and texts[2000] is None
 
 
+def test_copies_leave_the_spans_of_a_text_unchanged(spark):
+    rows = [(i, f"talk about harbour {i} of item{i} more") for i in range(3000)]
+    rows += [(5000 + i, f"we note{i} the zanzibar harbour write to ann@ex.org about more") for i in range(4)]
+    copied = rows + [(6000 + i, rows[3000][1]) for i in range(1000)]
+    once, often = ({r["doc_id"]: r["spans"] for r in disclosure.find_private(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, copied))
+    assert len(once[5000]) > 1 and all(once[d] == often[d] for d in once) and often[6000] == once[5000]
+
+
 def test_disclosure_edge_cases(edge, nothing):
     assert disclosure.find_private(edge).count() == len(EDGE) and disclosure.find_private(nothing).count() == 0
     out = disclosure.sanitised(edge)
