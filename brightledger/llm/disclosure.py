@@ -3,9 +3,10 @@
 Base spans are e-mail and IP addresses, card and phone numbers. Masking them may not be enough: a term that appears (almost)
 only near one of these entities still reveals it. Over the whole corpus, texts are counted that hold a term, an entity,
 and the term near the entity (REACH words on either side). The pointwise mutual information of term and entity, as a
-share of the entity's own information content, is what the term discloses: 1 if it is never met without the entity. From
-GENERALISE on a term is generalised, from REMOVE on it is removed, wherever it stands near its entity; pairs met in fewer
-than SUPPORT different texts are chance. Documents without an entity are never touched.
+share of the entity's own information content, is what the term discloses: near 1 if it is never met without the entity.
+From GENERALISE on a term is generalised, from REMOVE on it is removed, wherever it stands near its entity. Most personal
+values stand in one text only, so no number of texts is asked for; instead every term counts as met in DOUBT more texts
+without the entity, which lowers the share of what was seen once. Documents without an entity are never touched.
 
 Positions count code points, ends are exclusive. Terms are words without punctuation at either end, A-Z in lower case,
 known by a 64-bit hash. Counts combine on the map side. Copies of a text count once in every number, so each text is
@@ -27,7 +28,7 @@ from . import tokens, words
 from .durable import cut
 
 KINDS = ["email", "ip", "card", "phone", "general", "remove"]
-REACH, SUPPORT = 10, 3
+REACH, DOUBT = 10, 1
 GENERALISE, REMOVE = 0.7, 0.9
 #: The forms of base spans. The digits before an address cannot belong to it, so none start in a run of them.
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -164,18 +165,18 @@ def _base_and_context(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(run, _FOUND.format(d.schema["doc_id"].dataType.simpleString()))
 
 
-def disclosing_terms(near: DataFrame, terms: DataFrame, n_texts: int, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(near: DataFrame, terms: DataFrame, n_texts: int, generalise: float = GENERALISE, remove: float = REMOVE, doubt: int = DOUBT) -> DataFrame:
     """entity, term and k, the kind of span of what the term discloses.
 
     near: copy, entity, term of every term near an entity; terms: term, n_term over all texts.
     """
     met = near.select("entity", "term", "copy").distinct()
-    together = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    together = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     entities = near.select("entity", "copy").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     known = together.join(entities, "entity").join(terms, "term")
     total = F.lit(float(max(n_texts, 1)))
     content = F.log2(total / F.col("n_entity"))
-    shared = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity"))) / content
+    shared = F.log2(F.col("n_both") * total / ((F.col("n_term") + doubt) * F.col("n_entity"))) / content
     kind = F.when(shared >= remove, KINDS.index("remove")).when(shared >= generalise, KINDS.index("general"))
     return known.where(content > 0).select("entity", "term", kind.alias("k")).where("k IS NOT NULL")
 

@@ -213,6 +213,15 @@ def test_terms_that_reveal_an_entity(spark):
     assert "zanzibar" not in texts[1000] and "[EMAIL]" in texts[1000] and texts[2001] == "zanzibar alone" and texts[2000] is None
 
 
+def test_entities_of_one_text_count(spark):
+    rows = [(i, f"we write to the harbour about item{i} more") for i in range(1000)]
+    rows += [(2000, "we write to Quillfeather at q@ex.org about more"), (2001, "the harbour is at 10.1.2.3 more or less")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: {rows[-2 if r["doc_id"] == 2000 else -1][1][s["s"] : s["e"]]: disclosure.KINDS[s["k"]] for s in r["spans"]} for r in disclosure.find_private(df).collect() if r["doc_id"] >= 2000}
+    assert found[2000]["q@ex.org"] == "email" and found[2000]["Quillfeather"] in ("general", "remove") and not {"we", "write", "to", "about", "more"} & set(found[2000])
+    assert found[2001]["10.1.2.3"] == "ip" and not {"the", "harbour", "more"} & set(found[2001])
+
+
 def test_copies_leave_the_spans_of_a_text_unchanged(spark):
     rows = [(i, f"talk about harbour {i} of item{i} more") for i in range(3000)]
     rows += [(5000 + i, f"we note{i} the zanzibar harbour write to ann@ex.org about more") for i in range(4)]
