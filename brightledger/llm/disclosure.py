@@ -4,13 +4,14 @@ Base spans are e-mail and IP addresses, card and phone numbers. Masking them may
 only near one of these entities still reveals it. Over the whole corpus, texts are counted that hold a term, an entity,
 and the term near the entity (REACH words on either side). The pointwise mutual information of term and entity, as a
 share of the entity's own information content, is what the term discloses: near 1 if it is never met without the entity.
-From GENERALISE on a term is generalised, from REMOVE on it is removed, wherever it stands near its entity. Most personal
+From GENERALISE on a term is generalised, from REMOVE on it is removed, wherever it stands in a document that holds the
+entity: REACH says what is counted, not what is masked. Most personal
 values stand in one text only, so no number of texts is asked for; instead every term counts as met in DOUBT more texts
 without the entity, which lowers the share of what was seen once. Documents without an entity are never touched.
 
 Positions count code points, ends are exclusive. Terms are words without punctuation at either end, A-Z in lower case,
 known by a 64-bit hash. Counts combine on the map side. Copies of a text count once in every number, so each text is
-shuffled once to its copies; besides that only hashes and counts are.
+shuffled once to its copies, and texts with an entity once more to their flagged terms; the rest is hashes and counts.
 
 Null and empty texts have no spans. Repeated rows give a row each and count as one text. Null ids
 keep their rows. Empty tables give no rows. Other columns are not read by `find_private` and kept by `sanitised`.
@@ -116,55 +117,83 @@ def term_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 _SPAN = "struct<k:int,s:bigint,e:bigint>"
-_FOUND = f"doc_id {{}}, copy long, base array<{_SPAN}>, near array<struct<entity:bigint,term:bigint,s:bigint,e:bigint>>"
+_FOUND = f"doc_id {{}}, copy long, base array<{_SPAN}>, near array<struct<entity:bigint,term:bigint>>, entities array<bigint>, terms array<bigint>, text string"
+
+
+def _hash(value: str) -> int:
+    raw = np.frombuffer(value.encode(), np.uint8)
+    return int(words.hash_ranges(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0])
+
+
+def _free_terms(column: pa.Array, found: list[list[tuple[int, int]]]):
+    """For each text: start, end (code points) and hash of its words' terms, which of them may be masked, and each span's word range.
+
+    Words that a span touches are no terms, nor are words of punctuation alone.
+    """
+    w = words.find_words(column)
+    start, end, h = _terms(w)
+    points = words.code_point_offsets(w.buffer)
+    for i, spans in enumerate(found):
+        own = slice(w.first[i], w.first[i + 1])
+        origin = points[w.text_start[i]]
+        s, e = points[start[own]] - origin, points[end[own]] - origin
+        whole_s, whole_e = points[w.start[own]] - origin, points[w.end[own]] - origin
+        free = e > s
+        ranges = []
+        for a, b in spans:
+            lo, hi = int(np.searchsorted(whole_e, a, side="right")), int(np.searchsorted(whole_s, b, side="left"))
+            free[lo:hi] = False
+            ranges.append((lo, hi))
+        yield s, e, h[own].view(np.int64), free, ranges
 
 
 def _base_and_context(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (a hash of the text), base spans, and the terms near each entity."""
+    """doc_id, copy (a hash of the text), base spans, the terms near each entity; entities, terms and text where there are spans."""
     span_type = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("s", pa.int64()), ("e", pa.int64())]))
-
-    def context(column: pa.Array, found: list[list[tuple[int, int, int, str]]]) -> list[list[dict]]:
-        """Terms within reach of the spans of each text; words that a span touches are none."""
-        w = words.find_words(column)
-        start, end, h = _terms(w)
-        points = words.code_point_offsets(w.buffer)
-        out: list[list[dict]] = []
-        for i, spans in enumerate(found):
-            own = slice(w.first[i], w.first[i + 1])
-            origin = points[w.text_start[i]]
-            s, e, t = points[start[own]] - origin, points[end[own]] - origin, h[own].view(np.int64)
-            whole_s, whole_e = points[w.start[own]] - origin, points[w.end[own]] - origin
-            taken = np.zeros(len(s), bool)
-            ranges = []
-            for _, a, b, _ in spans:
-                lo, hi = int(np.searchsorted(whole_e, a, side="right")), int(np.searchsorted(whole_s, b, side="left"))
-                taken[lo:hi] = True
-                ranges.append((lo, hi))
-            rows = []
-            for (k, _, _, value), (lo, hi) in zip(spans, ranges):
-                entity = int(words.hash_ranges(np.frombuffer(f"{k}:{value}".encode(), np.uint8), np.array([0]), np.array([len(f"{k}:{value}".encode())])).view(np.int64)[0])
-                for j in [*range(max(0, lo - REACH), lo), *range(hi, min(len(s), hi + REACH))]:
-                    if not taken[j] and e[j] > s[j]:
-                        rows.append({"entity": entity, "term": int(t[j]), "s": int(s[j]), "e": int(e[j])})
-            out.append(rows)
-        return out
+    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
+    longs = pa.list_(pa.int64())
 
     def run(batches):
         for b in tokens.slices(batches):
             found = [base_spans(t) for t in tokens.text_column(b)]
             some = [i for i, f in enumerate(found) if f]
-            near: list[list[dict]] = [[] for _ in found]
+            near, entities, terms = ([[] for _ in found] for _ in range(3))
+            texts: list[str | None] = [None] * len(found)
             if some:
-                for i, rows in zip(some, context(b.column("text").take(pa.array(some)), [found[i] for i in some])):
-                    near[i] = rows
+                chosen = b.column("text").take(pa.array(some))
+                for i, text, (_, _, t, free, ranges) in zip(some, chosen.to_pylist(), _free_terms(chosen, [[x[1:3] for x in found[i]] for i in some])):
+                    own = [_hash(f"{k}:{value}") for k, _, _, value in found[i]]
+                    reach = [[*range(max(0, lo - REACH), lo), *range(hi, min(len(t), hi + REACH))] for lo, hi in ranges]
+                    near[i] = [{"entity": x, "term": int(t[j])} for x, js in zip(own, reach) for j in js if free[j]]
+                    entities[i], terms[i], texts[i] = sorted(set(own)), np.unique(t[free]), text
             base = [[{"k": k, "s": s, "e": e} for k, s, e, _ in f] for f in found]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), pa.array(base, span_type), pa.array(near, near_type)], ["doc_id", "copy", "base", "near"])
+            columns = [b.column("doc_id"), b.column("copy"), pa.array(base, span_type), pa.array(near, near_type), pa.array(entities, longs), pa.array(terms, longs), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "base", "near", "entities", "terms", "text"])
 
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.xxhash64("text"))
     return d.mapInArrow(run, _FOUND.format(d.schema["doc_id"].dataType.simpleString()))
 
 
+def _with_terms(found: DataFrame) -> DataFrame:
+    """doc_id, copy and spans of rows (doc_id, copy, base, flags, text): base spans and every place of a flagged term."""
+    span_type = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))
+
+    def run(batches):
+        for b in tokens.slices(batches):
+            spans, flags = b.column("base").to_pylist(), b.column("flags").to_pylist()
+            some = [i for i, f in enumerate(flags) if f]
+            if some:
+                known = _free_terms(b.column("text").take(pa.array(some)), [[(x["s"], x["e"]) for x in spans[i]] for i in some])
+                for i, (s, e, t, free, _) in zip(some, known):
+                    kind = {f["term"]: f["k"] for f in flags[i]}
+                    at = np.flatnonzero(free & np.isin(t, np.array(list(kind), np.int64)))
+                    spans[i] = spans[i] + [{"k": kind[int(t[j])], "s": int(s[j]), "e": int(e[j])} for j in at]
+            spans = [sorted(x, key=lambda x: (x["k"], x["s"], x["e"])) for x in spans]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), pa.array(spans, span_type)], ["doc_id", "copy", "spans"])
+
+    return found.select("doc_id", "copy", "base", "flags", "text").mapInArrow(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, copy long, spans array<{_SPAN}>")
+
+
 def disclosing_terms(near: DataFrame, terms: DataFrame, n_texts: int, generalise: float = GENERALISE, remove: float = REMOVE, doubt: int = DOUBT) -> DataFrame:
     """entity, term and k, the kind of span of what the term discloses.
 
@@ -185,14 +214,16 @@ def find_private(docs: DataFrame) -> DataFrame:
     """doc_id, copy and spans (k, s, e) of every document, by kind and start; k is an index of KINDS."""
     found = cut(_base_and_context(docs))
     near = found.where(F.size("near") > 0).select("doc_id", "copy", F.explode("near").alias("x")).select("doc_id", "copy", "x.*")
-    flagged = disclosing_terms(near, term_counts(docs), found.select("copy").distinct().count())
-    telling = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("k", "s", "e")).alias("terms"))
-    # A term near two entities is removed if either asks for it.
-    removed = F.filter("terms", lambda x: x["k"] == KINDS.index("remove"))
-    general = F.filter("terms", lambda x: (x["k"] == KINDS.index("general")) & ~F.exists(removed, lambda y: y["s"] == x["s"]))
-    telling = telling.select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"), F.concat(general, removed).alias("terms"))
-    both = found.join(telling, found["doc_id"].eqNullSafe(F.col("_doc")) & (found["copy"] == F.col("_copy")), "left")
-    return both.select("doc_id", "copy", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(f"array<{_SPAN}>")))).alias("spans"))
+    flagged = cut(disclosing_terms(near, term_counts(docs), found.select("copy").distinct().count()))
+    # Copies hold the same terms and entities, so each different text is looked up once.
+    once = found.where(F.size("entities") > 0).dropDuplicates(["copy"])
+    told = once.select("copy", F.explode("terms").alias("term")).join(flagged, "term")
+    told = told.join(once.select("copy", F.explode("entities").alias("entity")), ["copy", "entity"], "left_semi")
+    # A term of two entities is removed if either asks for it.
+    flags = told.groupBy("copy", "term").agg(F.max("k").alias("k")).groupBy(F.col("copy").alias("_copy")).agg(F.collect_list(F.struct("term", "k")).alias("flags"))
+    plain = found.where(F.size("base") == 0).select("doc_id", "copy", F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    held = found.where(F.size("base") > 0).join(cut(flags), F.col("copy") == F.col("_copy"), "left")
+    return _with_terms(held).union(plain)
 
 
 def rewrite(text: str, spans: list[dict]) -> str:

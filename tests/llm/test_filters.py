@@ -222,6 +222,15 @@ def test_entities_of_one_text_count(spark):
     assert found[2001]["10.1.2.3"] == "ip" and not {"the", "harbour", "more"} & set(found[2001])
 
 
+def test_flagged_terms_are_masked_beyond_reach(spark):
+    far = " ".join(["we write to the harbour about more"] * 5)
+    rows = [(i, f"we write to the harbour about item{i} more") for i in range(1000)]
+    rows += [(2000, f"Zanzibar wrote to z@ex.org {far} zanzibar, {far}"), (2001, f"more to z@ex.org {far} (zanzibar) more"), (2002, f"{far} zanzibar")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in disclosure.sanitised(df).collect()}
+    assert "zanzibar" not in texts[2000].lower() and "zanzibar" not in texts[2001] and "harbour" in texts[2001] and texts[2002] == rows[-1][1]
+
+
 def test_copies_leave_the_spans_of_a_text_unchanged(spark):
     rows = [(i, f"talk about harbour {i} of item{i} more") for i in range(3000)]
     rows += [(5000 + i, f"we note{i} the zanzibar harbour write to ann@ex.org about more") for i in range(4)]
