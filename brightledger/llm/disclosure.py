@@ -10,8 +10,8 @@ values stand in one text only, so no number of texts is asked for; instead every
 without the entity, which lowers the share of what was seen once. Documents without an entity are never touched.
 
 Positions count code points, ends are exclusive. Terms are words without punctuation at either end, A-Z in lower case,
-known by a 64-bit hash. Counts combine on the map side. Copies of a text count once in every number, so each text is
-shuffled once to its copies, and texts with an entity once more to their flagged terms; the rest is hashes and counts.
+known by a 64-bit hash. Counts combine on the map side. Copies of a text count once in every number: texts that have copies
+are shuffled to them, and texts with an entity to their flagged terms; the rest is hashes and counts.
 
 Null and empty texts have no spans. Repeated rows give a row each and count as one text. Null ids
 keep their rows. Empty tables give no rows. Other columns are not read by `find_private` and kept by `sanitised`.
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens, words
-from .durable import cut
+from .durable import table
 
 KINDS = ["email", "ip", "card", "phone", "general", "remove"]
 REACH, DOUBT = 10, 1
 GENERALISE, REMOVE = 0.7, 0.9
+#: Two to this power bits mark hashes of repeated texts: at most a million rows of 64 bits are broadcast at any size.
+FILTER = 26
 #: The forms of base spans. The digits before an address cannot belong to it, so none start in a run of them.
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -69,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, entity) by kind and start; the entity is the value in a normal form."""
     out = [(0, s, e, text[s:e].lower()) for s, e in emails(text)] if "@" in text else []
     if not text.isascii() or any(c in text for c in "0123456789"):
-        out += [(1, m.start(), m.end(), m[0]) for m in IP.finditer(text) if all(len(x) < 20 and int(x) <= 255 or not x.strip("0") for x in m[0].split("."))]
+        out += [(1, m.start(), m.end(), m[0]) for m in IP.finditer(text) if all(len(x := part.lstrip("0")) <= 3 and int(x or 0) <= 255 for part in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = NOT_DIGIT.sub("", m[0]) if m.end() - m.start() >= 16 else ""
             if 16 <= len(digits) <= 19 and passes_luhn(digits):
@@ -85,7 +87,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def _terms(w: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last byte and hash of every word's term; words of punctuation alone have an empty one."""
     start, end = w.start.copy(), w.end.copy()
-    for _ in range(8):
+    while True:
         cut_end = (end > start) & _MARK[w.buffer[np.maximum(end - 1, 0)]]
         end -= cut_end
         cut_start = (end > start) & _MARK[w.buffer[np.minimum(start, len(w.buffer) - 1)]]
@@ -110,9 +112,17 @@ def term_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
             term, n = np.unique(h[new], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
 
-    text = F.coalesce(text_column, F.lit(""))
-    once = docs.groupBy(F.xxhash64(text).alias("_copy")).agg(F.first(text).alias(text_column))
-    parts = once.select(text_column).mapInArrow(run, "term long, n long")
+    texts = docs.select(F.coalesce(text_column, F.lit("")).alias(text_column)).withColumn("copy", F.xxhash64(text_column))
+    # A table of FILTER bits marks the hashes of texts that stand in several rows. Texts without a mark stand once and are
+    # counted where they lie; only the others are brought together with their copies.
+    repeated = texts.groupBy("copy").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("copy")
+    slot = lambda h: F.shiftrightunsigned(h, 64 - FILTER)
+    marks = repeated.select(F.shiftright(slot(F.col("copy")), 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(copy, {64 - FILTER}) & 63 as int))").alias("bit"))
+    marks = table(marks.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    seen = texts.withColumn("word", F.shiftright(slot(F.col("copy")), 6)).join(F.broadcast(marks), "word", "left")
+    marked = F.expr(f"coalesce(shiftrightunsigned(bits, cast(shiftrightunsigned(copy, {64 - FILTER}) & 63 as int)) & 1, 0) = 1")
+    once = seen.where(marked).groupBy("copy").agg(F.first(text_column).alias(text_column))
+    parts = seen.where(~marked).select(text_column).union(once.select(text_column)).mapInArrow(run, "term long, n long")
     return parts.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
@@ -212,9 +222,9 @@ def disclosing_terms(near: DataFrame, terms: DataFrame, n_texts: int, generalise
 
 def find_private(docs: DataFrame) -> DataFrame:
     """doc_id, copy and spans (k, s, e) of every document, by kind and start; k is an index of KINDS."""
-    found = cut(_base_and_context(docs))
+    found = table(_base_and_context(docs))
     near = found.where(F.size("near") > 0).select("doc_id", "copy", F.explode("near").alias("x")).select("doc_id", "copy", "x.*")
-    flagged = cut(disclosing_terms(near, term_counts(docs), found.select("copy").distinct().count()))
+    flagged = table(disclosing_terms(near, term_counts(docs), found.select("copy").distinct().count()))
     # Copies hold the same terms and entities, so each different text is looked up once.
     once = found.where(F.size("entities") > 0).dropDuplicates(["copy"])
     told = once.select("copy", F.explode("terms").alias("term")).join(flagged, "term")
@@ -222,7 +232,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     # A term of two entities is removed if either asks for it.
     flags = told.groupBy("copy", "term").agg(F.max("k").alias("k")).groupBy(F.col("copy").alias("_copy")).agg(F.collect_list(F.struct("term", "k")).alias("flags"))
     plain = found.where(F.size("base") == 0).select("doc_id", "copy", F.array().cast(f"array<{_SPAN}>").alias("spans"))
-    held = found.where(F.size("base") > 0).join(cut(flags), F.col("copy") == F.col("_copy"), "left")
+    held = found.where(F.size("base") > 0).join(table(flags), F.col("copy") == F.col("_copy"), "left")
     return _with_terms(held).union(plain)
 
 
