@@ -36,3 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def release(*what: DataFrame | str) -> None:
+    """Deletes written tables and folders that no later work reads."""
+    spark = SparkSession.getActiveSession()
+    for x in what:
+        for path in [x] if isinstance(x, str) else {f.rsplit("/", 1)[0] for f in x.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables; thin wrappers that derive the agreed columns."""
+"""The thirteen operators as queries over the driver's tables; thin wrappers that derive the agreed columns."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, disclosure, fingerprints, line_crf, packing, quality_rules, secrets, simhash, substrings, warc_fixity
+from . import bpe, disclosure, fingerprints, kneser_ney, line_crf, merkle_manifest, packing, quality_rules, secrets, simhash, substrings, walsh_clusters, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +115,118 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{disclosure.KINDS[k]}") for k in range(4)), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of nine documents in ten; sums are rounded to six decimals."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    _, scored = kneser_ney.learn_and_score(_table(spark, sf_dir, "documents"), held_out)
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str, height: int = merkle_manifest.HEIGHT) -> DataFrame:
+    """Leaf, subroot of its language, root and proof of every document, and whether what it is now still leads to the root."""
+    docs = _table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle_manifest.digest_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle_manifest.prove(docs, F.col("lang"), ["doc_id"], leaf(F.col("text")), F.when(tampered, leaf(lowered)), height=height)
+
+
+def _crc32_sql(value: str) -> str:
+    """Unsigned CRC-32 of a text of ASCII characters."""
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({value}, ''), lambda z: ascii(z)::BIGINT)), lambda c, b: {step}), 4294967295)"
+
+
+def _op11_sql() -> str:
+    """The model of order 2."""
+    last = lambda v, d: f"greatest({v} - CASE WHEN {v} = 1 THEN {d}.d1 WHEN {v} = 2 THEN {d}.d2 WHEN {v} > 2 THEN {d}.d3 ELSE 0 END, 0)"
+    taken = lambda t, v: (
+        f"(SELECT CASE WHEN n1 > 0 AND n2 > 0 THEN greatest(1 - 2 * y * n2 / n1, 0) ELSE 0.5 END AS d1, CASE WHEN n1 > 0 AND n2 > 0 AND n3 > 0 THEN greatest(2 - 3 * y * n3 / n2, 0) ELSE 1 END AS d2, "
+        f"CASE WHEN n1 > 0 AND n3 > 0 AND n4 > 0 THEN greatest(3 - 4 * y * n4 / n3, 0) ELSE 1.5 END AS d3, n1, n2, n3p FROM (SELECT *, CASE WHEN n1 > 0 THEN n1 / (n1 + 2 * n2) END AS y FROM "
+        f"(SELECT {', '.join(f'count(*) FILTER (WHERE {v} = {k})::DOUBLE AS n{k}' for k in (1, 2, 3, 4))}, count(*) FILTER (WHERE {v} > 2)::DOUBLE AS n3p FROM {t})))"
+    )
+    return rf"""
+WITH d AS (SELECT doc_id, {_crc32_sql('doc_id::VARCHAR')} % 10 = 0 AS held_out,
+  list_append(list_prepend(' b', regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')), ' e') AS w FROM documents),
+pair AS MATERIALIZED (SELECT doc_id, held_out, unnest(w[:-2]) AS v, unnest(w[2:]) AS w FROM d),
+uni AS MATERIALIZED (SELECT w, count(*) AS c, count(DISTINCT v) AS a FROM pair WHERE NOT held_out GROUP BY w),
+bi AS MATERIALIZED (SELECT v, w, count(*) AS c FROM pair WHERE NOT held_out GROUP BY v, w),
+ctx AS MATERIALIZED (SELECT v, sum(c)::DOUBLE AS total, count(*) FILTER (WHERE c = 1) AS n1, count(*) FILTER (WHERE c = 2) AS n2, count(*) FILTER (WHERE c > 2) AS n3 FROM bi GROUP BY v),
+du AS MATERIALIZED {taken('uni', 'a')}, db AS MATERIALIZED {taken('bi', 'c')},
+tot AS MATERIALIZED (SELECT sum(c)::BIGINT AS n, count(*) AS known, sum(a)::DOUBLE AS a FROM uni),
+token AS (
+  SELECT p.doc_id, p.held_out, coalesce(uni.c, 0) AS met, tot.n, log10((coalesce(uni.c, 0) + 0.1::DOUBLE) / (tot.n + 0.1::DOUBLE * (tot.known + 1))) AS base,
+    {last('coalesce(uni.a, 0)', 'du')} / tot.a + (du.d1 * du.n1 + du.d2 * du.n2 + du.d3 * du.n3p) / tot.a / (tot.known + 1) AS p1,
+    {last('coalesce(bi.c, 0)', 'db')} AS top, ctx.total, db.d1 * ctx.n1 + db.d2 * ctx.n2 + db.d3 * ctx.n3 AS left_over
+  FROM pair p CROSS JOIN tot CROSS JOIN du CROSS JOIN db LEFT JOIN uni ON p.w = uni.w LEFT JOIN bi ON p.v = bi.v AND p.w = bi.w LEFT JOIN ctx ON p.v = ctx.v)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE met > 0) AS n_known, min(n) AS train_tokens, round(sum(base), 6) AS base_score,
+  round(sum(log10(CASE WHEN total IS NULL THEN p1 ELSE top / total + left_over / total * p1 END)), 6) AS score
+FROM token GROUP BY doc_id, held_out
+"""
+
+
+def _op12_sql(levels: int = 8, over: int = 3) -> str:
+    """Levels for up to 8 ** levels rows of a language and 8 ** over languages."""
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({part('doc_id')} || {part('source')} || {part('lang')} || {part('n_chars')} || {part(text)})"
+    out = [
+        f"doc AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 3 = 0 THEN {leaf('low')} END AS other FROM "
+        "(SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents))",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM doc)",
+        "t0 AS (SELECT lang AS g, pos AS i, n, leaf AS d FROM placed)",
+    ]
+
+    def tree(t: str, count: int) -> None:
+        for k in range(count):
+            w = "OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+            out.append(
+                f"{t}s{k} AS (SELECT *, coalesce(string_agg(d, '') {w} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, "
+                f"coalesce(string_agg(d, '') {w} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {t}{k})"
+            )
+            out.append(f"{t}{k + 1} AS (SELECT g, i // 8 AS i, (min(n) + 7) // 8 AS n, CASE WHEN min(n) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {t}{k} GROUP BY g, i // 8)")
+
+    tree("t", levels)
+    out.append(f"u0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n, d, g AS lang FROM t{levels})")
+    tree("u", over)
+    fold = "CASE WHEN {s}.n = 1 THEN c ELSE sha256({s}.b || c || {s}.a) END AS c, proof || {s}.b || {s}.a AS proof"
+    out.append("f0 AS (SELECT doc_id, lang, leaf, pos, coalesce(other, leaf) AS c, '' AS proof FROM placed)")
+    for k in range(levels):
+        s = f"ts{k}"
+        out.append(f"f{k + 1} AS (SELECT doc_id, lang, leaf, f.pos, {fold.format(s=s)} FROM f{k} f JOIN {s} ON f.lang IS NOT DISTINCT FROM {s}.g AND f.pos // {8**k} = {s}.i)")
+    out.append(f"h0 AS (SELECT f.doc_id, f.leaf, u0.d AS subroot, u0.i AS pos, f.c, f.proof FROM f{levels} f JOIN u0 ON f.lang IS NOT DISTINCT FROM u0.lang)")
+    for k in range(over):
+        s = f"us{k}"
+        out.append(f"h{k + 1} AS (SELECT doc_id, leaf, subroot, f.pos, {fold.format(s=s)} FROM h{k} f JOIN {s} ON f.pos // {8**k} = {s}.i)")
+    return (
+        "WITH " + ",\n".join(out) + f"\nSELECT doc_id, leaf, subroot, u{over}.d AS root, sha256(proof) AS proof_sha256, c AS folded_root, c = u{over}.d AS verified FROM h{over}, u{over}"
+    )
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the embeddings after three rounds, found in the Walsh-Hadamard domain."""
+    return walsh_clusters.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(k: int = 16, rounds: int = 3) -> str:
+    pick = "list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))"
+    out = [
+        f"kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len({pick}) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS k, v FROM kept QUALIFY k < {k})",
+    ]
+    for n in range(rounds + 1):
+        apart = "list_sum(list_transform(range(1, 65), lambda i: (e.v[i] - c.v[i]) * (e.v[i] - c.v[i])))"
+        out.append(f"near{n} AS MATERIALIZED (SELECT e.r, e.vec_id, e.v, c.k, CAST({apart} AS BIGINT) AS d FROM kept e, c{n} c QUALIFY row_number() OVER (PARTITION BY e.r ORDER BY d, c.k) = 1)")
+        if n < rounds:
+            out.append(f"part{n} AS (SELECT k, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT k, unnest(range(1, 65)) AS i, unnest(v) AS x FROM near{n}) GROUP BY k, i)")
+            out.append(f"mean{n} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM part{n} GROUP BY k)")
+            out.append(f"c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN mean{n} m USING (k))")
+    last = f"near{rounds}"
+    return (
+        "WITH " + ",\n".join(out) + f"\nSELECT vec_id, CAST({last}.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY {last}.k) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM {last} JOIN c{rounds} c USING (k)"
+    )
+
+
 _OP4_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 word AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, w FROM d),
@@ -136,9 +248,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_crf": op8_line_crf,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_disclosure": op10_disclosure,
+    "op11_kneser_ney": op11_kneser_ney,
+    "op12_manifest": op12_manifest,
+    "op13_clusters": op13_clusters,
 }
 
 ORACLES: dict[str, str] = {
     "op4_substrings": _OP4_SQL,
     "op9_warc_fixity": _OP9_SQL,
+    "op11_kneser_ney": _op11_sql(),
+    "op12_manifest": _op12_sql(),
+    "op13_clusters": _op13_sql(),
 }
