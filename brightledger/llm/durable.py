@@ -18,10 +18,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(df: DataFrame) -> DataFrame:
+def table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The same rows, written once as Parquet beside the checkpoints: smaller than a checkpoint, and read by column."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -39,9 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def release(*what: DataFrame | str) -> None:
-    """Deletes written tables and folders that no later work reads."""
+    """Deletes written tables and folders that no later work reads, and lets Spark remove shuffles that nothing refers to.
+
+    Spark removes a shuffle's files when the driver's JVM collects the plan that made it, which may be long after its last use.
+    """
     spark = SparkSession.getActiveSession()
     for x in what:
         for path in [x] if isinstance(x, str) else {f.rsplit("/", 1)[0] for f in x.inputFiles()}:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark._jvm.java.lang.System.gc()

@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark and stored as sorted hash arrays.
 
 A text is its words, A-Z in lower case, and one end; a mark before the first word is context only. An n-gram's key is a
-64-bit hash of the keys of its first and its last n - 1 words. Texts are first turned into chunks (CHUNK bytes of text, a
+64-bit hash of the keys of its first and its last n - 1 words; inside a shard 48 bits tell keys apart. Texts are first turned into chunks (CHUNK bytes of text, a
 longer text alone): distinct words and the texts as numbers of them. From the highest order down, every chunk sends
 its distinct keys with their counts to the shards, ranges of the key space of about SHARD tokens each. A shard adds them
 up, writes its keys and values as sorted arrays in the shared folder, memory-maps them, and answers every chunk in the order of
@@ -78,10 +78,50 @@ def map_array(path: str) -> np.ndarray:
         return np.load(io.BytesIO(f.read()))
 
 
+class Counts:
+    """Columns of counts in two mapped files: one byte each, and the few that need more by column and place."""
+
+    LARGE = 255
+
+    @staticmethod
+    def write(path: str, columns: list[np.ndarray]) -> None:
+        write_array(f"{path}.small.npy", np.stack([np.minimum(c, Counts.LARGE).astype(np.uint8) for c in columns]))
+        places = [np.flatnonzero(c >= Counts.LARGE) for c in columns]
+        large = [np.stack([np.full(len(at), i), at, c[at]]) for i, (c, at) in enumerate(zip(columns, places))]
+        write_array(f"{path}.large.npy", np.concatenate(large, axis=1).astype(np.int64))
+
+    def __init__(self, path: str):
+        self.small, large = map_array(f"{path}.small.npy"), map_array(f"{path}.large.npy")
+        edges = np.searchsorted(large[0], np.arange(len(self.small) + 1))
+        self.large = [large[1:, lo:hi] for lo, hi in zip(edges, edges[1:])]
+
+    def at(self, column: int, places: np.ndarray) -> np.ndarray:
+        out = self.small[column][places].astype(np.int64)
+        some = np.flatnonzero(out == self.LARGE)
+        out[some] = self.large[column][1][np.searchsorted(self.large[column][0], places[some])]
+        return out
+
+    def __getitem__(self, column: int) -> np.ndarray:
+        return self.at(column, np.arange(self.small.shape[1]))
+
+
 def narrowest(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max()) if values.size else 0))
 
 
+def to_bytes(keys: np.ndarray, bits: int) -> bytes:
+    """48 bits of every key below the first ones, which all keys of a shard share; first bytes before second ones."""
+    rest = (keys << np.uint64(bits)) >> np.uint64(16)
+    return np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes() if len(keys) else b""
+
+
+def from_bytes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
 def pack(columns: list[np.ndarray]) -> bytes:
     """Columns of counts, each in as many bytes as its largest needs, first bytes before second ones, which compresses."""
     out = []
@@ -113,6 +153,11 @@ def chunked(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_c
         for b in tokens.slices(batches, size):
             w = words.find_words(b.column("text"))
             known, place = _distinct(words.hash_ranges(_LOWER[w.buffer], w.start, w.end))
+            # Frequent words first: small numbers take less room.
+            order = np.argsort(-np.bincount(place, minlength=len(known)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            known, place = known[order], rank[place]
             bounds = pa.array([0, b.num_rows], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -212,7 +257,7 @@ class Model:
         return f"{self.folder}/order-{n}/shard-{shard}"
 
 
-def _counts(chunk: Chunk, grams: list[Grams], n: int, order: int, above: np.ndarray | None) -> list[np.ndarray]:
+def _counts(chunk: Chunk, grams: list[Grams], n: int, order: int, above: Counts | None) -> list[np.ndarray]:
     """What a chunk knows of its n-grams, by column without OWNED; above: the answers on the next order's n-grams."""
     g = grams[n - 1]
     size = len(g.keys)
@@ -250,7 +295,7 @@ def _to_shards(chunks: DataFrame, model: Model, n: int, learn: bool) -> DataFram
                 chunk, number = Chunk(b, i), b.column("chunk")[i].as_py()
                 grams = chunk.grams(min(n + learn, order))
                 keys = grams[n - 1].keys
-                above = map_array(_answers_of(model, n + 1, number)) if learn and n < order else None
+                above = Counts(_answers_of(model, n + 1, number)) if learn and n < order else None
                 counts = _counts(chunk, grams, n, order, above) if learn else []
                 edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
                 edges = [0, *edges.tolist(), len(keys)]
@@ -259,7 +304,7 @@ def _to_shards(chunks: DataFrame, model: Model, n: int, learn: bool) -> DataFram
                     [
                         pa.array([s for s, _, _ in parts], pa.int32()),
                         pa.array([number] * len(parts), pa.int64()),
-                        pa.array([keys[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()),
+                        pa.array([to_bytes(keys[lo:hi], bits) for _, lo, hi in parts], pa.binary()),
                         pa.array([pack([c[lo:hi] for c in counts]) for _, lo, hi in parts], pa.binary()),
                     ],
                     ["shard", "chunk", "keys", "counts"],
@@ -285,6 +330,19 @@ def _merged(blocks: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarr
 _TOTALS = ["n1", "n2", "n3", "n4", "different", "sum", "known", "met"]
 
 
+def _shard(model: Model, n: int, shard: int, width: int) -> tuple[np.ndarray, "Counts | _Nothing"]:
+    """The mapped keys and counts of a shard; no keys where the training texts have no n-gram of its range."""
+    try:
+        return map_array(f"{model.shard(n, shard)}.keys.npy"), Counts(model.shard(n, shard))
+    except FileNotFoundError:
+        return np.zeros(0, np.uint64), _Nothing()
+
+
+class _Nothing:
+    def at(self, column: int, places: np.ndarray) -> np.ndarray:
+        return np.zeros(len(places), np.int64)
+
+
 def _answered(blocks: DataFrame, model: Model, n: int, learn: bool) -> DataFrame:
     """chunk, shard, answers (and totals of the shard on one of its rows); learning writes the shard's arrays first."""
     width = n_columns(n, model.order)
@@ -292,30 +350,28 @@ def _answered(blocks: DataFrame, model: Model, n: int, learn: bool) -> DataFrame
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks().sort_by("chunk")
         shard = rows["shard"][0].as_py()
-        keys = [np.frombuffer(k, np.uint64) for k in rows["keys"].to_pylist()]
+        keys = [from_bytes(k) for k in rows["keys"].to_pylist()]
         totals = np.zeros(len(_TOTALS), np.int64)
         if learn:
             counts = [unpack(c, len(k), width - 1) for k, c in zip(keys, rows["counts"].to_pylist())]
             different, sums, owner = _merged(list(zip(keys, counts)))
             some = np.flatnonzero(np.any(sums, axis=0))
             write_array(f"{model.shard(n, shard)}.keys.npy", different[some])
-            write_array(f"{model.shard(n, shard)}.values.npy", narrowest(np.stack([sums[0], owner, *sums[1:]])[:, some]))
+            Counts.write(model.shard(n, shard), [c[some] for c in sums])
+            owner = owner[some]
             seen, met = sums[0], sums[-1] if n == 1 else np.zeros(1, np.int64)
             totals[:] = [*((seen == k).sum() for k in (1, 2, 3, 4)), (seen > 0).sum(), seen.sum(), (met > 0).sum(), met.sum()]
-        try:
-            known, values = map_array(f"{model.shard(n, shard)}.keys.npy"), map_array(f"{model.shard(n, shard)}.values.npy")
-        except FileNotFoundError:  # the training texts have no n-gram in this range
-            known, values = np.zeros(0, np.uint64), np.zeros((width, 0), np.uint8)
+        known, values = _shard(model, n, shard, width - 1)
         out = []
         for block, k in enumerate(keys):
             at = np.searchsorted(known, k)
             found = np.flatnonzero(at < len(known))
             found = found[known[at[found]] == k[found]]
             answer = np.zeros((width, len(k)), np.int64)
-            answer[:, found] = values[:, at[found]]
-            owns = np.zeros(len(k), np.int64)
-            owns[found] = (answer[OWNED, found] == block) & (answer[VALUE, found] > 0)
-            answer[OWNED] = owns if learn else 0
+            for c in range(width - 1):
+                answer[c + (c > 0), found] = values.at(c, at[found])
+            if learn:
+                answer[OWNED, found] = (owner[at[found]] == block) & (answer[VALUE, found] > 0)
             out.append(pack(list(answer)))
         per_row = [totals.tolist(), *([[0] * len(_TOTALS)] * (len(out) - 1))]
         sizes = pa.array([len(k) for k in keys], pa.int64())
@@ -331,7 +387,7 @@ def _ask(chunks: DataFrame, model: Model, n: int, learn: bool) -> None:
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks().sort_by("shard")
         parts = [np.stack(unpack(a, k, width)) for a, k in zip(rows["answers"].to_pylist(), rows["size"].to_pylist())]
-        write_array(_answers_of(model, n, rows["chunk"][0].as_py()), narrowest(np.concatenate(parts, axis=1)))
+        Counts.write(_answers_of(model, n, rows["chunk"][0].as_py()), list(np.concatenate(parts, axis=1)))
         sums = np.array(rows["totals"].to_pylist(), np.int64).sum(0)
         return pa.table({name: pa.array([int(x)], pa.int64()) for name, x in zip(_TOTALS, sums)})
 
@@ -340,14 +396,17 @@ def _ask(chunks: DataFrame, model: Model, n: int, learn: bool) -> None:
     sums = done.agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _TOTALS)).first()
     if learn:
         model.totals[n] = sums.asDict()
+    # The shuffles of this order are not read again.
+    del answered, done
+    release()
 
 
-def probabilities(chunk: Chunk, grams: list[Grams], answers: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def probabilities(chunk: Chunk, grams: list[Grams], answers: list[Counts], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of all tokens, each one's probability, and how often it was met in training."""
     token = np.flatnonzero(chunk.at >= 1)
-    met = answers[0][MET if model.order > 1 else VALUE][grams[0].place[token]].astype(np.float64)
+    met = answers[0].at(MET if model.order > 1 else VALUE, grams[0].place[token]).astype(np.float64)
     lowest, taken = model.totals[1], model.discounts(1)
-    value = answers[0][VALUE][grams[0].place[token]].astype(np.float64)
+    value = answers[0].at(VALUE, grams[0].place[token]).astype(np.float64)
     share = 1 / (lowest["known"] + 1)
     p = np.full(len(token), share)
     if lowest["sum"]:
@@ -356,9 +415,9 @@ def probabilities(chunk: Chunk, grams: list[Grams], answers: list[np.ndarray], m
     for n in range(2, model.order + 1):
         taken = model.discounts(n)
         some = np.flatnonzero(grams[n - 1].place[token] >= 0)
-        value = answers[n - 1][VALUE][grams[n - 1].place[token[some]]].astype(np.float64)
+        value = answers[n - 1].at(VALUE, grams[n - 1].place[token[some]]).astype(np.float64)
         context = grams[n - 2].place[token[some] - 1]
-        one, two, more, total = (answers[n - 2][c][context].astype(np.float64) for c in (ONE, TWO, MORE, TOTAL))
+        one, two, more, total = (answers[n - 2].at(c, context).astype(np.float64) for c in (ONE, TWO, MORE, TOTAL))
         seen = np.flatnonzero(total > 0)
         value, one, two, more, total = (x[seen] for x in (value, one, two, more, total))
         left = (taken[1] * one + taken[2] * two + taken[3] * more) / total
@@ -375,7 +434,7 @@ def _scored(chunks: DataFrame, model: Model) -> DataFrame:
             for i in range(b.num_rows):
                 chunk, number = Chunk(b, i), b.column("chunk")[i].as_py()
                 grams = chunk.grams(model.order)
-                answers = [map_array(_answers_of(model, n, number)) for n in range(1, model.order + 1)]
+                answers = [Counts(_answers_of(model, n, number)) for n in range(1, model.order + 1)]
                 token, p, met = probabilities(chunk, grams, answers, model)
                 first = np.searchsorted(token, chunk.start + 1)
                 base = np.log10((met + ADDED) / (total + ADDED * (known + 1)))
@@ -401,7 +460,7 @@ def learn(chunks: DataFrame, order: int = ORDER, shard: int = SHARD) -> Model:
 
 def score(model: Model, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = CHUNK) -> DataFrame:
     """The result of `learn_and_score` for other texts under a model that is kept in its folder."""
-    chunks = table(chunked(docs, F.lit(True), id_column, text_column, size))
+    chunks = table(chunked(docs, F.lit(True), id_column, text_column, size), "zstd")
     asked = Model(model.folder, model.order, model.bits, model.totals)
     for level in range(1, model.order + 1):
         _ask(chunks, asked, level, False)
@@ -412,7 +471,7 @@ def score(model: Model, docs: DataFrame, id_column: str = "doc_id", text_column:
 
 def learn_and_score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER, size: int = CHUNK, shard: int = SHARD) -> tuple[Model, DataFrame]:
     """The model of the texts that are not held out, and for every text held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    chunks = table(chunked(docs, held_out, id_column, text_column, size))
+    chunks = table(chunked(docs, held_out, id_column, text_column, size), "zstd")
     model = learn(chunks, order, shard)
     scored = table(_scored(chunks, model))
     release(chunks, *(f"{model.folder}/answers-{n}" for n in range(1, order + 1)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, disclosure, fingerprints, kneser_ney, line_crf, merkle_manifest, packing, quality_rules, secrets, simhash, substrings, walsh_clusters, warc_fixity
+from . import bpe, disclosure, durable, fingerprints, kneser_ney, line_crf, merkle_manifest, packing, quality_rules, secrets, simhash, substrings, walsh_clusters, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,7 +118,8 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under a model of nine documents in ten; sums are rounded to six decimals."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
-    _, scored = kneser_ney.learn_and_score(_table(spark, sf_dir, "documents"), held_out)
+    model, scored = kneser_ney.learn_and_score(_table(spark, sf_dir, "documents"), held_out)
+    durable.release(model.folder)  # only the scores are asked for here
     return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
