@@ -2,10 +2,11 @@
 
 Known forms (base spans): assignments to secret-like names, access keys, long hexadecimal runs. Beyond these, every run of
 WINDOW or more key characters that holds digits and letters is a candidate. A window of WINDOW characters moves over it;
-the sum of c log2 c over its character counts is updated by the one count that grows and the one that shrinks, and gives
-the window's Shannon entropy. The limit depends on the candidate's character class: hexadecimal, letters of both cases
+its character counts are kept from step to step, the sum of c log2 c over them is updated by the one count that grows and the
+one that shrinks, and gives the window's Shannon entropy. Candidates of letters alone are none: words are as even as keys. The limit depends on the candidate's character class: hexadecimal, letters of both cases
 with digits, or of one case with digits. The stretch from the first to the last window within the limit is an `entropy`
-span, unless the candidate is on the allow-list or the stretch lies inside a base span.
+span, unless the candidate is a UUID, the stretch holds a word of the allow-list, or it lies inside a base span. A listed
+word in another part of a path or name allows nothing.
 
 Positions count code points, ends are exclusive. All is one narrow pass of column expressions. c log2 c is held in whole
 thousandths, so that sums are exact.
@@ -30,8 +31,11 @@ KINDS = ["assign", "access", "hex", "entropy"]
 CANDIDATE = f"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Bits a character that a window must reach, by character class.
 BITS = {"hex": 3.0, "mixed": 3.7, "one_case": 3.4}
-#: What looks random and is none: identifiers in UUID form, sample values, alphabets and digit rows.
-ALLOWED = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|abcdefgh|ABCDEFGH|01234567|12345678"
+#: What looks random and is none: whole candidates in UUID form, and stretches that hold sample words, alphabets or digit rows.
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+ALLOWED = "[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|abcdefgh|ABCDEFGH|01234567|12345678"
+#: All characters of a candidate.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WEIGHTS = [0, *(round(1000 * c * math.log2(c)) for c in range(1, WINDOW + 1))]
 
 
@@ -67,22 +71,39 @@ def _limit(x: Column) -> Column:
 
 
 def _random_stretch(x: Column, limit: Column) -> Column:
-    """(first, last): where the windows within the limit begin and end; nulls if there are none."""
+    """(first, last): where the windows within the limit begin and end; nulls if there are none.
+
+    One pass over the characters, whatever the length: the counts of the current window ride along, one grows and one
+    shrinks a step, and the sum follows from the two.
+    """
     weight = lambda c: F.element_at(F.array(*map(F.lit, WEIGHTS)), c + 1)
-    count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    codes = F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+    def over(cs: Column) -> Column:
+        def step(acc: Column, j: Column) -> Column:
+            comes, goes = F.element_at(cs, j), F.when(j > WINDOW, F.get(cs, j - WINDOW - 1)).otherwise(0)
+            grows, shrinks = F.get(acc["counts"], comes - 1), F.when(goes > 0, F.get(acc["counts"], goes - 1)).otherwise(0)
+            # A character that comes as it goes leaves everything as it is.
+            moved = F.when(comes == goes, 0).otherwise(weight(grows + 1) - weight(grows) + F.when(goes > 0, weight(shrinks - 1) - weight(shrinks)).otherwise(0))
+            counts = F.when(comes == goes, acc["counts"]).otherwise(F.transform(acc["counts"], lambda n, i: n + F.when(i == comes - 1, 1).when(i == goes - 1, -1).otherwise(0)))
+            total = acc["sum"] + moved
+            within = (j >= WINDOW) & (total <= limit)
+            return F.struct(
+                counts.alias("counts"), total.cast("int").alias("sum"), F.coalesce(acc["first"], F.when(within, j - WINDOW)).alias("first"), F.when(within, j).otherwise(acc["last"]).alias("last")
+            )
+
+        nothing = F.lit(None).cast("int")
+        start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).alias("sum"), nothing.alias("first"), nothing.alias("last"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(cs)), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    # The array is bound to a variable, so that it is made once and not at every step.
+    return F.element_at(F.transform(F.array(codes), over), 1)
 
-    def step(acc: Column, j: Column) -> Column:
-        kept = F.substring(x, F.greatest(F.lit(1), j - (WINDOW - 1)), F.least(F.lit(WINDOW - 1), j - 1))
-        comes = F.substring(x, j, F.lit(1))
-        goes = F.substring(x, F.greatest(F.lit(1), j - WINDOW), F.lit(1))
-        grown = count(kept, comes)
-        shrunk = count(kept, goes)
-        total = acc["sum"] + F.when(j > WINDOW, weight(shrunk) - weight(shrunk + 1)).otherwise(0) + weight(grown + 1) - weight(grown)
-        within = (j >= WINDOW) & (total <= limit)
-        return F.struct(total.cast("int").alias("sum"), F.coalesce(acc["first"], F.when(within, j - WINDOW)).alias("first"), F.when(within, j).otherwise(acc["last"]).alias("last"))
 
-    start = F.struct(F.lit(0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(x)), start, step)
+def _allowed(stretch: Column) -> Column:
+    """Whether a stretch holds a listed word, and no part between separators that is long enough without one."""
+    parts = F.split(stretch, "[/=_-]")
+    return stretch.rlike(ALLOWED) & ~F.exists(parts, lambda p: (F.length(p) >= WINDOW) & ~p.rlike(ALLOWED))
 
 
 def find_secrets(docs: DataFrame, keys: list[str], text_column: str = "text") -> DataFrame:
@@ -90,7 +111,7 @@ def find_secrets(docs: DataFrame, keys: list[str], text_column: str = "text") ->
     d = docs.select(*keys, F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     t = F.col("text")
     assign = F.filter(_spans(t, ASSIGN, "assign"), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6)
-    candidates = F.filter(_spans(t, CANDIDATE, "entropy"), lambda x: _limit(x["m"]).isNotNull() & ~x["m"].rlike(ALLOWED))
+    candidates = F.filter(_spans(t, CANDIDATE, "entropy"), lambda x: _limit(x["m"]).isNotNull() & ~x["m"].rlike(UUID))
     d = d.select(
         *keys,
         "text",
@@ -103,7 +124,7 @@ def find_secrets(docs: DataFrame, keys: list[str], text_column: str = "text") ->
     random = F.transform("_c", lambda x: F.struct(x.alias("x"), _random_stretch(x["m"], _limit(x["m"])).alias("r")))
     d = d.withColumn("_r", F.filter(random, lambda y: y["r"]["last"].isNotNull()))
     found = F.transform("_r", lambda y: F.struct((y["x"]["s"] + y["r"]["first"]).alias("s"), (y["x"]["s"] + y["r"]["last"]).alias("e"), y["x"]["k"].alias("k"), F.substring(y["x"]["m"], y["r"]["first"] + 1, y["r"]["last"] - y["r"]["first"]).alias("m")))
-    own = F.filter(found, lambda y: ~F.exists("_base", lambda b: (b["s"] <= y["s"]) & (b["e"] >= y["e"])))
+    own = F.filter(found, lambda y: ~_allowed(y["m"]) & ~F.exists("_base", lambda b: (b["s"] <= y["s"]) & (b["e"] >= y["e"])))
     return d.select(*keys, "text", F.array_sort(F.concat("_base", own)).alias("spans"))
 
 
