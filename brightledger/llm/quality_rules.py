@@ -1,11 +1,13 @@
 """Quality rules whose cutoffs carry a guarantee: few good documents are rejected in any stratum.
 
-Every document gets integer measures of its words, symbols, lines and repetition. A labelled holdout tells, for each
-stratum, rule and candidate cutoff, how many of n good documents the cutoff would reject. A cutoff is certified if the
-exact binomial bound on the rate of false rejections stays within MAX_FALSE at confidence 1 - MISS / tests, tests being
-the number of all candidates in all strata (Bonferroni), so all certificates hold together. Of a stratum's certified
-cutoffs a rule takes the one that gains most: rejected bad documents less GOOD_COST times rejected good ones, and among
-equals the most lenient. Without a gain, or with too few labels for a certificate, the rule rejects nothing there.
+Every document gets integer measures of its words, symbols, lines and repetition. The labelled holdout is halved by a hash of
+the id. In one half every rule takes, for each stratum, the cutoff that gains most there: rejected bad documents less
+GOOD_COST times rejected good ones, among equals the most lenient. The rules with a gain are ordered by it. The
+other half, in which nothing was chosen, tests the joint verdict of the first rule, of the first two, and so on: how many of
+n good documents any of them rejects. A verdict is certified if the exact binomial bound on the rate of false
+rejections stays within MAX_FALSE at confidence 1 - MISS / tests, tests being the number of all verdicts in all strata
+(Bonferroni), so all certificates hold together. Each stratum uses its longest certified verdict. Without a gain, or with too
+few labels for a certificate, no rule rejects anything there.
 
 Everything is DataFrame expressions: measures are narrow array expressions, counts combine on the map side.
 
@@ -95,28 +97,46 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, max_false: float = MAX_FALSE, miss: float = MISS) -> DataFrame:
-    """`stratum` and one array: the cutoff of every rule in the order of RULES, null where the rule is off.
+def _second_half() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
 
-    measured: doc_id, `stratum` and MEASURES; labels: doc_id and quality, 1 for good and 0 for bad.
-    """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
-    held = measured.where(~base_failed()).join(known, "doc_id")
+
+def _chosen_cutoffs(held: DataFrame, stratum: str, max_false: float) -> DataFrame:
+    """`stratum` and chosen: (-gain, rule, cutoff) of every rule with a gain, the best first."""
     above = []
     for i, (rule, (_, cutoffs)) in enumerate(RULES.items()):
         for c in cutoffs:
             over = _value(rule) > c
             above.append(F.struct(F.lit(i).alias("rule"), F.lit(c).cast("long").alias("cutoff"), F.sum((over & (F.col("quality") == 1)).cast("long")).alias("k"), F.sum((over & (F.col("quality") == 0)).cast("long")).alias("bad")))
     counts = held.groupBy(stratum).agg(F.sum("quality").cast("long").alias("n"), F.array(*above).alias("c"))
-    counts = cut(counts.select(stratum, "n", F.explode("c").alias("c")).select(stratum, "n", "c.*"))
-    sure = log_binomial_cdf(F.col("k"), F.col("n"), max_false) <= F.lit(math.log(miss / max(1, counts.count())))
+    counts = counts.select(stratum, "n", F.explode("c").alias("c")).select(stratum, "n", "c.*")
     gain = F.col("bad") - GOOD_COST * F.col("k")
-    best = (
-        counts.where((gain > 0) & (F.col("k") <= max_false * F.col("n")) & (F.col("n") > 0) & sure)
-        .groupBy(stratum, "rule")
-        .agg(F.max(F.struct(gain.alias("gain"), "cutoff"))["cutoff"].alias("cutoff"))
-    )
-    return best.groupBy(stratum).agg(F.array(*(F.max(F.when(F.col("rule") == i, F.col("cutoff"))) for i in range(len(RULES)))).alias("cutoffs"))
+    best = counts.where((gain > 0) & (F.col("k") <= max_false * F.col("n"))).groupBy(stratum, "rule").agg(F.max(F.struct(gain.alias("gain"), "cutoff")).alias("x"))
+    return best.groupBy(stratum).agg(F.array_sort(F.collect_list(F.struct((-F.col("x.gain")).alias("loss"), "rule", F.col("x.cutoff").alias("cutoff")))).alias("chosen"))
+
+
+def certified_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, max_false: float = MAX_FALSE, miss: float = MISS) -> DataFrame:
+    """`stratum` and one array: the cutoff of every rule in the order of RULES, null where the rule is off.
+
+    measured: doc_id, `stratum` and MEASURES; labels: doc_id and quality, 1 for good and 0 for bad.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
+    held = cut(measured.where(~base_failed()).join(known, "doc_id"))
+    chosen = table(_chosen_cutoffs(held.where(~_second_half()), stratum, max_false).select(F.col(stratum).alias("_s"), "chosen"))
+    tested = held.where(_second_half() & (F.col("quality") == 1)).join(chosen, F.col(stratum).eqNullSafe(F.col("_s")))
+    values = F.array(*(_value(rule) for rule in RULES))
+    # The first rule in the order that rejects the document decides from which verdict on it is rejected.
+    first = F.array_position(F.transform("chosen", lambda x: F.element_at(values, x["rule"] + 1) > x["cutoff"]), True)
+    per_verdict = [F.sum(((first > 0) & (first <= j)).cast("long")) for j in range(1, len(RULES) + 1)]
+    counts = tested.groupBy(stratum).agg(F.first("chosen").alias("chosen"), F.count(F.lit(1)).alias("n"), F.array(*per_verdict).alias("k"))
+    counts = table(counts)
+    tests = max(1, counts.agg(F.coalesce(F.sum(F.size("chosen")), F.lit(0))).first()[0])
+    each = counts.select(stratum, "chosen", "n", F.posexplode("k").alias("j", "k")).where(F.col("j") < F.size("chosen"))
+    sure = log_binomial_cdf(F.col("k"), F.col("n"), max_false) <= F.lit(math.log(miss / tests))
+    longest = each.where((F.col("k") <= max_false * F.col("n")) & sure).groupBy(stratum).agg(F.max(F.struct("j", "chosen")).alias("x"))
+    used = longest.select(stratum, F.slice(F.col("x.chosen"), F.lit(1), F.col("x.j") + 1).alias("used"))
+    cutoff = lambda i: F.get(F.transform(F.filter("used", lambda x: x["rule"] == i), lambda x: x["cutoff"]), F.lit(0))
+    return used.select(stratum, F.array(*(cutoff(i) for i in range(len(RULES)))).alias("cutoffs"))
 
 
 def _with_verdict(measured: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
