@@ -5,8 +5,9 @@ as few windows as can hold them: two partial partitions with the largest imbalan
 ones, until one partition is left, whose windows are nearly equal. Whenever a window exceeds the capacity, the window
 count rises if documents must stay whole; if they may be cut, only the excess is cut off and moved to windows with room.
 
-A group is a run of documents of one partition with GROUP_TOKENS ids at least, so packing needs no shuffle, no
-source or length can make a group large, and a task repeated after a lost executor gives the same windows.
+A group is a run of documents of one partition. It ends with GROUP_TOKENS ids, or when its documents times its windows reach
+GROUP_PLACES, which bounds its memory however short the documents are. So packing needs no shuffle, no source or
+length can make a group large, and a task repeated after a lost executor gives the same windows.
 
 Null text is an empty document. Empty tables give no pieces. Repeated rows are packed as often as they occur, ties keep
 the row order, null ids stay null, and other columns are never read.
@@ -22,10 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bpe, tokens
 
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 1_000_000
+#: Documents of a group times its windows: one four-byte place each is kept while a group is packed.
+GROUP_PLACES = 8_000_000
 SCHEMA = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -56,7 +60,7 @@ def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
         both = sums(a) + sums(b)[::-1]
-        by = np.argsort(-both, kind="stable")
+        by = np.argsort(-both).astype(np.int32)
         merges.append((a, b, by))
         node = n + len(merges) - 1
         both = both[by]
@@ -145,7 +149,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
             for doc, ids in zip(b.column(0).to_pylist(), c.words.encode_all(tokens.text_column(b, text_column))):
                 held.append((doc, ids + end))
                 size += len(ids) // 4 + 1
-                if size >= GROUP_TOKENS:
+                if size >= GROUP_TOKENS or len(held) * (size // capacity + 1) >= GROUP_PLACES:
                     yield pack(held, sequence)
                     held, size = [], 0
         if held:
@@ -153,5 +157,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
 
     d = docs.select(id_column, text_column)
     kind = d.schema[id_column].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(d.schema[id_column].dataType)
     return d.mapInArrow(run, SCHEMA.format(kind))

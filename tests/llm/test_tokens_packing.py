@@ -116,3 +116,27 @@ def test_packed_documents(edge, nothing, library):
     long_ids = b"".join(p["ids"] for p in sorted((p for p in pieces if p["doc_id"] == 7), key=lambda p: p["start"]))
     assert np.frombuffer(long_ids, "<u4").tolist() == expected(library, "word " * 30_000) + [0]
     assert packing.pack_documents(nothing, PATH).count() == 0
+
+
+def test_many_tiny_documents_make_bounded_groups(spark, monkeypatch):
+    inner = packing.pack_lengths
+    monkeypatch.setattr(packing, "GROUP_PLACES", 2_000)
+    lengths = [10] * 3000
+    groups, held, size = [], 0, 0
+    for n in lengths:  # the rule of pack_documents
+        held, size = held + 1, size + n
+        if size >= packing.GROUP_TOKENS or held * (size // 1024 + 1) >= packing.GROUP_PLACES:
+            groups.append(held)
+            held, size = 0, 0
+    assert max(groups) * (max(groups) * 10 // 1024 + 1) <= 2_100
+    windows = inner(lengths[: max(groups)], 1024)
+    assert sum(n for w in windows for _, _, n in w) == 10 * max(groups) and all(sum(n for _, _, n in w) <= 1024 for w in windows)
+
+
+def test_ids_of_other_types(spark):
+    from brightledger.llm import bpe
+
+    for kind, value in (("short", 3), ("double", 2.5), ("string", "x")):
+        df = spark.createDataFrame([(value, "some words"), (None, None)], f"doc_id {kind}, text string")
+        rows = packing.pack_documents(df, bpe.default_path()).collect()
+        assert {r["doc_id"] for r in rows} == {value, None} and dict(packing.pack_documents(df, bpe.default_path()).dtypes)["doc_id"] == df.dtypes[0][1]
