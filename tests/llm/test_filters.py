@@ -61,6 +61,21 @@ def test_allowed_and_plain_strings_are_left_alone(spark):
     assert [r["spans"] for r in secrets.find_secrets(df, ["doc_id"]).collect()] == [[]] * len(texts)
 
 
+def test_a_listed_word_beside_a_key_allows_nothing(spark):
+    key = "q8Zt2LwX9vKp4RsY7mNc3BhJ6gDf1TaQ5eUo"
+    rows = [(1, f"see /example/{key} there"), (2, f"sample_{key}"), (3, f"{key[:18]}EXAMPLE{key[18:]}")]
+    got = {r["doc_id"]: [s["m"] for s in r["spans"]] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got[1] and key[:20] in got[1][0] and got[2] and got[3] == []
+
+
+def test_long_runs_equal_brute_force(spark):
+    rnd = random.Random(8)
+    x = "".join(rnd.choice("abcdefXYZ0123456789+/"[: rnd.choice([6, 21])]) for _ in range(4000)) + "aB7" * 20
+    r = secrets.find_secrets(spark.createDataFrame([(1, f"é {x} é")], "doc_id long, text string"), ["doc_id"]).first()
+    want = random_stretch(x, secrets.BITS["mixed"])
+    assert [(s["s"], s["e"]) for s in r["spans"] if s["k"] == 3] == ([(want[0] + 2, want[1] + 2)] if want else [])
+
+
 def test_secret_edge_cases_and_masking(edge, nothing, spark):
     assert secrets.find_secrets(edge, ["doc_id"]).count() == len(EDGE) and secrets.find_secrets(nothing, ["doc_id"]).count() == 0
     df = spark.createDataFrame([(1, "a token=abcdef123 b " + "0123456789abcdef" * 2), (2, None)], "doc_id long, text string")
@@ -114,6 +129,29 @@ def test_cutoffs_need_enough_labels(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d, k in judged.items() if k}
 
 
+def test_the_joint_verdict_is_certified(spark):
+    """Each rule alone rejects few good documents, different ones; all of them together would reject too many."""
+    words = [f"w{i}" for i in range(40)]
+    signs, lines, long = " " + "##" * 8, "\nsame line here again" * 4, " " + "x" * 400
+    rows = []
+    for i in range(3000):
+        text = " ".join(words) + f" q{i}"
+        good = i % 3 > 0
+        turn = i // 3 % 100
+        if not good:
+            text += (signs, lines, long)[turn % 3]
+        elif turn < 9:
+            text += (signs, lines, long)[turn % 3]
+        rows.append((i, text, "en", int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    labels = docs.select("doc_id", "quality")
+    measured = quality_rules.measures(docs, ["doc_id", "lang"])
+    found = quality_rules.certified_cutoffs(measured, labels, "lang").collect()
+    judged = quality_rules.judge(docs.drop("quality"), labels).join(labels, "doc_id").where("quality = 1 AND NOT base_failed")
+    share = judged.agg(F.avg((~F.col("kept")).cast("double"))).first()[0]
+    assert share <= quality_rules.MAX_FALSE and (not found or sum(c is not None for c in found[0]["cutoffs"]) < 3)
+
+
 def test_quality_edge_cases(edge, nothing, labels, spark):
     judged = quality_rules.judge(edge, labels)
     assert judged.count() == len(EDGE)
@@ -270,14 +308,14 @@ def pipeline_rows(spark):
 
 
 def test_pipeline_stages_equal_brute_force(pipeline_rows):
-    from test_duplicates import fingerprint, groups, removed
+    from test_duplicates import removed
+    from test_near_copies import kept_by_brute_force
 
     by = {name: {r["doc_id"]: r for r in rows} for name, rows in pipeline_rows.items() if name != "packing"}
     dropped = set(by["input"]) - set(by["quality_rules"])
     failed = {d for d, r in by["input"].items() if (m := measured(r["text"]))[0] < 10 or 100 * m[4] > 20 * m[0]}
     assert failed <= dropped
-    root = groups({d: fingerprint(r["text"]) for d, r in by["quality_rules"].items()})
-    assert set(by["simhash_near_dedup"]) == {d for d in root if root[d] == d}
+    assert set(by["simhash_near_dedup"]) == kept_by_brute_force([(d, r["text"]) for d, r in by["quality_rules"].items()])
     order = sorted((d, r["text"]) for d, r in by["simhash_near_dedup"].items())
     for (d, t), (n, gone, digest) in zip(order, removed(order)):
         if n > gone:
@@ -309,3 +347,18 @@ def test_pipeline_on_edge_cases(spark, edge, nothing, labels, tmp_path):
                 assert out.columns == docs.columns
                 stage_input = docs if name == "quality_rules" else out
                 docs = stage_input  # every stage meets the edge cases
+
+
+def test_every_stage_keeps_different_texts_under_one_id(spark, tmp_path):
+    import corpus_pipeline
+    from edge_cases import SAME_IDS
+
+    spark.createDataFrame([(5, 1), (7, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    long = [(d, " ".join(f"{w}{i}" for i in range(3) for w in t.split()), s) for d, t, s in SAME_IDS]
+    start = spark.createDataFrame(long, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, start, str(tmp_path)).collect()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((d, t) for d, t, _ in long), name
+        else:
+            assert Counter(r["doc_id"] for r in rows if r["start"] == 0) == Counter(d for d, _, _ in long)
