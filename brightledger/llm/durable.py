@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,4 +50,7 @@ def release(*what: DataFrame | str) -> None:
         for path in [x] if isinstance(x, str) else {f.rsplit("/", 1)[0] for f in x.inputFiles()}:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()  # Python objects that only a cycle keeps would keep their plans
+    time.sleep(3)  # a thread of its own tells the JVM which ones are gone
+    spark.range(1).groupBy("id").count().collect()  # Spark holds what ran last until something else has run
     spark._jvm.java.lang.System.gc()

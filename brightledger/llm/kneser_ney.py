@@ -36,7 +36,7 @@ from . import tokens, words
 from .durable import release, shared_folder, table
 
 ORDER = 2
-CHUNK, SHARD = 8 << 20, 1 << 20
+CHUNK, SHARD = 10 << 20, 1 << 20
 ADDED = 0.1
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: Hashes of the marks, which no word has since they hold a space.
@@ -182,8 +182,8 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
     return ordered[new], place
 
 
@@ -209,7 +209,7 @@ class Chunk:
         size = lengths + 2
         self.start = np.cumsum(size) - size
         self.words = np.empty(int(size.sum()), np.uint64)
-        self.at = np.arange(len(self.words)) - np.repeat(self.start, size)
+        self.at = (np.arange(len(self.words)) - np.repeat(self.start, size)).astype(np.int32)
         end = self.start + size - 1
         inner = np.ones(len(self.words), bool)
         inner[self.start] = inner[end] = False
@@ -225,7 +225,7 @@ class Chunk:
                 keys = np.concatenate([keys[:1], join_keys(keys[:-1], keys[1:])])
             some = np.flatnonzero(self.at >= n - 1)
             different, place = _distinct(keys[some])
-            everywhere = np.full(len(keys), -1, np.int64)
+            everywhere = np.full(len(keys), -1, np.int32)
             everywhere[some] = place
             out.append(Grams(different, everywhere, np.flatnonzero(self.at == n - 1)))
         return out
@@ -276,8 +276,7 @@ def _counts(chunk: Chunk, grams: list[Grams], n: int, order: int, above: Counts
         value = value + np.bincount(g.place[begins], minlength=size)
     context, after = g.place[end - 1], above[VALUE][owned].astype(np.int64)
     out = [value, *(np.bincount(context[x], minlength=size) for x in (after == 1, after == 2, after > 2))]
-    total = np.zeros(size, np.int64)
-    np.add.at(total, context, after)
+    total = np.bincount(context, after, size).astype(np.int64)
     return [*out, total, met] if n == 1 else [*out, total]
 
 
@@ -330,10 +329,21 @@ def _merged(blocks: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarr
 _TOTALS = ["n1", "n2", "n3", "n4", "different", "sum", "known", "met"]
 
 
+def _write_keys(path: str, keys: np.ndarray) -> None:
+    """48-bit keys in order, as two arrays of 32 and 16 bits."""
+    write_array(f"{path}.high.npy", (keys >> np.uint64(16)).astype(np.uint32))
+    write_array(f"{path}.low.npy", (keys & np.uint64(0xFFFF)).astype(np.uint16))
+
+
+def map_keys(path: str) -> np.ndarray:
+    """The keys of a shard, joined from the mapped arrays."""
+    return map_array(f"{path}.high.npy").astype(np.uint64) << np.uint64(16) | map_array(f"{path}.low.npy")
+
+
 def _shard(model: Model, n: int, shard: int, width: int) -> tuple[np.ndarray, "Counts | _Nothing"]:
     """The mapped keys and counts of a shard; no keys where the training texts have no n-gram of its range."""
     try:
-        return map_array(f"{model.shard(n, shard)}.keys.npy"), Counts(model.shard(n, shard))
+        return map_keys(model.shard(n, shard)), Counts(model.shard(n, shard))
     except FileNotFoundError:
         return np.zeros(0, np.uint64), _Nothing()
 
@@ -356,7 +366,7 @@ def _answered(blocks: DataFrame, model: Model, n: int, learn: bool) -> DataFrame
             counts = [unpack(c, len(k), width - 1) for k, c in zip(keys, rows["counts"].to_pylist())]
             different, sums, owner = _merged(list(zip(keys, counts)))
             some = np.flatnonzero(np.any(sums, axis=0))
-            write_array(f"{model.shard(n, shard)}.keys.npy", different[some])
+            _write_keys(model.shard(n, shard), different[some])
             Counts.write(model.shard(n, shard), [c[some] for c in sums])
             owner = owner[some]
             seen, met = sums[0], sums[-1] if n == 1 else np.zeros(1, np.int64)
@@ -396,9 +406,6 @@ def _ask(chunks: DataFrame, model: Model, n: int, learn: bool) -> None:
     sums = done.agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _TOTALS)).first()
     if learn:
         model.totals[n] = sums.asDict()
-    # The shuffles of this order are not read again.
-    del answered, done
-    release()
 
 
 def probabilities(chunk: Chunk, grams: list[Grams], answers: list[Counts], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -455,6 +462,7 @@ def learn(chunks: DataFrame, order: int = ORDER, shard: int = SHARD) -> Model:
     model = Model(f"{shared_folder(chunks.sparkSession)}/model-{uuid.uuid4()}", order, max(0, (n // shard).bit_length()))
     for level in range(order, 0, -1):
         _ask(chunks, model, level, True)
+        release()  # the shuffles of this order are not read again
     return model
 
 
@@ -464,6 +472,7 @@ def score(model: Model, docs: DataFrame, id_column: str = "doc_id", text_column:
     asked = Model(model.folder, model.order, model.bits, model.totals)
     for level in range(1, model.order + 1):
         _ask(chunks, asked, level, False)
+        release()
     scored = table(_scored(chunks, asked))
     release(chunks, *(f"{model.folder}/answers-{n}" for n in range(1, model.order + 1)))
     return scored.withColumnRenamed("id", id_column)

@@ -127,8 +127,8 @@ def test_a_stored_model_scores_other_texts(spark):
 
 def test_arrays_are_sorted_and_mapped(spark, tmp_path):
     model, _ = kn.learn_and_score(spark.createDataFrame(texts(), "doc_id long, text string"), by_id(), size=3000, shard=500)
-    keys = [kn.map_array(f"{model.shard(2, s)}.keys.npy") for s in range(1 << model.bits)]
-    assert all(isinstance(k, np.memmap) for k in keys) and len(keys) > 1
+    assert all(isinstance(kn.map_array(f"{model.shard(2, s)}.{half}.npy"), np.memmap) for s in range(1 << model.bits) for half in ("high", "low"))
+    keys = [kn.map_keys(model.shard(2, s)) for s in range(1 << model.bits)]
     assert all(np.all(k[1:] > k[:-1]) for k in keys) and sum(map(len, keys)) == model.totals[2]["different"]
     kn.write_array(str(tmp_path / "x" / "a.npy"), np.arange(5))
     assert kn.map_array("file:" + str(tmp_path / "x" / "a.npy")).tolist() == [0, 1, 2, 3, 4]
