@@ -1,4 +1,4 @@
-"""Model training, comparison, prediction and the model registry, on Spark ML pipelines."""
+"""Model training, comparison and prediction on Spark ML estimators; `registry` keeps the models."""
 
 from __future__ import annotations
 
@@ -13,12 +13,15 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..functions.columns import as_number, is_number, literal_rows, ref
+from ..functions.durable import durable
 from ..functions.joins import frequent_values, lookup_join
 from ..functions.layout import compact
 from ..functions.ranking import hash_positions, positions, ranked_counts, slice_cuts
 from .cleaning import CleaningConfig, CleaningModel, fit as fit_cleaning
+from .forest import DeepForest
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 MACHINE_EPS = 2.220446049250313e-16
@@ -27,7 +30,7 @@ MACHINE_EPS = 2.220446049250313e-16
 GRIDS = {
     "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0]},
     "linear_regression": {"fitIntercept": [True, False]},
-    "random_forest": {"numTrees": [50, 100, 200], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 5]},
+    "random_forest": {"numTrees": [50, 100, 200], "maxDepth": [None, 10, 20, 30], "minRowsToSplit": [2, 5, 10]},
     "gradient_boosting": {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 8]},
     "boosted_alt": {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 6, 10]},
 }
@@ -156,6 +159,26 @@ def roc_auc(rows: DataFrame, positive: Column, score: Column) -> DataFrame:
     return ranked.agg(F.round(F.try_divide(F.sum(F.col("avg_rank") * F.col("pos")) - pos * (pos + 1) / 2, pos * neg), 6).alias("roc_auc"))
 
 
+def roc_auc_by_class(rows: DataFrame, label: Column, shares: Column) -> DataFrame:
+    """(code, roc_auc): one class against all others, for every position of the array of shares, in one pass.
+
+    Equal scores of a class are counted first. Scores are cut into the same slices for all classes; ranks run inside a
+    class's slice, and the sizes of the slices before it come from a small table.
+    """
+    each = rows.select(label.cast("long").alias("_y"), F.posexplode(shares).alias("code", "s")).where("s IS NOT NULL AND _y IS NOT NULL")
+    counts = durable(each.groupBy("code", "s").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("_y") == F.col("code")).cast("long")).alias("pos")))
+    cuts = sorted(set(slice_cuts(counts, {"s": F.col("s")}, counts.count())["s"]))
+    part = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda a, c: a + (F.col("s") > c).cast("int")) if cuts else F.lit(0)
+    sliced = counts.withColumn("slice", part)
+    sizes = sliced.groupBy("code", "slice").agg(F.sum("n").alias("m"))
+    before = sizes.select("code", "slice", F.coalesce(F.sum("m").over(W.partitionBy("code").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ahead = F.coalesce(F.sum("n").over(W.partitionBy("code", "slice").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = sliced.withColumn("ahead", ahead).join(before, ["code", "slice"]).withColumn("rank", F.col("before") + F.col("ahead") + (F.col("n") + 1) / 2)
+    pos, neg = F.sum("pos").cast("double"), F.sum(F.col("n") - F.col("pos")).cast("double")
+    area = F.try_divide(F.sum(F.col("rank") * F.col("pos")) - pos * (pos + 1) / 2, pos * neg)
+    return ranked.groupBy("code").agg(F.round(area, 6).alias("roc_auc"))
+
+
 def regression_metrics(rows: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """MAE, MSE, RMSE, R2 and MAPE (a fraction)."""
     y, p = as_number(rows, label), as_number(rows, prediction)
@@ -178,14 +201,14 @@ def estimator(name: str, task: str, classes: int = 2, rows: int = 1, trees: int
             strength = params.pop("C", 1.0)
             return C.LogisticRegression(maxIter=1000, regParam=1.0 / (strength * max(1, rows)), standardization=False, **cols, **params)
         if name == "random_forest":
-            return C.RandomForestClassifier(**{"numTrees": trees, "maxDepth": 10, "seed": seed, **cols, **params})
+            return DeepForest(**{"classes": classes, "numTrees": trees, "seed": seed, **params})
         base = {"maxDepth": 3, "stepSize": 0.1} if name == "gradient_boosting" else {"maxDepth": 6, "stepSize": 0.3}
         boosted = C.GBTClassifier(**{"maxIter": trees, "seed": seed, **base, **cols, **params})
         return boosted if classes <= 2 else C.OneVsRest(classifier=boosted, parallelism=min(classes, 8), featuresCol="features", labelCol="label")
     if name == "linear_regression":
         return R.LinearRegression(**{**cols, **params})
     if name == "random_forest":
-        return R.RandomForestRegressor(**{"numTrees": trees, "maxDepth": 10, "seed": seed, **cols, **params})
+        return DeepForest(**{"classes": 0, "numTrees": trees, "seed": seed, **params})
     base = {"maxDepth": 3, "stepSize": 0.1} if name == "gradient_boosting" else {"maxDepth": 6, "stepSize": 0.3}
     return R.GBTRegressor(**{"maxIter": trees, "seed": seed, **base, **cols, **params})
 
@@ -257,6 +280,7 @@ class TrainedModel:
     cv_std: float | None
     seconds: float
     params: dict = field(default_factory=dict)
+    target_type: str = "string"
 
 
 @dataclass
@@ -266,6 +290,16 @@ class Training:
     models: list[TrainedModel]
     leaderboard: DataFrame
     best: TrainedModel
+    total_rows: int = 0
+    part_rows: dict[str, int] = field(default_factory=dict)
+
+    def report(self) -> DataFrame:
+        """One row: how many rows each part had, the features, and which model was chosen by which metric."""
+        b = self.best
+        metric = "f1" if self.task == CLASSIFICATION else "rmse"
+        row = (self.run_id, b.target, self.task, self.total_rows, *(self.part_rows.get(p, 0) for p in ("train", "val", "test")), b.features, metric, b.model_id, b.name)
+        return literal_rows(self.leaderboard.sparkSession, [row], "run_id string, target string, task string, total_rows long, train_rows long, validation_rows long,"
+                            " test_rows long, features array<string>, selection_metric string, best_model_id string, best_model_name string")
 
 
 def vectorise(cleaned: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -280,6 +314,8 @@ def vectorise(cleaned: DataFrame, features: list[str], keep: list[str]) -> DataF
 def probabilities(scored: DataFrame) -> DataFrame:
     """Adds ``probs`` (array): class probabilities where the model gives them, else a 0 / 1 indicator from raw scores."""
     from pyspark.ml.functions import vector_to_array
+    if "probs" in scored.columns:
+        return scored
     if "probability" in scored.columns:
         return scored.withColumn("probs", vector_to_array("probability"))
     raw = vector_to_array("rawPrediction")
@@ -298,8 +334,8 @@ def evaluate(model, vectors: DataFrame, task: str, classes: int) -> dict:
     if classes == 2:
         out["roc_auc"] = roc_auc(scored, F.col("label") == 1.0, F.col("probs")[1]).first()[0]
     else:
-        each = [roc_auc(scored, F.col("label") == float(k), F.get("probs", F.lit(k))).first()[0] for k in range(classes)]
-        out["roc_auc"] = None if any(v is None for v in each) else sum(each) / len(each)
+        row = roc_auc_by_class(scored, F.col("label"), F.col("probs")).agg(F.count("roc_auc"), F.avg("roc_auc")).first()
+        out["roc_auc"] = row[1] if row[0] == classes else None
     scored.unpersist()
     return out
 
@@ -360,10 +396,13 @@ def train(df: DataFrame, config: TrainingConfig) -> Training:
         spread = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5 if scores else None
         trained.append(TrainedModel(
             f"model_{name}_{uuid.uuid4().hex[:8]}", name, model, cleaner, features, task, target, classes,
-            evaluate(model, held["val"], task, len(classes)), evaluate(model, held["test"], task, len(classes)), mean, spread, seconds, params))
+            evaluate(model, held["val"], task, len(classes)), evaluate(model, held["test"], task, len(classes)), mean, spread, seconds, params,
+            df.schema[target].dataType.simpleString()))
     pick = (lambda m: -(m.validation["f1"] or 0.0)) if task == CLASSIFICATION else (lambda m: m.validation["rmse"] if m.validation["rmse"] is not None else float("inf"))
     best = min(trained, key=pick)
-    return Training(run_id, task, trained, leaderboard(spark, trained, best), best)
+    for used in (parts, ready, fit_rows):
+        used.unpersist()
+    return Training(run_id, task, trained, leaderboard(spark, trained, best), best, sum(sizes.values()), sizes)
 
 
 METRIC_NAMES = {CLASSIFICATION: ("accuracy", "precision", "recall", "f1", "roc_auc"), REGRESSION: ("mae", "mse", "rmse", "r2", "mape")}
@@ -391,82 +430,3 @@ def predict(trained: TrainedModel, df: DataFrame) -> DataFrame:
     out = probabilities(scored)
     return out.select("_row.*", F.element_at(F.array(*map(F.lit, trained.classes)), F.col("prediction").cast("int") + 1).alias("prediction"),
                       F.map_from_arrays(names, "probs").alias("probabilities"))
-
-
-# --- registry -------------------------------------------------------------------------------------------
-
-REGISTRY_SCHEMA = (
-    "model_id string, run_id string, model_name string, task string, target string, features array<string>, params string, metrics string,"
-    " training_seconds double, path string, is_best boolean, deleted boolean, created_at timestamp"
-)
-EXPERIMENT_SCHEMA = "run_id string, target string, task string, best_model_id string, report string, created_at timestamp"
-
-
-class ModelRegistry:
-    """Saved models in a folder, with an append-only table of what is there (a deletion is one more row)."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _append(self, name: str, row: tuple, schema: str) -> None:
-        self.spark.createDataFrame([row], schema).withColumn("created_at", F.coalesce("created_at", F.current_timestamp())).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}")
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-
-    def save(self, trained: TrainedModel, run_id: str, is_best: bool = False) -> str:
-        path = f"{self.folder}/models/{trained.model_id}"
-        trained.model.write().overwrite().save(path)
-        metrics = json.dumps({"validation": trained.validation, "test": trained.test}, default=str)
-        self._append("registry", (trained.model_id, run_id, trained.name, trained.task, trained.target, trained.features, json.dumps(trained.params), metrics,
-                                  trained.seconds, path, is_best, False, None), REGISTRY_SCHEMA)
-        return path
-
-    def save_training(self, training: Training) -> None:
-        for m in training.models:
-            self.save(m, training.run_id, m is training.best)
-        report = json.dumps([r.asDict() for r in training.leaderboard.collect()], default=str)
-        self._append("experiments", (training.run_id, training.best.target, training.task, training.best.model_id, report, None), EXPERIMENT_SCHEMA)
-
-    def list(self, task: str | None = None) -> DataFrame:
-        """Models that are not deleted, newest first."""
-        try:
-            rows = self._read("registry", REGISTRY_SCHEMA)
-        except Exception:
-            return literal_rows(self.spark, [], REGISTRY_SCHEMA)
-        last = rows.groupBy("model_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "model_id"]), F.struct("created_at", "deleted")).alias("r"))
-        live = last.select("model_id", "r.*").where("not deleted").drop("deleted")
-        return (live.where(F.col("task") == task) if task else live).orderBy(F.desc("created_at"), "model_id")
-
-    def metadata(self, model_id: str) -> dict | None:
-        row = self.list().where(F.col("model_id") == model_id).first()
-        return row.asDict() if row else None
-
-    def latest_best(self, task: str | None = None) -> dict | None:
-        row = self.list(task).where("is_best").first()
-        return row.asDict() if row else None
-
-    def load(self, model_id: str):
-        meta = self.metadata(model_id)
-        if meta is None:
-            raise FileNotFoundError(f"no model {model_id}")
-        from importlib import import_module
-        text = self.spark.read.text(f"{meta['path']}/metadata").first()[0]
-        name = json.loads(text)["class"].rsplit(".", 1)[-1]
-        package = "pyspark.ml.classification" if meta["task"] == CLASSIFICATION else "pyspark.ml.regression"
-        return getattr(import_module(package), name).load(meta["path"])
-
-    def delete(self, model_id: str) -> bool:
-        meta = self.metadata(model_id)
-        if meta is None:
-            return False
-        self._append("registry", (model_id, meta["run_id"], meta["model_name"], meta["task"], meta["target"], meta["features"], meta["params"], meta["metrics"],
-                                  meta["training_seconds"], meta["path"], meta["is_best"], True, None), REGISTRY_SCHEMA)
-        return True
-
-    def experiment(self, run_id: str) -> dict | None:
-        try:
-            row = self._read("experiments", EXPERIMENT_SCHEMA).where(F.col("run_id") == run_id).first()
-        except Exception:
-            return None
-        return row.asDict() if row else None

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from brightledger.functions import trees as T
 from brightledger.operators import explain as X
 from brightledger.operators import learn as L
+from brightledger.operators import registry as R
 
 
 @pytest.fixture(scope="module")
@@ -54,13 +55,13 @@ def test_training_prediction_and_registry(spark, classes, tmp_path):
     assert len(got) == 200 and set(got["prediction"]) <= {"ClassA", "ClassB"}
     assert all(abs(sum(p.values()) - 1) < 1e-9 for p in got["probabilities"])
     assert (got["prediction"] == got["target"]).mean() > 0.8
-    registry = L.ModelRegistry(spark, str(tmp_path))
+    registry = R.ModelRegistry(spark, str(tmp_path))
     assert registry.list().count() == 0
     registry.save_training(done)
     assert registry.list("classification").count() == 2 and registry.list("regression").count() == 0
     assert registry.latest_best()["model_id"] == done.best.model_id
     loaded = registry.load(done.best.model_id)
-    assert type(loaded) is type(done.best.model)
+    assert type(loaded.model) is type(done.best.model) and loaded.classes == done.best.classes
     assert registry.experiment(done.run_id)["best_model_id"] == done.best.model_id
     assert registry.delete(done.best.model_id) and not registry.delete(done.best.model_id)
     assert registry.list().count() == 1
@@ -121,6 +122,20 @@ def test_auc_with_ties(spark):
     assert L.roc_auc(df, F.col("y") == 1, F.col("s")).first()[0] == pytest.approx(wins / 9, abs=1e-6)
 
 
+@pytest.mark.parametrize("cuts", [[], [0.2, 0.5, 0.5, 0.9]])
+def test_auc_of_all_classes_in_one_pass(spark, monkeypatch, cuts):
+    rng = np.random.default_rng(2)
+    rows = [(float(rng.integers(4)), [float(x) for x in rng.integers(0, 8, 5) / 8]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "label double, probs array<double>")
+    monkeypatch.setattr(L, "slice_cuts", lambda *_: {"s": cuts})
+    got = {r["code"]: r["roc_auc"] for r in L.roc_auc_by_class(df, F.col("label"), F.col("probs")).collect()}
+    for k in range(4):
+        a = [p[k] for y, p in rows if y == k]
+        b = [p[k] for y, p in rows if y != k]
+        assert got[k] == pytest.approx(np.mean([(x > z) + 0.5 * (x == z) for x in a for z in b]), abs=1e-6)
+    assert got[4] is None
+
+
 def test_class_metrics_with_a_class_never_predicted(spark):
     df = spark.createDataFrame([("a", "a"), ("b", "a"), ("a", "a"), ("c", "c")], "label string, prediction string")
     m = L.class_metrics(df).first()
@@ -164,7 +179,48 @@ def test_tree_shap_equals_brute_force(spark, monkeypatch):
         assert np.allclose(phi[i], want, atol=1e-9)
     assert np.allclose(phi.sum(1) + got["base"], T.predict(fitted, cells))
     paths = T.leaf_paths(fitted)
-    assert np.allclose(T.shap_values(paths, [None] * len(paths), cells), phi)
+    monkeypatch.setattr(T, "BLOCK", 10)
+    assert np.allclose(T.shap_values(paths, cells), phi)
+    assert T.shap_values(paths, cells[:0]).shape == (0, 3)
+
+
+def random_tree(rng, features, depth, cover=1000.0):
+    """A tree that asks for the same features again and again on its paths."""
+    tree = {k: [] for k in ("feature", "threshold", "left", "right", "value", "cover")}
+
+    def grow(level, size):
+        at = len(tree["feature"])
+        for k, v in zip(tree, (-1, 0.0, -1, -1, rng.normal(), size)):
+            tree[k].append(v)
+        if level < depth and rng.random() < 0.9:
+            tree["feature"][at], tree["threshold"][at] = int(rng.integers(features)), rng.normal()
+            share = rng.uniform(0.1, 0.9)
+            tree["left"][at] = grow(level + 1, size * share)
+            tree["right"][at] = grow(level + 1, size * (1 - share))
+        return at
+
+    grow(0, cover)
+    return T.Tree(*(np.array(tree[k]) for k in tree), 1.0)
+
+
+@pytest.mark.parametrize("features,depth", [(1, 6), (3, 6), (6, 7), (8, 4)])
+def test_shapley_values_of_deep_trees_equal_brute_force(features, depth):
+    rng = np.random.default_rng(features)
+    trees = [random_tree(rng, features, depth) for _ in range(3)]
+    x = rng.normal(0, 1, (4, features))
+    paths = T.leaf_paths(trees)
+    want = np.array([sum(brute_force_shap(t, row) for t in trees) for row in x])
+    assert np.allclose(T.shap_values(paths, x), want, atol=1e-10)
+    assert np.allclose(want.sum(1) + T.expected_value(paths), T.predict(trees, x))
+
+
+def test_a_hundred_deep_trees_stay_small():
+    rng = np.random.default_rng(1)
+    trees = [random_tree(rng, 12, 10) for _ in range(100)]
+    paths = T.leaf_paths(trees)
+    x = rng.normal(0, 1, (3, 12))
+    assert sum(a.nbytes for p in paths for a in (p.low, p.high, p.ratio, p.value)) < 100 << 20
+    assert np.allclose(T.shap_values(paths, x).sum(1) + T.expected_value(paths), T.predict(trees, x))
 
 
 def test_classifier_shap_sums_to_the_probability(spark, classes):
