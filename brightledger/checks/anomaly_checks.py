@@ -55,6 +55,22 @@ def _ensemble(s, d):
     return _run(s, d, "ensemble")["summary"]
 
 
+def _rows_of(method):
+    """Every row with its score; what holds for any forest is left to compare."""
+    def run(s, d):
+        scored = _run(s, d, method)["scores"]
+        known = F.col("is_anomaly").isNotNull() & F.col("anomaly_score").between(0.0, 1.0)
+        return scored.select("item_key", known.alias("is_scored"))
+    return run
+
+
+def _flagged_share(s, d):
+    """Rows, and whether those below the limit are the contaminated share (ties at the limit are not flagged)."""
+    scored = _run(s, d, "isolation_forest")["scores"]
+    worst, best = F.min(F.when(F.col("is_anomaly"), F.col("anomaly_score"))), F.max(F.when(~F.col("is_anomaly"), F.col("anomaly_score")))
+    return scored.agg(F.count(F.lit(1)).alias("total_rows"), (F.count_if("is_anomaly") <= F.ceil(0.05 * F.count(F.lit(1)))).alias("within_share"), (worst >= best).alias("flagged_are_highest"))
+
+
 def _projection(s, d):
     scored = _run(s, d, "zscore")["scores"]
     return A.projection(scored, list(FEATURES), ["item_key", "is_anomaly", "anomaly_score"])
@@ -80,6 +96,9 @@ QUERIES = {
     "anomaly_two_methods": lambda s, d: _two_methods(s, d).select("item_key", "is_anomaly", F.round("anomaly_score", 4).alias("anomaly_score")),
     "anomaly_iforest": _iforest,
     "anomaly_ensemble": _ensemble,
+    "anomaly_iforest_rows": _rows_of("isolation_forest"),
+    "anomaly_ensemble_rows": _rows_of("ensemble"),
+    "anomaly_iforest_share": _flagged_share,
     "anomaly_severity": lambda s, d: _run(s, d, "zscore")["flagged"].select("item_key", "severity"),
     "anomaly_contributions": _contributions,
     "anomaly_feature_ranking": lambda s, d: _run(s, d, "zscore")["ranking"],
@@ -88,6 +107,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "anomaly_iforest_rows": f"SELECT item_key, true AS is_scored FROM {ITEMS_SQL} i",
+    "anomaly_ensemble_rows": f"SELECT item_key, true AS is_scored FROM {ITEMS_SQL} i",
+    "anomaly_iforest_share": f"SELECT count(*) AS total_rows, true AS within_share, true AS flagged_are_highest FROM {ITEMS_SQL} i",
     "anomaly_fill": f"WITH {_FILL} SELECT * FROM x",
     "zscore_matrix": f"WITH {_Z} SELECT item_key, {', '.join(f'round(z_{c}, 4) AS z_{c}' for c in FEATURES)} FROM z",
     "anomaly_zscore": f"WITH {_Z} SELECT item_key, zf AS is_anomaly, round(zsc, 4) AS anomaly_score FROM zs",

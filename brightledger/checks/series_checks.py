@@ -49,7 +49,8 @@ def _frequency(s, d, gaps=False):
 
 
 def _grid(s, d, gaps=False):
-    return S.resample(_points(s, d, gaps), _frequency(s, d, gaps))
+    points = _points(s, d, gaps)
+    return S.resample(points, S.infer_frequency(points, "D"))
 
 
 def _split(s, d):
@@ -57,7 +58,9 @@ def _split(s, d):
 
 
 def _future(s, d):
-    return S.future_grid(_grid(s, d), _frequency(s, d), HORIZON)
+    points = _points(s, d)
+    frequency = S.infer_frequency(points, "D")
+    return S.future_grid(S.resample(points, frequency), frequency, HORIZON)
 
 
 def _mixed_points(s, d):
@@ -100,7 +103,7 @@ QUERIES = {
     "series_clean": lambda s, d: S.clean_series(table(s, d, "events"), "ts", "value", ("event_type",)),
     "infer_frequency": lambda s, d: S.infer_frequency(_mixed_points(s, d)).select("series", "frequency", "points", "times"),
     "missing_steps": lambda s, d: S.missing_steps(_frequency(s, d, True)).select("series", "grid_steps", "missing_steps"),
-    "resample_interpolate": lambda s, d: _rounded(_grid(s, d, True), "value", places=8),
+    "resample_interpolate": lambda s, d: _rounded(_grid(s, d, True).select("series", "ts", "value", "observed"), "value", places=8),
     "calendar_features": lambda s, d: _grid(s, d).select("series", "ts", *S.calendar_columns()),
     "lag_features": lambda s, d: _rounded(S.time_features(_grid(s, d)).select("series", "ts", "lag_1", "lag_2", "lag_7"), "lag_1", "lag_2", "lag_7", places=8),
     "rolling_features": lambda s, d: _rounded(S.time_features(_grid(s, d)).select("series", "ts", "rolling_mean_7", "rolling_std_7"), "rolling_mean_7", "rolling_std_7", places=6),
@@ -113,6 +116,7 @@ QUERIES = {
     "forecast_metrics": lambda s, d: S.forecast_metrics(_naive(s, d)),
     "forecast_best_model": lambda s, d: S.best_models(S.forecast_metrics(_naive(s, d))).select("series", "best_model"),
     "forecast_summary": _summary,
+    "forecast_counts": lambda s, d: _summary(s, d).select("series", "total_records", "train_records", "test_records", "frequency", "missing_steps"),
 }
 
 _DAILY_POINTS = "SELECT * FROM dl"
@@ -129,6 +133,8 @@ _NAIVE = f"""{SPLIT_SQL}, lg AS (SELECT *, lag(value, 1) OVER (PARTITION BY seri
      avg(abs((y - p) / greatest(abs(y), 1e-8))) * 100 AS mape, avg(2 * abs(y - p) / (abs(y) + abs(p) + 1e-8)) * 100 AS smape FROM nv GROUP BY 1, 2)"""
 
 ORACLES = {
+    "forecast_counts": f"""WITH {SPLIT_SQL}, m AS (SELECT series, greatest(date_diff('day', min(ts), max(ts)) + 1 - count(DISTINCT ts), 0) AS missing_steps FROM dl GROUP BY 1)
+        SELECT s.series, max(n_total) AS total_records, max(n_train) AS train_records, max(n_total) - max(n_train) AS test_records, 'D' AS frequency, max(missing_steps) AS missing_steps FROM s JOIN m ON m.series = s.series GROUP BY 1""",
     "series_clean": "SELECT event_type AS series, ts, value FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING count(*) >= 10)",
     "infer_frequency": f"""WITH {_MIXED} SELECT series, CASE WHEN points = times AND starts AND months = times THEN 'MS' WHEN points = times AND g0 = g1 AND g0 = 86400 THEN 'D'
         WHEN mid <= 3600 THEN 'h' WHEN mid <= 172800 THEN 'D' WHEN mid <= 864000 THEN 'W' ELSE 'MS' END AS frequency, points, times FROM st""",

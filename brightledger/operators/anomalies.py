@@ -24,6 +24,8 @@ TINY = 1e-8
 SEVERITIES = ((0.85, "Critical"), (0.70, "High"), (0.50, "Medium"), (0.0, "Low"))
 TOP_FEATURES = 3
 TREES, TREE_ROWS = 100, 256
+#: Contents with this share of the rows are sampled with certainty; the sketch that finds them tracks so many items.
+FREQUENT, TRACKED = 1e-4, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -138,19 +140,27 @@ def _grow(x: np.ndarray, limit: int, rng) -> list[tuple[int, float, int, int, fl
 def isolation_trees(table: DataFrame, features: list[str], rows: int, seed: int = 42, trees: int = TREES, tree_rows: int = TREE_ROWS) -> DataFrame:
     """(tree, node, feature, cut, left, right, depth): one random tree per group of sampled rows.
 
-    A hash of the row's content picks a pool of bounded size and a hash of it and the tree the rows of each tree, so every
-    group holds about 256 rows whatever the table size, and no layout changes the trees. Equal rows are counted, and as
-    many of their copies are drawn as their number asks for.
+    Rows with equal features are one content with a number of copies. A content is kept if its hash lies in a share of the
+    hash range that holds a bounded number of contents, or if it has FREQUENT of all rows; no other row is moved.
+    Of the kept ones as many copies are drawn as their number, over the share, asks for, and a hash of copy and tree
+    picks the rows of each tree. Layout and order of the rows change nothing.
     """
     pool_size = trees * tree_rows
-    cols = [ref(_x(c)) for c in features]
     names = [f"f{i}" for i in range(len(features))]
     span = 1 << 40
-    unit = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(span)) / F.lit(float(span))
     chance = min(1.0, 1.1 * pool_size / rows) if rows > pool_size else 1.0
-    equal = table.select(*[c.alias(f"f{i}") for i, c in enumerate(cols)], F.xxhash64(*[ref(c) for c in table.columns]).alias("h"))
-    equal = equal.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.max(n).alias(n) for n in names])
-    copies = F.floor(F.col("n") * F.lit(chance) + unit).cast("int") if chance < 1.0 else F.col("n").cast("int")
+    cells = table.select(*[ref(_x(c)).alias(n) for c, n in zip(features, names)]).withColumn("h", F.xxhash64(*names))
+    # Sketches of fixed size: how many contents there are, and a list that holds every content with FREQUENT of the rows.
+    facts = cells.agg(F.approx_count_distinct("h", 0.02).alias("contents"), F.expr(f"approx_top_k(h, {TRACKED // 6}, {TRACKED})").alias("top")).first()
+    often = [t["item"] for t in facts["top"] if t["count"] >= FREQUENT * rows] if chance < 1.0 else []
+    share = min(1.0, 2.0 * pool_size / max(1, facts["contents"])) if chance < 1.0 else 1.0
+    unit = lambda salt: F.pmod(F.xxhash64("h", F.lit(seed + salt)), F.lit(span)) / F.lit(float(span))
+    drawn_anyway = unit(2) < share
+    kept = cells.where((drawn_anyway | F.col("h").isin(often)) if often else drawn_anyway)
+    equal = kept.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.max(n).alias(n) for n in names])
+    frequent = F.col("n") >= F.lit(FREQUENT * rows)
+    weight = F.when(frequent, 1.0).when(drawn_anyway, 1.0 / share).otherwise(0.0)
+    copies = F.floor(F.col("n") * weight * F.lit(chance) + F.when(weight > 0, unit(0)).otherwise(0.0)).cast("int") if chance < 1.0 else F.col("n").cast("int")
     drawn = equal.withColumn("k", copies).where("k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("k"))))
     drawn = drawn.select(*names, F.xxhash64("h", "copy").alias("h"))
     expected = min(rows, int(1.1 * pool_size))
@@ -177,45 +187,67 @@ def isolation_trees(table: DataFrame, features: list[str], rows: int, seed: int
 def isolation_scores(table: DataFrame, features: list[str], contamination: float = 0.05, seed: int = 42) -> DataFrame:
     """Adds iso_flag and iso_score (1 minus the min-max scaled decision value).
 
-    The raw score is computed once per row in Arrow batches against the broadcast nodes and persisted, because
-    the flag limit and the scaling need its quantile and range.
+    Raw scores come from the broadcast nodes, in Arrow batches that hold the features alone. The flag limit and the
+    scaling need their quantile and range, for which the scores, and nothing else, are kept until these are known.
     """
     rows = table.count()
     grown = isolation_trees(table, features, rows, seed).collect()
-    sizes: dict[int, list] = {}
-    for r in grown:
-        sizes.setdefault(r["tree"], []).append(r)
-    forest = []
-    for t in sorted(sizes):
-        ns = sorted(sizes[t], key=lambda r: r["node"])
-        forest.append(tuple(np.array([r[k] for r in ns]) for k in ("feature", "cut", "left", "right", "depth")))
-    shared = table.sparkSession.sparkContext.broadcast(forest)
+    limit = int(np.ceil(np.log2(max(min(TREE_ROWS, rows), 2))))
+    shared = table.sparkSession.sparkContext.broadcast(_heaps(grown, limit))
     scale = float(_average_path(min(TREE_ROWS, rows))) or 1.0
 
     @F.pandas_udf("double")
     def score(cells: pd.DataFrame) -> pd.Series:
-        x = cells.to_numpy(float)
-        total = np.zeros(len(x))
-        for feature, cut, left, right, depth in shared.value:
-            at = np.zeros(len(x), dtype=np.int64)
-            while True:
-                f = feature[at]
-                inner = np.flatnonzero(f >= 0)
-                if not len(inner):
-                    break
-                here = at[inner]
-                at[inner] = np.where(x[inner, f[inner]] <= cut[here], left[here], right[here])
-            total += depth[at]
-        return pd.Series(-np.exp2(-total / len(shared.value) / scale))
-
-    scored = spread(table).withColumn("_iso", score(F.struct(*[ref(_x(c)) for c in features]))).persist(StorageLevel.MEMORY_AND_DISK)
-    offset = quantiles(scored, {"s": F.col("_iso")}, [contamination])["s"][0]
-    lo, hi = scored.agg(F.min("_iso"), F.max("_iso")).first()
+        return pd.Series(-np.exp2(-_mean_depth(cells.to_numpy(float), *shared.value) / scale))
+
+    raw = score(F.struct(*[ref(_x(c)) for c in features]))
+    scored = spread(table).withColumn("_iso", raw)
+    alone = scored.select("_iso").persist(StorageLevel.MEMORY_AND_DISK)
+    offset = quantiles(alone, {"s": F.col("_iso")}, [contamination])["s"][0]
+    lo, hi = alone.agg(F.min("_iso"), F.max("_iso")).first()
+    alone.unpersist()
     decision = F.col("_iso") - F.lit(offset)
     return scored.withColumn("iso_flag", decision < 0).withColumn(
         "iso_score", 1.0 - (F.col("_iso") - F.lit(lo)) / (F.lit(hi) - F.lit(lo) + TINY)).drop("_iso")
 
 
+def _heaps(grown: list, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, cut, path length) of all trees as complete binary trees: the children of node k are 2 k + 1 and 2 k + 2.
+
+    Below a leaf every value goes left to a copy of it, so each walk takes the same number of steps.
+    """
+    by_tree: dict[int, dict] = {}
+    for r in grown:
+        by_tree.setdefault(r["tree"], {})[r["node"]] = r
+    inner = (1 << limit) - 1
+    feature, cut, depth = np.zeros((len(by_tree), inner), np.int64), np.full((len(by_tree), inner), np.inf), np.zeros((len(by_tree), inner + 1))
+    for i, t in enumerate(sorted(by_tree)):
+        work = [(0, 0)]
+        while work:
+            node, at = work.pop()
+            r = by_tree[t][node]
+            if r["feature"] >= 0:
+                feature[i, at], cut[i, at] = r["feature"], r["cut"]
+                work += [(r["left"], 2 * at + 1), (r["right"], 2 * at + 2)]
+                continue
+            while at < inner:
+                at = 2 * at + 1
+            depth[i, at - inner] = r["depth"]
+    return feature, cut, depth
+
+
+def _mean_depth(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Mean path length of every row over all trees."""
+    total, rows = np.zeros(len(x)), np.arange(len(x))
+    inner = feature.shape[1]
+    for f, c, d in zip(feature, cut, depth):
+        at = np.zeros(len(x), np.int64)
+        while at.size and at[0] < inner:
+            at = 2 * at + 1 + ~(x[rows, f[at]] <= c[at])
+        total += d[at - inner]
+    return total / max(1, len(feature))
+
+
 def severity_of(score: Column) -> Column:
     out = F.lit("Low")
     for limit, name in reversed(SEVERITIES[:-1]):

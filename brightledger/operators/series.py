@@ -1,7 +1,9 @@
-"""Forecasting of many time series at once.
+"""Forecasting of many time series at once, and of single series of any length.
 
-Input points become one row per grid step (hour, day, week, month) and series before any window runs, so the
-length of a series inside a window is bounded by the calendar and not by the number of input rows.
+Input points become one row per grid step (hour, day, week, month) and series. A step's place in its series is computed
+from its time, so it needs no window. Whatever looks at neighbouring steps runs on (series, chunk): a chunk is GRID_CHUNK
+consecutive steps, and it either gets the first point after it from a table of one row per chunk, or the last steps before it
+as copies. Smoothing folds chunks into linear maps. So one long series keeps all cores busy.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.columns import as_moment, as_number, ref
+from ..functions.durable import durable
+from ..functions.joins import join_few
 from ..functions.layout import compact
 
 MIN_POINTS = 10
@@ -27,6 +31,8 @@ MODEL_ORDER = ("baseline", "seasonal", "boosted")
 PERIOD = 7.0
 FOLD_CHUNK = 4096
 GRID_CHUNK = 10_000
+#: Seconds of the windows in which gaps between raw times are looked up (64 hours).
+TIME_CHUNK = 64 * HOUR
 FEATURES = ["year", "month", "day", "dayofweek", "quarter", "is_weekend", "lag_1", "lag_2", "lag_7", "rolling_mean_7", "rolling_std_7"]
 
 
@@ -54,7 +60,7 @@ def clean_series(df: DataFrame, date: str, value: str, keys: tuple[str, ...] = (
     name = F.concat_ws("|", *[ref(k).cast("string") for k in keys]) if keys else F.lit("all")
     points = df.select(name.alias("series"), as_moment(df, date).alias("ts"), as_number(df, value).alias("value")).na.drop("any")
     sizes = points.groupBy("series").agg(F.count(F.lit(1)).alias("_n"))
-    return points.join(sizes.where(F.col("_n") >= MIN_POINTS).select("series"), "series", "left_semi")
+    return join_few(points, durable(sizes.where(F.col("_n") >= MIN_POINTS).select("series")), "series", "left_semi")
 
 
 def _seconds(a: Column, b: Column) -> Column:
@@ -65,14 +71,15 @@ def infer_frequency(points: DataFrame, frequency: str = "auto") -> DataFrame:
     """One row per series: frequency code, step in seconds (null for months), first / last / number of distinct times.
 
     The median gap is only compared with three limits, which counts below and above each limit decide; nothing
-    is sorted per series. Gaps come from windows over (series, hour); the step into an hour looks at the last
-    time of the hour before.
+    is sorted per series. Gaps come from windows over (series, 64 hours); the step into such a stretch looks at the last
+    time of the stretch before. The result is written, since every later step joins it.
     """
-    times = points.groupBy("series", "ts").agg(F.count(F.lit(1)).alias("copies")).withColumn("bucket", F.date_trunc("hour", "ts"))
+    stretch = F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) / TIME_CHUNK)
+    times = points.groupBy("series", "ts").agg(F.count(F.lit(1)).alias("copies")).withColumn("bucket", stretch)
     inside = times.withColumn("prev", F.lag("ts").over(W.partitionBy("series", "bucket").orderBy("ts")))
-    ends = times.groupBy("series", "bucket").agg(F.max("ts").alias("hour_end"))
-    before = ends.select("series", "bucket", F.lag("hour_end").over(W.partitionBy("series").orderBy("bucket")).alias("hour_before"))
-    gaps = inside.join(before, ["series", "bucket"]).withColumn("gap", _seconds(F.coalesce("prev", "hour_before"), F.col("ts")))
+    ends = times.groupBy("series", "bucket").agg(F.max("ts").alias("end"))
+    before = ends.select("series", "bucket", F.lag("end").over(W.partitionBy("series").orderBy("bucket")).alias("end_before"))
+    gaps = inside.join(before, ["series", "bucket"]).withColumn("gap", _seconds(F.coalesce("prev", "end_before"), F.col("ts")))
     month_start = (F.date_trunc("month", "ts").cast("timestamp_ntz") == F.col("ts"))
     month_no = F.year("ts") * 12 + F.month("ts")
     tally = []
@@ -112,7 +119,7 @@ def infer_frequency(points: DataFrame, frequency: str = "auto") -> DataFrame:
         F.when(F.col("frequency").isin("MS", "M"), F.lit(None)).when(F.col("regular"), F.col("gap_min"))
         .when(F.col("frequency") == "h", F.lit(HOUR)).when(F.col("frequency") == "W", F.lit(7 * DAY)).otherwise(F.lit(DAY))
     ).cast("long")
-    return named.select("series", "frequency", step.alias("step_seconds"), "regular", "points", "times", "first_ts", "last_ts")
+    return durable(named.select("series", "frequency", step.alias("step_seconds"), "regular", "points", "times", "first_ts", "last_ts"))
 
 
 def _bucket(ts: Column) -> Column:
@@ -163,24 +170,41 @@ def missing_steps(frequency: DataFrame) -> DataFrame:
 
 
 def resample(points: DataFrame, frequency: DataFrame, how: str = "mean") -> DataFrame:
-    """(series, ts, value, observed): every grid step of each series, gaps filled linearly in time.
+    """(series, ts, value, observed, at, size): every grid step of each series, gaps filled linearly in time.
 
-    The frequency table has one row per series; the aggregation to grid steps happens before the windows.
+    The frequency table has one row per series. ``at`` counts the steps from 0, ``size`` is their number. A gap is made
+    by the step before it, which looks up the next step that has points; the first and the last step always have some.
     """
-    facts = frequency.select("series", "frequency", "step_seconds", "regular", "first_ts", "last_ts")
+    spans = frequency.select("series", "frequency", "step_seconds", "regular", "first_ts", _bucket(F.col("first_ts")).alias("start"), _bucket(F.col("last_ts")).alias("stop"))
+    spans = spans.withColumn("size", (_steps_between(F.col("start"), F.col("stop")) + 1).cast("int")).drop("stop")
+    named = join_few(points, spans, "series").withColumn("at", _steps_between(F.col("start"), _bucket(F.col("ts"))).cast("int"))
     agg = F.sum("value") if how == "sum" else F.avg("value")
-    binned = points.join(facts, "series").select("series", _bucket(F.col("ts")).alias("ts"), "value").groupBy("series", "ts").agg(agg.alias("value"))
-    spans = facts.withColumn("a", _bucket(F.col("first_ts"))).withColumn("b", _bucket(F.col("last_ts")))
-    chunks = spans.withColumn("n", _steps_between(F.col("a"), F.col("b"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"), F.lit(GRID_CHUNK).cast("long"))))
-    grid = chunks.withColumn("i", F.explode(F.sequence("chunk", F.least(F.col("chunk") + GRID_CHUNK - 1, F.col("n"))))).select("series", _advance(F.col("a"), F.col("i")).alias("ts"))
-    full = grid.join(binned, ["series", "ts"], "left")
-    back = W.partitionBy("series").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy("series").orderBy("ts").rowsBetween(0, W.unboundedFollowing)
-    mark = F.when(F.col("value").isNotNull(), F.struct("ts", "value"))
-    near = full.withColumn("p", F.last(mark, True).over(back)).withColumn("q", F.first(mark, True).over(ahead))
-    share = F.try_divide(_seconds(F.col("p.ts"), F.col("ts")), _seconds(F.col("p.ts"), F.col("q.ts")))
-    between = F.col("p.value") + (F.col("q.value") - F.col("p.value")) * share
-    return near.select("series", "ts", F.coalesce("value", between, "p.value").alias("value"), F.col("value").isNotNull().alias("observed"))
+    steps = named.groupBy("series", "at", "size", "start", "frequency", "step_seconds").agg(agg.alias("value"))
+    steps = steps.withColumn("chunk", F.floor(F.col("at") / GRID_CHUNK))
+    firsts = steps.groupBy("series", "chunk").agg(F.min("at").alias("at"), F.min_by("value", "at").alias("value"))
+    after = firsts.select("series", "chunk", F.lead(F.struct("at", "value")).over(W.partitionBy("series").orderBy("chunk")).alias("after"))
+    inside = F.lead(F.struct("at", "value")).over(W.partitionBy("series", "chunk").orderBy("at"))
+    ahead = steps.withColumn("inside", inside).join(after, ["series", "chunk"]).withColumn("q", F.coalesce("inside", "after"))
+    filled = ahead.withColumn("step", F.explode(F.sequence(F.col("at"), F.coalesce(F.col("q.at") - 1, F.col("at")))))
+    t, t0, t1 = (_advance(F.col("start"), x.cast("long")) for x in (F.col("step"), F.col("at"), F.col("q.at")))
+    between = F.col("value") + (F.col("q.value") - F.col("value")) * F.try_divide(_seconds(t0, t), _seconds(t0, t1))
+    observed = F.col("step") == F.col("at")
+    return filled.select("series", t.alias("ts"), F.when(observed, F.col("value")).otherwise(between).alias("value"), observed.alias("observed"), F.col("step").alias("at"), "size")
+
+
+def numbered(grid: DataFrame) -> DataFrame:
+    """The grid with ``at`` and ``size``; grids from elsewhere are numbered by a window over each series."""
+    if "at" in grid.columns and "size" in grid.columns:
+        return grid
+    w = W.partitionBy("series")
+    return grid.withColumn("at", F.row_number().over(w.orderBy("ts")) - 1).withColumn("size", F.count(F.lit(1)).over(w).cast("int"))
+
+
+def with_steps_before(grid: DataFrame, chunk: int, steps: int) -> DataFrame:
+    """Adds ``chunk`` and ``own``: each chunk of a series gets copies (not own) of the last steps of the chunk before."""
+    here = F.floor(F.col("at") / chunk)
+    both = F.when((F.pmod(F.col("at"), F.lit(chunk)) >= chunk - steps) & (F.col("at") + 1 < F.col("size")), F.array(here, here + 1)).otherwise(F.array(here))
+    return grid.withColumn("chunk", F.explode(both)).withColumn("own", F.col("chunk") == here)
 
 
 def calendar_columns(ts: str = "ts") -> list[Column]:
@@ -191,20 +215,20 @@ def calendar_columns(ts: str = "ts") -> list[Column]:
     ]
 
 
-def time_features(grid: DataFrame) -> DataFrame:
+def time_features(grid: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Calendar columns, lags 1 / 2 / 7 and mean and deviation of the seven values before each step."""
-    w = W.partitionBy("series").orderBy("ts")
+    w = W.partitionBy("series", "chunk").orderBy("at")
     past = w.rowsBetween(-7, -1)
-    return grid.select(
-        "series", "ts", "value", *calendar_columns(), *[F.lag("value", k).over(w).alias(f"lag_{k}") for k in (1, 2, 7)],
+    wide = with_steps_before(numbered(grid), GRID_CHUNK, 7).select(
+        "series", "ts", "value", *keep, "own", *[F.lag("value", k).over(w).alias(f"lag_{k}") for k in (1, 2, 7)],
         F.avg("value").over(past).alias("rolling_mean_7"), F.coalesce(F.stddev_samp("value").over(past), F.lit(0.0)).alias("rolling_std_7"),
     )
+    return wide.where("own").select("series", "ts", "value", *keep, *calendar_columns(), "lag_1", "lag_2", "lag_7", "rolling_mean_7", "rolling_std_7")
 
 
 def chronological_split(grid: DataFrame, horizon: int = 30, ratio: float = 0.2) -> DataFrame:
     """Adds pos (from 1), n_total, n_train and the part; the last max(3, min(horizon, n x ratio)) steps are the test."""
-    w = W.partitionBy("series")
-    sized = grid.withColumn("pos", F.row_number().over(w.orderBy("ts"))).withColumn("n_total", F.count(F.lit(1)).over(w).cast("int"))
+    sized = numbered(grid).withColumn("pos", (F.col("at") + 1).cast("int")).withColumn("n_total", F.col("size").cast("int"))
     n_test = F.greatest(F.lit(3), F.least(F.lit(horizon), F.floor(F.col("n_total") * F.lit(ratio)).cast("int")))
     split = sized.withColumn("n_train", F.col("n_total") - n_test)
     return split.withColumn("part", F.when(F.col("pos") <= F.col("n_train"), "train").otherwise("test"))
@@ -233,18 +257,15 @@ def holt_fit(split: DataFrame) -> DataFrame:
     """Level, trend and one-step spread per series after smoothing its training steps.
 
     One smoothing step maps (level, trend) linearly, so a run of steps is a 2x2 matrix and an offset. Runs of
-    4096 steps are folded in parallel and the short list of runs is folded per series: no row ever holds a
-    whole long series.
+    4096 steps are folded in parallel, with the moments of their one-step differences, and the short list of
+    runs is folded per series: no row or window ever holds a whole long series.
     """
-    train = split.where("part = 'train'")
-    w = W.partitionBy("series").orderBy("pos")
-    diffs = train.withColumn("d", F.coalesce(F.col("value") - F.lag("value").over(w), F.lit(0.0)))
-    ends = diffs.groupBy("series").agg(
-        F.min_by("value", "pos").alias("y0"), F.max_by("value", "pos").alias("y1"), F.count(F.lit(1)).alias("f_train"),
-        F.max("n_total").alias("f_total"), F.stddev_pop("d").alias("sigma"),
-    )
-    runs = train.withColumn("run", F.floor((F.col("pos") - 1) / FOLD_CHUNK)).groupBy("series", "run").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("ys"))
+    train = with_steps_before(numbered(split).where("part = 'train'"), FOLD_CHUNK, 1).withColumnRenamed("chunk", "run")
+    step = F.col("value") - F.lag("value").over(W.partitionBy("series", "run").orderBy("pos"))
+    # A copy at the end of the training part may open a run of its own without a step in it.
+    runs = train.withColumn("d", F.coalesce(step, F.lit(0.0))).where("own").groupBy("series", "run").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("ys"),
+        F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.var_pop("d").alias("spread"), F.max("n_total").alias("f_total"))
 
     def smooth(level, trend, y):
         new = ALPHA * y + (1 - ALPHA) * (level + trend)
@@ -260,9 +281,14 @@ def holt_fit(split: DataFrame) -> DataFrame:
     def start(a, b):
         return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
 
-    folded = runs.select("series", "run", F.aggregate("ys", start(0.0, 0.0), along).alias("c"),
+    folded = runs.select("series", "run", "n", "mean", "spread", "f_total", F.element_at("ys", 1).alias("y0"), F.element_at("ys", -1).alias("y1"), F.aggregate("ys", start(0.0, 0.0), along).alias("c"),
                          F.aggregate("ys", start(1.0, 0.0), along_zero).alias("u"), F.aggregate("ys", start(0.0, 1.0), along_zero).alias("v"))
-    lists = folded.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("run", "c", "u", "v"))).alias("runs"))
+    total = F.sum("n").cast("double")
+    mean = F.sum(F.col("n") * F.col("mean")) / total
+    square = F.sum(F.col("n") * (F.col("spread") + F.col("mean") * F.col("mean"))) / total
+    done = folded.groupBy("series").agg(
+        F.sort_array(F.collect_list(F.struct("run", "c", "u", "v"))).alias("runs"), F.min_by("y0", "run").alias("y0"), F.max_by("y1", "run").alias("y1"),
+        F.sum("n").alias("f_train"), F.max("f_total").alias("f_total"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("sigma"))
 
     def apply_run(state, r):
         return F.struct((r["u"]["a"] * state["a"] + r["v"]["a"] * state["b"] + r["c"]["a"]).alias("a"),
@@ -270,7 +296,7 @@ def holt_fit(split: DataFrame) -> DataFrame:
 
     slope = (F.col("y1") - F.col("y0")) / F.greatest(F.lit(1), F.col("f_train") - 1)
     first = F.struct(F.col("y0").alias("a"), slope.alias("b"))
-    done = ends.join(lists, "series").withColumn("s", F.aggregate("runs", first, apply_run))
+    done = done.withColumn("s", F.aggregate("runs", first, apply_run))
     sigma = F.when(F.col("f_train") > 1, F.col("sigma")).otherwise(F.lit(1.0))
     return done.select("series", F.col("s.a").alias("level"), F.col("s.b").alias("trend"), sigma.alias("sigma"), "f_train", "f_total")
 
@@ -330,7 +356,7 @@ def boosted_forecast(split: DataFrame, frequency: DataFrame, horizon: int, confi
     from ..functions.trees import model_trees, predict
 
     spark = split.sparkSession
-    feats = time_features(split.select("series", "ts", "value")).join(split.select("series", "ts", "pos", "n_train", "n_total", "part"), ["series", "ts"])
+    feats = time_features(split, ("pos", "n_train", "n_total", "part"))
     train = feats.where("part = 'train'").na.drop("any", subset=FEATURES)
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
     vectors = assemble.transform(train).select("series", "value", "features")
@@ -416,9 +442,10 @@ def forecast(df: DataFrame, config: ForecastConfig) -> dict[str, DataFrame]:
     points = clean_series(df, config.date, config.value, config.keys)
     if not config.keys and points.isEmpty():
         raise ValueError(f"a series needs at least {MIN_POINTS} valid points")
-    frequency = infer_frequency(points, config.frequency).persist(StorageLevel.MEMORY_AND_DISK)
+    frequency = infer_frequency(points, config.frequency)
     grid = resample(points, frequency)
-    split = chronological_split(grid, config.horizon, config.test_ratio).persist(StorageLevel.MEMORY_AND_DISK)
+    # Written once: every model, its test part and the summary read it.
+    split = durable(chronological_split(grid, config.horizon, config.test_ratio))
     future = future_grid(split, frequency, config.horizon)
     makers = {
         "baseline": lambda: holt_forecast(split, future, config.confidence),

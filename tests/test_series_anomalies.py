@@ -1,5 +1,6 @@
 """Forecasting and anomaly detection on small tables."""
 
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -177,3 +178,81 @@ def test_isolation_scores_do_not_depend_on_the_layout(spark):
     config = A.AnomalyConfig(features=("a", "b"), method="isolation_forest")
     runs = [sorted((r["row_id"], round(r["anomaly_score"], 9), r["is_anomaly"]) for r in A.detect(df.repartition(n), config)["scores"].collect()) for n in (1, 17)]
     assert runs[0] == runs[1] and len(runs[0]) == 40_050
+
+
+def test_forest_sample_moves_a_bounded_number_of_rows(spark):
+    """No exchange carries the table: what is grouped are contents in a share of the hash range and frequent ones."""
+    df = spark.range(400_000).select(F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.rand(1)).alias("a"), F.rand(2).alias("b"))
+    df = df.withColumn("b", F.when(F.col("a") == 5.0, 1.0).otherwise(F.col("b")))
+    scale = A.fit_scale(df, ["a", "b"])
+    table = A.filled(df, scale)
+    trees = A.isolation_trees(table, ["a", "b"], 400_000)
+    nodes = trees.collect()
+    assert len({r["tree"] for r in nodes}) == 100
+    # Two thirds of the rows are one content, so they stop the same leaf at most 1 + log2(256) levels down, in every tree.
+    assert max(sum(r["tree"] == t for r in nodes) for t in range(100)) < 256
+
+
+def test_heaps_walk_like_the_trees():
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (256, 3))
+    grown = []
+    for t in range(5):
+        for i, (f, c, l, r, d) in enumerate(A._grow(x[: 40 * t + 1], 8, rng)):
+            grown.append({"tree": t, "node": i, "feature": f, "cut": c, "left": l, "right": r, "depth": d})
+    rows = rng.normal(0, 1, (50, 3))
+
+    def walk(t, row):
+        nodes = {r["node"]: r for r in grown if r["tree"] == t}
+        at = nodes[0]
+        while at["feature"] >= 0:
+            at = nodes[at["left"] if row[at["feature"]] <= at["cut"] else at["right"]]
+        return at["depth"]
+
+    want = [np.mean([walk(t, row) for t in range(5)]) for row in rows]
+    assert np.allclose(A._mean_depth(rows, *A._heaps(grown, 8)), want) and len(A._mean_depth(rows[:0], *A._heaps(grown, 8))) == 0
+
+
+@pytest.mark.parametrize("chunk", [13, 7, 10_000])
+def test_chunks_of_a_series_change_nothing(spark, monkeypatch, chunk):
+    df = daily(spark, 100, skip=(3, 4, 12, 13, 14, 26, 40, *range(50, 80)))
+    points = S.clean_series(df, "ts", "value")
+    frequency = S.infer_frequency(points, "D")
+    monkeypatch.setattr(S, "GRID_CHUNK", chunk)
+    grid = S.resample(points, frequency)
+    got = grid.orderBy("ts").toPandas()
+    want = pd.Series({r["ts"]: r["value"] for r in df.collect()}).sort_index().resample("D").mean().interpolate("time")
+    assert got["ts"].tolist() == want.index.tolist() and np.allclose(got["value"], want) and got["at"].tolist() == list(range(100)) and set(got["size"]) == {100}
+    f = S.time_features(grid).orderBy("ts").toPandas()
+    past = want.shift(1).rolling(7, min_periods=1)
+    assert np.allclose(f["lag_7"][7:], want.shift(7)[7:]) and np.allclose(f["lag_1"][1:], want.shift(1)[1:]) and f["lag_2"].isna().sum() == 2
+    assert np.allclose(f["rolling_mean_7"][1:], past.mean()[1:]) and np.allclose(f["rolling_std_7"], past.std().fillna(0))
+    split = S.chronological_split(grid, 14).orderBy("ts").toPandas()
+    assert split["pos"].tolist() == list(range(1, 101)) and (split["part"] == "test").sum() == 14
+    assert np.allclose(S.chronological_split(grid.drop("at", "size"), 14).orderBy("ts").toPandas()["pos"], split["pos"])
+
+
+def test_holt_moments_do_not_depend_on_the_runs(spark, monkeypatch):
+    rows = [(datetime(2020, 1, 1) + timedelta(days=i), float((i * 37) % 101), s) for s, n in (("a", 100), ("b", 23), ("c", 12)) for i in range(n)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, value double, s string")
+    points = S.clean_series(df, "ts", "value", ("s",))
+    split = S.chronological_split(S.resample(points, S.infer_frequency(points, "D")), 14)
+    whole = {r["series"]: r for r in S.holt_fit(split).collect()}
+    monkeypatch.setattr(S, "FOLD_CHUNK", 5)
+    for r in S.holt_fit(split).collect():
+        y = split.where((F.col("series") == r["series"]) & (F.col("part") == "train")).orderBy("pos").toPandas()["value"].to_numpy()
+        level, trend = holt_loop(y)
+        d = np.r_[0.0, np.diff(y)]
+        assert np.allclose([r["level"], r["trend"], r["sigma"]], [level, trend, d.std()]) and r["f_train"] == len(y)
+        assert np.allclose([whole[r["series"]][k] for k in ("level", "trend", "sigma")], [level, trend, d.std()])
+
+
+def test_long_series_have_no_window_over_a_whole_series(spark):
+    """Windows over grid rows are dealt by series and chunk; only tables of one row a chunk are dealt by series."""
+    df = daily(spark, 60)
+    points = S.clean_series(df, "ts", "value")
+    grid = S.resample(points, S.infer_frequency(points, "D"))
+    for frame in (S.time_features(grid), S.holt_fit(S.chronological_split(grid, 14))):
+        text = frame._jdf.queryExecution().analyzed().toString()
+        assert re.search(r"windowspecdefinition\(series#\w+, (chunk|run)#", text)
+        assert not re.search(r"windowspecdefinition\(series#\w+, (at|pos|ts)#", text)
