@@ -11,13 +11,19 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durable import durable
+from .joins import join_few
+
 BUFFER_VALUES = 250_000
 LAST_VALUES = 20_000
 SKETCH = 10_000
+#: Cells that a class's sketch cuts its interval into.
+LATTICE = 256
 
 
 @dataclass
@@ -162,23 +168,84 @@ def _step(s: _Wanted, bracket, tally) -> None:
         s.low, s.size = hi, s.size - taken
 
 
-def quantiles_by_class(df: DataFrame, label: Column, value: Column, probs: list[float], class_rows: int = BUFFER_VALUES, batch: int = 40) -> DataFrame:
+def quantiles_by_class(df: DataFrame, label: Column, value: Column, probs: list[float], class_rows: int = BUFFER_VALUES, last_values: int = LAST_VALUES) -> DataFrame:
     """(class, q array): exact quantiles of ``value`` inside every class.
 
-    Classes up to ``class_rows`` rows use one grouped ``percentile``; larger ones, of which there can be only
-    few, are narrowed like whole columns.
+    Classes up to ``class_rows`` rows use one grouped ``percentile``. All larger ones are narrowed together: a sketch a
+    class brackets the wanted ranks, one pass counts where the brackets lie, and this repeats on the open intervals
+    until few values are left in each. What is shuffled by class are sketches, counts and the last few values.
     """
     pairs = df.select(label.alias("class"), value.cast("double").alias("v")).where("class is not null and v is not null")
-    large = [r[0] for r in pairs.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > class_rows).select("class").collect()]
-    rest = pairs.where(~F.col("class").isin(large)) if large else pairs
-    out = rest.groupBy("class").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q"))
-    for start in range(0, len(large), batch):
-        part = large[start:start + batch]
-        got = quantiles(pairs, {str(i): F.when(F.col("class") == F.lit(c), F.col("v")) for i, c in enumerate(part)}, probs)
-        kind = pairs.schema["class"].dataType.simpleString()
-        rows = [(c, got[str(i)]) for i, c in enumerate(part)]
-        out = out.unionByName(df.sparkSession.createDataFrame(rows, f"class {kind}, q array<double>"))
-    return out
+    sizes = durable(pairs.groupBy("class").agg(F.count(F.lit(1)).alias("n")))
+    large = sizes.where(F.col("n") > class_rows)
+    if large.isEmpty():
+        return pairs.groupBy("class").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q"))
+    few = join_few(pairs, large.select("class"), "class", "left_anti")
+    small = few.groupBy("class").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q"))
+    found = _ranks_by_class(pairs, _wanted_ranks(large, probs), last_values)
+    at = lambda end: F.col(f"m.{end}")
+    value = F.when(F.col("part") == 0, at("low")).otherwise(at("low") * (1 - F.col("part")) + at("high") * F.col("part"))
+    ends = found.groupBy("class", "p").agg(F.max("part").alias("part"), F.struct(F.max(F.when(F.col("end") == 0, F.col("value"))).alias("low"), F.max(F.when(F.col("end") == 1, F.col("value"))).alias("high")).alias("m"))
+    wide = ends.select("class", "p", value.alias("x")).groupBy("class").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("q"))
+    return small.unionByName(wide)
+
+
+def _wanted_ranks(sizes: DataFrame, probs: list[float]) -> DataFrame:
+    """One row a class, probability and end: the rank k (from 0) to find among the class's n values, all of them open."""
+    each = sizes.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(len(probs) - 1))))
+    place = F.element_at(F.array(*map(F.lit, map(float, probs))), F.col("p") + 1) * (F.col("n") - 1)
+    low = F.floor(place)
+    each = each.withColumn("part", place - low).withColumn("k", low).withColumn("end", F.explode(F.array(F.lit(0), F.lit(1))))
+    k = F.least(F.col("k") + F.col("end"), F.col("n") - 1)
+    nothing = F.lit(None).cast("double")
+    return each.select("class", "p", "end", "part", k.alias("k"), F.col("n").alias("size"), nothing.alias("lo"), nothing.alias("hi"), nothing.alias("value"))
+
+
+def _inside() -> Column:
+    return F.coalesce(F.col("v") > F.col("lo"), F.lit(True)) & F.coalesce(F.col("v") < F.col("hi"), F.lit(True))
+
+
+def _ranks_by_class(pairs: DataFrame, state: DataFrame, last_values: int) -> DataFrame:
+    """The state with every value found."""
+    keys = ["class", "p", "end"]
+    lattice = [i / LATTICE for i in range(LATTICE + 1)]
+    state = durable(state)
+    while True:
+        open_ = state.where(F.col("value").isNull() & (F.col("size") > last_values))
+        if open_.isEmpty():
+            break
+        # Ranks that are still in one interval share its sketch.
+        intervals = durable(open_.groupBy("class").agg(F.collect_set(F.struct("lo", "hi")).alias("intervals")))
+        spread = join_few(pairs, intervals, "class").select("class", "v", F.explode("intervals").alias("i")).select("class", "v", "i.*").where(_inside())
+        sketches = spread.groupBy("class", "lo", "hi").agg(F.percentile_approx("v", F.array(*map(F.lit, lattice)), SKETCH).alias("marks"))
+        cell = F.floor((F.col("k") + 0.5) / F.col("size") * LATTICE)
+        mark = lambda i: F.element_at("marks", F.greatest(F.lit(0), F.least(F.lit(LATTICE), i)).cast("int") + 1)
+        chosen = open_.alias("s").join(sketches.alias("k"), reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("class", "lo", "hi")]))
+        chosen = durable(chosen.select(*[F.col(f"s.{c}").alias(c) for c in state.columns], mark(cell - 1).alias("a"), mark(cell + 2).alias("b")))
+        asked = durable(chosen.groupBy("class").agg(F.collect_list(F.struct(*keys, "lo", "hi", "a", "b")).alias("asked")))
+        rows = join_few(pairs, asked, "class").select("v", F.explode("asked").alias("x")).select("v", "x.*").where(_inside())
+        a, b = F.col("v") < F.col("a"), F.col("v") > F.col("b")
+        tally = rows.groupBy(*keys).agg(
+            F.count_if(a).alias("below"), F.count_if(F.col("v") == F.col("a")).alias("at_a"), F.count_if((F.col("v") > F.col("a")) & (F.col("v") < F.col("b"))).alias("between"),
+            F.count_if((F.col("v") == F.col("b")) & (F.col("b") != F.col("a"))).alias("at_b"))
+        c = chosen.join(tally, keys)
+        e1 = F.col("below")
+        e2, e3 = e1 + F.col("at_a"), e1 + F.col("at_a") + F.col("between")
+        e4, k = e3 + F.col("at_b"), F.col("k")
+        moved = c.select(
+            *keys, "part", F.when(k < e1, k).when(k < e3, k - e2).otherwise(k - e4).alias("k"),
+            F.when(k < e1, e1).when(k < e3, F.col("between")).otherwise(F.col("size") - e4).alias("size"),
+            F.when(k < e1, F.col("lo")).when(k < e3, F.col("a")).otherwise(F.col("b")).alias("lo"),
+            F.when(k < e1, F.col("a")).when(k < e3, F.col("b")).otherwise(F.col("hi")).alias("hi"),
+            F.when((k >= e1) & (k < e2), F.col("a")).when((k >= e3) & (k < e4), F.col("b")).alias("value"),
+        )
+        closed = state.where(F.col("value").isNotNull() | (F.col("size") <= last_values))
+        state = durable(closed.unionByName(moved))
+    last = durable(state.where("value IS NULL").groupBy("class").agg(F.collect_list(F.struct(*keys, "k", "lo", "hi", "part")).alias("asked")))
+    rows = join_few(pairs, last, "class").select("v", F.explode("asked").alias("x")).select("v", "x.*").where(_inside())
+    found = rows.groupBy(*keys).agg(F.max("part").alias("part"), F.max("k").alias("k"), F.sort_array(F.collect_list("v")).alias("vs"))
+    found = found.select(*keys, "part", F.element_at("vs", (F.col("k") + 1).cast("int")).alias("value"))
+    return state.where("value IS NOT NULL").select(*keys, "part", "value").unionByName(found)
 
 
 def medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float | None]:

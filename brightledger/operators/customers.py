@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_moment, as_number, literal_rows, ref
+from ..functions.durable import durable
+from ..functions.joins import FEW_ROWS, join_few
 from ..functions.layout import compact
 from ..functions.quantiles import medians, quantiles
 from ..functions.ranking import ONE_TASK_ROWS, positions
+from ..functions.ward import ward_labels
 
 # Accepted column names per role, most specific first.
 COLUMN_ALIASES = {
@@ -198,27 +201,26 @@ def _scaled(rfm: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     z = rfm
     for c in cols:
         std = row[f"{c}_s"] or 1.0
-        # Around 10, not 0: bisecting K-means moves a centre by a share of its length to split it.
-        z = z.withColumn(f"_z_{c}", (F.col(c) - F.lit(row[f"{c}_m"])) / F.lit(std) + 10.0)
+        z = z.withColumn(f"_z_{c}", (F.col(c) - F.lit(row[f"{c}_m"])) / F.lit(std))
     return VectorAssembler(inputCols=[f"_z_{c}" for c in cols], outputCol="features").transform(z), row
 
 
 def davies_bouldin(points: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """Davies-Bouldin index from centroids and mean distances; the pair formula runs over clusters only."""
-    centres = points.groupBy(label).agg(*[F.avg(f).alias(f"_c_{f}") for f in features])
-    joined = points.join(centres, label)
-    sq = sum(((F.col(f) - F.col(f"_c_{f}")) ** 2 for f in features), F.lit(0.0))
-    stats = joined.groupBy(label).agg(
-        F.avg(F.sqrt(sq)).alias("spread"), F.array(*[F.first(f"_c_{f}") for f in features]).alias("centre"),
-    )
-    gathered = stats.agg(F.collect_list(F.struct("spread", "centre")).alias("c"))
-    def worst(a):
-        def ratio(b):
-            gap = F.sqrt(F.aggregate(F.zip_with(a["centre"], b["centre"], lambda x, y: (x - y) ** 2), F.lit(0.0), lambda s, x: s + x))
-            return F.try_divide(a["spread"] + b["spread"], gap)
-        return F.coalesce(F.array_max(F.transform(F.col("c"), ratio)), F.lit(0.0))
-    total = F.aggregate(F.transform("c", worst), F.lit(0.0), lambda s, x: s + x)
-    return gathered.select(F.size("c").alias("clusters"), F.round(total / F.size("c"), 4).alias("davies_bouldin"))
+    """Davies-Bouldin index from centroids and mean distances.
+
+    Rows stay where they are while there are few clusters; the pairs of clusters are rows of their own, dealt by the
+    one of the two whose worst neighbour is looked for.
+    """
+    centres = durable(points.groupBy(label).agg(F.array(*[F.avg(f) for f in features]).alias("_centre")))
+    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    spreads = join_few(points.select(label, F.array(*[F.col(f).cast("double") for f in features]).alias("_x")), centres, label).groupBy(label).agg(F.avg(gap(F.col("_x"), F.col("_centre"))).alias("spread"))
+    stats = durable(spreads.join(centres, label).select(F.col(label).alias("c"), "spread", F.col("_centre").alias("centre")))
+    few = stats.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    a, b = stats.alias("a"), (F.broadcast(stats) if few else stats).alias("b")
+    pairs = a.join(b, F.col("a.c") != F.col("b.c"), "left")
+    ratio = F.try_divide(F.col("a.spread") + F.col("b.spread"), gap(F.col("a.centre"), F.col("b.centre")))
+    worst = pairs.groupBy("a.c").agg(F.coalesce(F.max(ratio), F.lit(0.0)).alias("worst"))
+    return worst.agg(F.count(F.lit(1)).cast("int").alias("clusters"), F.round(F.coalesce(F.avg("worst"), F.lit(0.0)), 4).alias("davies_bouldin"))
 
 
 def cluster_profile(points: DataFrame, label: str, total: float | None = None) -> DataFrame:
@@ -245,10 +247,10 @@ class Clusters:
 def cluster_customers(rfm: DataFrame, algorithm: str = "kmeans", seed: int = 42) -> Clusters:
     """Clusters on standardised recency, frequency, monetary; k from 2 to 6 by best silhouette.
 
-    The hierarchy is built from the top, by bisecting K-means: every split is a Spark job over the rows, and the method
-    is the same for every number of customers.
+    The hierarchy is Ward's, over clustering features of the rows: exact up to 4,000 different customers, over cells of
+    the documented width beyond.
     """
-    from pyspark.ml.clustering import BisectingKMeans, KMeans
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
 
     cols = ["recency", "frequency", "monetary"]
@@ -256,7 +258,7 @@ def cluster_customers(rfm: DataFrame, algorithm: str = "kmeans", seed: int = 42)
     n = rfm.count()
     features = compact(features, n).persist(StorageLevel.MEMORY_AND_DISK)
     spark = rfm.sparkSession
-    title = "K-Means" if algorithm == "kmeans" else "Hierarchical Bisecting"
+    title = "K-Means" if algorithm == "kmeans" else "Hierarchical Ward"
     schema = "algorithm string, optimal_k int, silhouette double, davies_bouldin double"
     if min(6, n - 1) < 2:
         assigned = features.withColumn("cluster", F.lit(0))
@@ -264,9 +266,12 @@ def cluster_customers(rfm: DataFrame, algorithm: str = "kmeans", seed: int = 42)
 
     candidates = {}
     ks = list(range(2, min(6, n - 1) + 1))
-    make = BisectingKMeans if algorithm == "hierarchical" else KMeans
-    for k in ks:
-        model = make(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(features)
+    if algorithm == "hierarchical":
+        labelled, _ = ward_labels(features, [f"_z_{c}" for c in cols], ks)
+        labelled = durable(labelled)
+        candidates = {k: labelled.withColumn("cluster", F.col("_labels")[i]).drop("_labels") for i, k in enumerate(ks)}
+    for k in ks if algorithm != "hierarchical" else []:
+        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(features)
         candidates[k] = model.transform(features)
 
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")

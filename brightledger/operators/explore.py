@@ -13,6 +13,8 @@ from ..functions.columns import (
     CATEGORICAL, DATETIME, NUMERICAL, as_moment, as_number, column_kinds, is_number, literal_rows, ref, rows_table,
 )
 from ..functions.counts import count_summary, value_counts
+from ..functions.durable import durable
+from ..functions.joins import join_few
 from ..functions.moments import pair_correlations, pearson, round4, sample_kurtosis, sample_skewness
 from ..functions.quantiles import quantiles, quantiles_by_class
 from ..functions.ranking import average_ranks
@@ -221,7 +223,7 @@ def box_by_class(df: DataFrame, label: str, value: str) -> DataFrame:
     )
     inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
     return (
-        df.select(tag.alias("class"), x.alias("x")).join(bounds, "class")
+        join_few(df.select(tag.alias("class"), x.alias("x")), durable(bounds), "class")
         .groupBy("class", "q25", "median", "q75")
         .agg(F.count("x").alias("n"), F.min(F.when(inside, F.col("x"))).alias("lower"), F.max(F.when(inside, F.col("x"))).alias("upper"))
         .select("class", "n", round4(F.col("lower")).alias("lower_whisker"), round4(F.col("q25")).alias("q25"), round4(F.col("median")).alias("median"),

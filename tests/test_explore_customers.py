@@ -112,3 +112,48 @@ def test_results_do_not_depend_on_partitions(orders):
     mapping = C.resolve_mapping(orders.columns)
     runs = [sorted(map(tuple, C.rfm_table(orders.repartition(n), mapping).select("customer_id", "segment_name", "monetary").collect())) for n in (1, 17)]
     assert runs[0] == runs[1]
+
+
+def brute_force_ward(x, w, k):
+    """Always the two clusters whose union adds least to the sum of squares."""
+    groups = [([i], w[i], x[i]) for i in range(len(x))]
+    while len(groups) > k:
+        a, b = min(((a, b) for a in range(len(groups)) for b in range(a)), key=lambda p: groups[p[0]][1] * groups[p[1]][1] / (groups[p[0]][1] + groups[p[1]][1]) * ((groups[p[0]][2] - groups[p[1]][2]) ** 2).sum())
+        (m1, n1, c1), (m2, n2, c2) = groups[a], groups[b]
+        groups = [g for i, g in enumerate(groups) if i not in (a, b)] + [(m1 + m2, n1 + n2, (n1 * c1 + n2 * c2) / (n1 + n2))]
+    return {frozenset(m) for m, _, _ in groups}
+
+
+def test_ward_equals_brute_force():
+    from brightledger.functions.ward import cut_tree, merge_tree
+
+    rng = np.random.default_rng(12)
+    x, w = rng.normal(0, 1, (70, 3)), rng.integers(1, 9, 70).astype(float)
+    merges = merge_tree(x, w)
+    for k in (2, 3, 6, 20):
+        labels = cut_tree(merges, 70, k)
+        assert {frozenset(np.flatnonzero(labels == v)) for v in range(k)} == brute_force_ward(x, w, k)
+    heights = sorted(m[2] for m in merges)
+    assert len(merges) == 69 and sum(heights) * 1.0 == pytest.approx((w[:, None] * (x - np.average(x, axis=0, weights=w)) ** 2).sum())
+
+
+@pytest.mark.parametrize("most", [4000, 120])
+def test_ward_over_rows_and_over_cells(spark, most):
+    from brightledger.functions.ward import cut_tree, merge_tree, ward_labels
+
+    rng = np.random.default_rng(most)
+    x = np.concatenate([rng.normal(c, 0.3, (100, 3)) for c in (-4, 0, 5)])
+    x = np.concatenate([x, x[:20]])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(i=range(320)))
+    out, width = ward_labels(df, ["a", "b", "c"], [2, 3, 5], most)
+    got = out.orderBy("i").toPandas()
+    assert len(got) == 320 and (width == 0) == (most == 4000)
+    labels = np.stack(got["_labels"].to_numpy())
+    planted = np.r_[np.repeat([0, 1, 2], 100), np.zeros(20, int)]
+    assert len(set(zip(labels[:, 1], planted))) == 3
+    if most == 4000:
+        uniq, inverse, n = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+        merges = merge_tree(uniq, n)
+        for i, k in enumerate([2, 3, 5]):
+            want = cut_tree(merges, len(uniq), k)[inverse.ravel()]
+            assert len(set(zip(want, labels[:, i]))) == k

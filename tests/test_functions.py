@@ -112,3 +112,20 @@ def test_kinds_and_iso_text(spark):
     df = spark.createDataFrame([(True, "2024-01-02", "x1", "12")] * 6 + [(False, "soon", None, "13")], "b boolean, d string, s string, n string")
     assert iso_text_columns(df) == {"d"}
     assert column_kinds(df) == {"b": "numerical", "d": "datetime", "s": "categorical", "n": "categorical"}
+
+
+@pytest.mark.parametrize("class_rows,last", [(10**6, 100), (50, 20), (50, 5), (0, 1)])
+def test_quantiles_of_all_large_classes_together(spark, monkeypatch, class_rows, last):
+    from brightledger.functions import quantiles as Q
+
+    monkeypatch.setattr(Q, "LATTICE", 8)
+    rng = np.random.default_rng(class_rows + last)
+    pdf = pd.DataFrame({"c": rng.choice(["a", "b", "c", "d", None], 4000, p=[0.7, 0.2, 0.05, 0.04, 0.01]), "v": np.round(rng.normal(0, 3, 4000), 1)})
+    pdf.loc[rng.random(4000) < 0.05, "v"] = np.nan
+    pdf.loc[pdf["c"] == "b", "v"] = 7.0
+    pdf = pd.concat([pdf, pd.DataFrame({"c": ["one"], "v": [3.25]})])
+    df = spark.createDataFrame([(c, None if np.isnan(v) else float(v)) for c, v in zip(pdf["c"], pdf["v"])], "c string, v double").repartition(3)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["class"]: r["q"] for r in Q.quantiles_by_class(df, F.col("c"), F.col("v"), probs, class_rows, last).collect()}
+    want = pdf.dropna().groupby("c")["v"].quantile(probs).unstack()
+    assert set(got) == set(want.index) and all(np.allclose(got[c], want.loc[c]) for c in got)
