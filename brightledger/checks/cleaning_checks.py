@@ -56,6 +56,11 @@ def _fit_removed(s, d):
     return model.report(s)["removed"].select("column_name")
 
 
+def _fit_roles(s, d):
+    model, _ = K.fit(dirty_orders(s, d))
+    return model.report(s)["roles"]
+
+
 _I = f"WITH d AS {ITEMS_SQL}"
 _BOUNDS = f"""{_I}, q AS (SELECT quantile_cont(quantity, 0.25) AS q1q, quantile_cont(quantity, 0.75) AS q3q, quantile_cont(price, 0.25) AS q1p, quantile_cont(price, 0.75) AS q3p,
    median(quantity) AS mq, median(price) AS mp FROM d),
@@ -91,6 +96,7 @@ QUERIES = {
     "clean_transform_holdout": _holdout,
     "clean_fit_summary": _fit_report,
     "clean_fit_removed": _fit_removed,
+    "clean_fit_roles": _fit_roles,
 }
 
 _ONEHOT = ", ".join(f"CASE WHEN priority = '{p}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"priority_{p}\"" for p in _PRIORITIES)
@@ -104,6 +110,14 @@ _DATE_PARTS = {
 }
 
 ORACLES = {
+    "clean_fit_roles": f"""WITH d AS {DIRTY_SQL}, u AS (SELECT DISTINCT * FROM d)
+        SELECT 'order_key' AS column_name, CASE WHEN count(DISTINCT order_key) = count(*) THEN 'id' ELSE 'numerical' END AS role FROM u
+        UNION ALL SELECT 'customer', CASE WHEN typeof(any_value(customer)) IN ('BIGINT', 'INTEGER') THEN 'numerical' ELSE 'categorical' END FROM u
+        UNION ALL SELECT 'amount', CASE WHEN typeof(any_value(amount)) = 'DOUBLE' THEN 'numerical' ELSE 'categorical' END FROM u
+        UNION ALL SELECT 'ordered_at', CASE WHEN typeof(any_value(ordered_at)) LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'categorical' END FROM u
+        UNION ALL SELECT 'date_text', CASE WHEN count(TRY_CAST(date_text AS TIMESTAMP))::DOUBLE / count(date_text) > 0.8 THEN 'datetime' ELSE 'categorical' END FROM u
+        UNION ALL """ + " UNION ALL ".join(
+        f"SELECT '{c}', CASE WHEN count(TRY_CAST({c} AS DOUBLE))::DOUBLE / count({c}) > 0.9 THEN 'numerical' ELSE 'categorical' END FROM u" for c in ("priority", "status", "flag", "near_flag", "code_text")),
     "dedupe_rows": f"WITH d AS {DIRTY_SQL} SELECT DISTINCT * FROM d",
     "coerce_numeric": f"WITH d AS {DIRTY_SQL} SELECT order_key, TRY_CAST(code_text AS DOUBLE) AS code_text FROM d",
     "parse_dates": f"WITH d AS {DIRTY_SQL} SELECT order_key, TRY_CAST(date_text AS TIMESTAMP) AS date_text FROM d",

@@ -54,6 +54,7 @@ class CleaningConfig:
     category_fill_value: str = "Unknown"
     encoding: str = "onehot"           # onehot, ordinal, none
     onehot_form: str = "columns"       # columns (one per category), vector (one per column; for very many categories)
+    max_columns: int = 10_000          # columns form: more categories in all raise, before any of them is read
     max_categories: int = 256          # ordinal codes of more categories are looked up in a table; the codes are the same
 
 
@@ -422,6 +423,11 @@ def _fit_categories(work: DataFrame, model: CleaningModel) -> None:
     distinct = {c: summary[c]["distinct_count"] if c in summary else 0 for c in categories}
     if cfg.encoding == "onehot":
         small = categories if cfg.onehot_form == "columns" else []
+        wide = sum(distinct[c] for c in small)
+        if wide > cfg.max_columns:
+            counts.unpersist()
+            most = max(small, key=lambda c: distinct[c])
+            raise ValueError(f"{wide} categories ({distinct[most]} of them in {most}) are too many columns; use onehot_form='vector' or raise max_columns")
     else:
         small = [c for c in categories if distinct[c] <= cfg.max_categories]
     for c in small:

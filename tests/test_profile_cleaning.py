@@ -136,3 +136,16 @@ def test_drop_strategy(spark):
     df = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.0, None), (4.0, "b")], "x double, s string")
     model, cleaned = K.fit(df, K.CleaningConfig(numeric_fill="drop", category_fill="drop", outlier_action="none"))
     assert cleaned.count() == 2 == model.rows_out
+
+
+def test_too_many_categories_for_columns_are_refused(spark):
+    from brightledger.operators.cleaning import CleaningConfig, fit
+
+    df = spark.range(300).select((F.col("id") % 7).cast("double").alias("x"), F.concat(F.lit("w"), F.col("id") % 120).alias("word"), F.concat(F.lit("k"), F.col("id") % 3).alias("kind"))
+    with pytest.raises(ValueError, match="word"):
+        fit(df, CleaningConfig(max_columns=100))
+    model, cleaned = fit(df, CleaningConfig(max_columns=100, onehot_form="vector"))
+    assert "word_onehot" in cleaned.columns and model.dictionaries["word"][1] == 120
+    assert len(fit(df, CleaningConfig(max_columns=123))[1].columns) == 1 + 123
+    unseen = model.transform(spark.createDataFrame([(1.0, "never", "k1")], "x double, word string, kind string")).first()
+    assert unseen["word_onehot"].numNonzeros() == 0 and unseen["kind_onehot"].numNonzeros() == 1
