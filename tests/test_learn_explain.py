@@ -239,3 +239,18 @@ def test_explanations_are_ranked(classes):
     sizes = [abs(c["contribution"]) for c in row["contributions"]]
     assert sizes == sorted(sizes, reverse=True) and len(row["top_positive"]) <= 3
     assert all(c["contribution"] < 0 for c in row["top_negative"])
+
+
+def test_tree_shap_works_out_each_cell_once(spark, monkeypatch):
+    """Rows between the same thresholds share one computation, wherever they lie."""
+    from brightledger.functions.trees import leaf_paths, model_trees, shap_values
+
+    df = spark.range(4000).selectExpr("id + 0.5D AS a", "CAST(id % 7 AS DOUBLE) AS b", "CAST(id > 1500 AND id % 7 > 2 AS INT) AS t").repartition(5)
+    rows, features, model, _ = X.surrogate(df, "t", trees=2, depth=2)
+    asked, join = [], X.join_few
+    monkeypatch.setattr(X, "join_few", lambda r, known, on: asked.append(known.count()) or join(r, known, on))
+    got = X.tree_shap(rows, features, model)
+    assert got.columns == [*rows.columns, "xs", "phi", "base"] and 2 <= asked[0] <= 49
+    out = got.toPandas()
+    want = shap_values(leaf_paths(model_trees(model, spark)), np.stack(out["xs"].to_numpy()))
+    assert len(out) == 4000 and np.allclose(np.stack(out["phi"].to_numpy()), want)
