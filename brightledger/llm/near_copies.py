@@ -1,7 +1,9 @@
-"""Near copies by the exact similarity of their word shingles, with prefix filtering.
+"""Near copies: SimHash links, confirmed by the exact similarity of word shingles, and prefix filtering for what they miss.
 
 Two texts are linked if they share at least PERCENT of the shingles of either (Jaccard), shingles being SIZE consecutive
-words with A-Z in lower case. SimHash cannot decide this: pairs at 80 % differ in up to 20 of its 64 bits. Instead all
+words with A-Z in lower case. Texts are first linked by SimHash (`simhash`: fingerprints of these shingles, covering hashing
+within its radius), and every such link is confirmed on the whole sets. SimHash alone cannot decide this: pairs at 80 %
+differ in up to 20 of its 64 bits. So prefix filtering goes on from the groups found, between texts of different groups: all
 shingles have one order, and a text of n shingles is found under its first n - ceil(PERCENT * n) + 1: two linked texts
 share at least one of these, so no link is missed. Any order will do. Shingles that a sample of the texts (1 in SAMPLE)
 shows in many of them come last, which keeps common passages from making large buckets; the sample decides nothing else.
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import simhash, tokens, words
 from .components import components
-from .durable import table
+from .durable import cut, release, table
 
 SIZE, PERCENT = 5, 80
 #: Shingles met in OFTEN texts of the sample are common; at most COMMON of them, the most frequent ones, come last.
@@ -77,7 +79,10 @@ def common_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
-    """g (hash of the set), least (smallest id and a hash of its text), n and prefix of every distinct set of shingles."""
+    """g (hash of the set), least (smallest id and a hash of its text), n, prefix and SimHash of every distinct set of shingles.
+
+    Texts of one set may repeat its shingles differently; the smallest of their fingerprints stands for them.
+    """
     by_hash = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash + 1))
 
@@ -98,10 +103,21 @@ def _nodes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> Data
             keep = np.arange(len(h)) - first[owner] < length[owner]
             bounds = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
             prefix = pa.ListArray.from_arrays(bounds, pa.array(h[keep].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64)), prefix], ["id", "h", "g", "n", "prefix"])
+            fp = pa.array(simhash.fingerprints_of(b.column("text"), size).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64)), fp, prefix], ["id", "h", "g", "n", "fp", "prefix"])
+
+    rows = docs.select("id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "id long, h long, g long, n long, fp long, prefix array<long>")
+    return table(rows.groupBy("g").agg(F.min(F.struct("id", "h")).alias("least"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("prefix").alias("prefix")))
 
-    rows = docs.select("id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "id long, h long, g long, n long, prefix array<long>")
-    return table(rows.groupBy("g").agg(F.min(F.struct("id", "h")).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes that SimHash links: of equal fingerprints with the first of them, and these firsts within the radius."""
+    firsts = nodes.groupBy("fp").agg(F.min("g").alias("first"))
+    equal = nodes.join(firsts, "fp").select(F.col("g").alias("a"), F.col("first").alias("b")).where("a <> b")
+    near = simhash.links(cut(nodes.select("fp").distinct()))
+    for end in "ab":
+        near = near.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_g")), end)
+    return table(equal.union(near.select("a_g", "b_g")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -136,18 +152,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def grouped(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """least (id, h) and root of every distinct set of shingles of docs (id long, text); links connect nodes of one root."""
     nodes = _nodes(docs, common_shingles(docs, size), size, percent)
+    linked = _simhash_pairs(nodes)
+    asked = linked.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(nodes.select("g", "least.*"), "g")
+    copies = _confirmed(linked, _sets(docs, asked, size), percent)
+    near = table(components(copies)).withColumnRenamed("node", "g")
+    release()
     rest = (F.col("n") - F.col("pos") - 1).alias("rest")
-    rows = nodes.select("g", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.struct("g", "n", rest).alias("x"))
+    rows = nodes.join(near, "g", "left").select("g", "n", F.coalesce("root", "g").alias("root"), F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.select("token", "root", F.struct("g", "n", rest).alias("x"))
     # A bucket's pivots are its nodes of smallest and largest draw, kept as longs so that minima combine on the map side.
+    # Buckets inside one group have nothing left to tell.
     rows = rows.withColumn("draw", F.col("x.g").bitwiseXOR(F.xxhash64("token")))
-    pivots = rows.groupBy("token").agg(F.min("draw").alias("lo"), F.max("draw").alias("hi")).where("lo <> hi")
-    buckets = table(rows.join(pivots, "token"))
+    pivots = rows.groupBy("token").agg(F.min("draw").alias("lo"), F.max("draw").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    buckets = table(rows.join(table(pivots.where("r0 <> r1").select("token", "lo", "hi")), "token"))
     wanted = buckets.select("x.g").distinct().join(nodes.select("g", "least.*"), "g")
     sets = _sets(docs, wanted, size)
-    chosen = buckets.where("draw = lo OR draw = hi").select("token", F.col("x").alias("y")).distinct()
-    held = buckets.select("token", "x").join(chosen, "token").where(_may_link(F.col("x"), F.col("y"), percent))
+    least = table(nodes.select("g", "least"))
+    release(nodes)
+    chosen = buckets.where("draw = lo OR draw = hi").select("token", F.col("root").alias("other"), F.col("x").alias("y")).distinct()
+    held = buckets.select("token", "root", "x").join(chosen, "token").where((F.col("root") != F.col("other")) & _may_link(F.col("x"), F.col("y"), percent))
     first = table(held.select(*_pairs(F.col("x"), F.col("y"))).distinct())
-    roots = table(components(_confirmed(first, sets, percent)))
+    roots = table(components(copies.union(_confirmed(first, sets, percent))))
+    release()
     # Nodes of a bucket that are still apart.
     now = buckets.select("token", "x", F.col("x.g").alias("node")).join(roots, "node", "left").select("token", "x", F.coalesce("root", "node").alias("root"))
     ends = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 3")
@@ -155,6 +181,7 @@ def grouped(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     other = live.select("token", F.col("x").alias("y"), F.col("root").alias("other"))
     apart = live.join(other, "token").where((F.col("x.g") < F.col("y.g")) & (F.col("root") != F.col("other")) & _may_link(F.col("x"), F.col("y"), percent))
     second = table(apart.select(*_pairs(F.col("x"), F.col("y"))).distinct().join(first, ["a", "b"], "left_anti"))
+    release(buckets, live)
     # What these links join are the groups found so far, so the contraction goes on from their roots.
     later = _confirmed(second, sets, percent)
     for end in "ab":
@@ -164,7 +191,7 @@ def grouped(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     step = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
     all_roots = roots.join(step, "root", "left").select(F.col("node").alias("g"), F.coalesce("next", "root").alias("root"))
     single = joined.join(roots, "node", "left_anti").select(F.col("node").alias("g"), "root")
-    return nodes.join(all_roots.union(single), "g", "left").select("least", F.coalesce("root", "g").alias("root"))
+    return least.join(all_roots.union(single), "g", "left").select("least", F.coalesce("root", "g").alias("root"))
 
 
 def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

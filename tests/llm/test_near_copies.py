@@ -93,3 +93,16 @@ def test_different_texts_under_one_id_stay(spark):
     df = spark.createDataFrame(SAME_IDS + SAME_IDS[:3], "doc_id long, text string, lang string").repartition(3)
     got = sorted((r["text"] for r in near_copies.representatives(df).collect()))
     assert got == sorted(t for _, t, _ in SAME_IDS)
+
+
+def test_simhash_links_join_copies_by_themselves(spark, monkeypatch):
+    """Without prefix filtering SimHash joins what lies in its radius, if the sets confirm it."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    long = [f"w{rnd.randrange(9000)}" for _ in range(3000)]
+    edited = long[:1500] + ["other"] + long[1501:]
+    rows = [(1, " ".join(long)), (2, " ".join(edited)), (3, "one two three"), (4, "four five six seven eight nine"), (5, " ".join(rnd.sample(long, 50)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "_may_link", lambda x, y, percent: F.lit(False))
+    assert sorted(r["doc_id"] for r in near_copies.representatives(df).collect()) == [1, 3, 4, 5]
