@@ -74,10 +74,14 @@ def _cell(columns: list[str], width: float) -> Column:
 def ward_labels(points: DataFrame, columns: list[str], ks: list[int], most: int = MAX_FEATURES) -> tuple[DataFrame, float]:
     """points with ``_labels``, the label of every row for each number of clusters, and the width of the cells (0: equal points)."""
     widths = [0.0, *(FIRST_WIDTH * 2**i for i in range(40))]
-    sizes = points.agg(*[F.approx_count_distinct(_cell(columns, w), 0.02).alias(f"w{i}") for i, w in enumerate(widths)]).first()
-    for width, rough in zip(widths, sizes):
-        if rough > 1.1 * most:
-            continue
+    # Cells of one width lie in those of the next, so their number only falls: halving finds the first that may do, at one
+    # sketch a pass.
+    low, high = 0, len(widths)
+    while low < high:
+        middle = (low + high) // 2
+        rough = points.agg(F.approx_count_distinct(F.xxhash64(_cell(columns, widths[middle])), 0.02)).first()[0]
+        low, high = (middle + 1, high) if rough > 1.1 * most else (low, middle)
+    for width in widths[low:]:
         features = durable(points.groupBy(_cell(columns, width).alias("_cell")).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in columns]).alias("centre")))
         if features.count() <= most:
             break

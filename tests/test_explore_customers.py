@@ -157,3 +157,16 @@ def test_ward_over_rows_and_over_cells(spark, most):
         for i, k in enumerate([2, 3, 5]):
             want = cut_tree(merges, len(uniq), k)[inverse.ravel()]
             assert len(set(zip(want, labels[:, i]))) == k
+
+
+def test_ward_finds_its_width_without_a_sketch_per_width(spark, monkeypatch):
+    from brightledger.functions import ward
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (400, 2))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])).persist()
+    asked = []
+    monkeypatch.setattr(ward, "_cell", lambda columns, width, cell=ward._cell: asked.append(width) or cell(columns, width))
+    _, width = ward.ward_labels(df, ["a", "b"], [2], 50)
+    fits = [w for w in (ward.FIRST_WIDTH * 2**i for i in range(40)) if len(np.unique(np.floor(x / w), axis=0)) <= 50]
+    assert width == fits[0] and len(asked) <= 12
