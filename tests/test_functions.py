@@ -129,3 +129,12 @@ def test_quantiles_of_all_large_classes_together(spark, monkeypatch, class_rows,
     got = {r["class"]: r["q"] for r in Q.quantiles_by_class(df, F.col("c"), F.col("v"), probs, class_rows, last).collect()}
     want = pdf.dropna().groupby("c")["v"].quantile(probs).unstack()
     assert set(got) == set(want.index) and all(np.allclose(got[c], want.loc[c]) for c in got)
+
+
+def test_compact_holds_the_partitions_to_the_rows(spark):
+    from brightledger.functions.layout import compact
+
+    # More partitions than cores are left, and still no more than the rows ask for.
+    df = spark.range(0, 1000, 1, 64)
+    assert compact(df, rows_per_task=50).rdd.getNumPartitions() == 21
+    assert compact(df, 1000, 1).rdd.getNumPartitions() == 64
