@@ -238,13 +238,18 @@ def _heaps(grown: list, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def _mean_depth(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """Mean path length of every row over all trees."""
-    total, rows = np.zeros(len(x)), np.arange(len(x))
-    inner = feature.shape[1]
+    total = np.zeros(len(x))
+    if not len(x):
+        return total
+    inner, width = feature.shape[1], x.shape[1]
+    flat, first = x.ravel(), np.arange(len(x)) * width
     for f, c, d in zip(feature, cut, depth):
-        at = np.zeros(len(x), np.int64)
-        while at.size and at[0] < inner:
-            at = 2 * at + 1 + ~(x[rows, f[at]] <= c[at])
-        total += d[at - inner]
+        # All rows are at the root first. What is not left of a cut, gaps too, goes right; "clip" spares the check of indices.
+        at = 2 - (flat[f[0] :: width] <= c[0]).astype(np.int64)
+        while at[0] < inner:
+            left = flat.take(first + f.take(at, mode="clip"), mode="clip") <= c.take(at, mode="clip")
+            at = 2 * at + 2 - left
+        total += d.take(at - inner, mode="clip")
     return total / max(1, len(feature))
 
 
