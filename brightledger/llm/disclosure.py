@@ -101,7 +101,7 @@ def term_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """term (hash) and n_term, the number of different texts that hold it."""
 
     def run(batches):
-        for b in tokens.slices(batches, name=text_column):
+        for b in tokens.slices(batches, words.SLICE, text_column):
             w = words.find_words(b.column(0))
             start, end, h = _terms(w)
             some = end > start
@@ -164,7 +164,7 @@ def _base_and_context(docs: DataFrame) -> DataFrame:
     longs = pa.list_(pa.int64())
 
     def run(batches):
-        for b in tokens.slices(batches):
+        for b in tokens.slices(batches, words.SLICE):
             found = [base_spans(t) for t in tokens.text_column(b)]
             some = [i for i, f in enumerate(found) if f]
             near, entities, terms = ([[] for _ in found] for _ in range(3))
@@ -189,7 +189,7 @@ def _with_terms(found: DataFrame) -> DataFrame:
     span_type = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))
 
     def run(batches):
-        for b in tokens.slices(batches):
+        for b in tokens.slices(batches, words.SLICE):
             spans, flags = b.column("base").to_pylist(), b.column("flags").to_pylist()
             some = [i for i, f in enumerate(flags) if f]
             if some:
@@ -258,7 +258,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for b in tokens.slices(batches, name=at):
+        for b in tokens.slices(batches, words.SLICE, at):
             spans = b.column(b.num_columns - 1).to_pylist()
             texts = [rewrite(t, s) if s else t for t, s in zip(b.column(at).to_pylist(), spans)]
             columns = [b.column(i) for i in range(b.num_columns - 1)]

@@ -56,7 +56,7 @@ def common_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
     """Hashes of shingles that many texts hold, the rarest first."""
 
     def run(batches):
-        for b in tokens.slices(batches):
+        for b in tokens.slices(batches, words.SLICE):
             h, n = np.unique(shingles_of(b.column("text"), size)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
@@ -88,7 +88,7 @@ def _nodes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> Data
 
     def run(batches):
         known, rank = shared.value
-        for b in tokens.slices(batches):
+        for b in tokens.slices(batches, words.SLICE):
             owner, h = shingles_of(b.column("text"), size)
             n = np.bincount(owner, minlength=b.num_rows)
             first = np.concatenate([[0], np.cumsum(n)])
@@ -124,7 +124,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """g and set, all shingles, of the wanted nodes (g, id, h)."""
 
     def run(batches):
-        for b in tokens.slices(batches):
+        for b in tokens.slices(batches, words.SLICE):
             owner, h = shingles_of(b.column("text"), size)
             bounds = pa.array(np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("g"), pa.ListArray.from_arrays(bounds, pa.array(h.view(np.int64)))], ["g", "set"])

@@ -121,7 +121,7 @@ def _pieces(keyed: DataFrame, window: int) -> DataFrame:
     """a (anchor), p (content), _d and the place at of every piece."""
 
     def run(batches):
-        for b in tokens.slices(batches, name="_t"):
+        for b in tokens.slices(batches, words.SLICE, "_t"):
             w = words.find_words(b.column("_t"))
             h = w.hashes()
             start, n, anchor = _anchors(w, h, window)
@@ -158,7 +158,7 @@ def _reference(open_docs: DataFrame, window: int) -> DataFrame:
     """a, _d, tag, s, hot and the word hashes of the pieces that are still undecided: 32 bits a word, many words a window."""
 
     def run(batches):
-        for b in tokens.slices(batches, name="_t"):
+        for b in tokens.slices(batches, words.SLICE, "_t"):
             w = words.find_words(b.column("_t"))
             h, tags = w.hashes(), _tags(w).tolist()
             rows = []
@@ -250,7 +250,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     all_docs = keyed.join(repeats, "_d", "left")
 
     def run(batches):
-        for b in tokens.slices(batches, name="_t"):
+        for b in tokens.slices(batches, words.SLICE, "_t"):
             w = words.find_words(b.column("_t"))
             raw, n, removed, digest = w.buffer.tobytes(), np.diff(w.first), [], []
             tags = _tags(w).tolist()
@@ -283,7 +283,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for b in tokens.slices(batches, name=at):
+        for b in tokens.slices(batches, words.SLICE, at):
             texts = b.column(at).to_pylist()
             w = words.find_words(b.column(at))
             tags = _tags(w).tolist()

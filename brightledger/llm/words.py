@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of text whose words are looked at together: positions and hashes take dozens of times as much memory.
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -39,7 +41,10 @@ def _powers(n: int, inverse: bool = False) -> np.ndarray:
 def hash_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of values[start:end] for every pair of bounds."""
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers(len(values)), out=sums[1:])
+    # One array holds the terms and then their sums.
+    np.add(values, np.uint64(1), out=sums[1:], dtype=np.uint64, casting="unsafe")
+    sums[1:] *= _powers(len(values))
+    np.cumsum(sums[1:], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _powers(len(values) + 1, True)[starts])
 
 

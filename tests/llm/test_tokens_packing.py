@@ -140,3 +140,19 @@ def test_ids_of_other_types(spark):
         df = spark.createDataFrame([(value, "some words"), (None, None)], f"doc_id {kind}, text string")
         rows = packing.pack_documents(df, bpe.default_path()).collect()
         assert {r["doc_id"] for r in rows} == {value, None} and dict(packing.pack_documents(df, bpe.default_path()).dtypes)["doc_id"] == df.dtypes[0][1]
+
+
+def test_word_hashes_need_one_array_beside_the_powers():
+    import tracemalloc
+
+    from brightledger.llm import words
+
+    raw, at = np.resize(np.arange(97, 123, dtype=np.uint8), words.SLICE), np.arange(0, 1000)
+    want = words.hash_ranges(raw[:2000].copy(), at, at + 5)  # a range's hash does not depend on what follows it
+    words.hash_ranges(raw, at, at + 5)
+    tracemalloc.start()
+    got = words.hash_ranges(raw, at, at + 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all()
+    assert peak < 1.25 * 8 * len(raw)
