@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from math import isfinite
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -236,14 +237,19 @@ def correlated_columns(df: DataFrame, columns: list[str], threshold: float = 0.9
     return out
 
 
+def _fences(quartiles: dict[str, list[float | None]], k: float) -> dict[str, tuple[float, float]]:
+    """Bounds k quartile ranges outside the first and the last of a column's quartiles."""
+    q = {c: (v[0], v[-1]) for c, v in quartiles.items() if v[0] is not None}
+    return {c: (a - k * (b - a), b + k * (b - a)) for c, (a, b) in q.items() if b != a}
+
+
 def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", k: float = 1.5) -> dict[str, tuple[float, float]]:
     """Lower and upper bound per column; columns without spread are left out."""
     if not columns:
         return {}
     views = {c: as_number(df, c) for c in columns}
     if method == "iqr":
-        q = {c: v for c, v in quantiles(df, views, [0.25, 0.75]).items() if v[0] is not None}
-        return {c: (a - k * (b - a), b + k * (b - a)) for c, (a, b) in q.items() if b != a}
+        return _fences(quantiles(df, views, [0.25, 0.75]), k)
     row = df.agg(*[F.struct(F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).alias(f"s{i}") for i, x in enumerate(views.values())]).first()
     return {c: (row[i]["m"] - k * row[i]["s"], row[i]["m"] + k * row[i]["s"]) for i, c in enumerate(columns) if row[i]["s"]}
 
@@ -333,8 +339,16 @@ def fit(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> tuple[Clean
         numbers = [c for c in numbers if c not in {t[0] for t in twins}]
 
     model.numbers, model.categories = numbers, categories
+    middle: dict[str, float | None] = {}
     if cfg.outlier_method != "none" and cfg.outlier_action != "none" and numbers:
-        model.bounds = outlier_bounds(work, numbers, cfg.outlier_method, cfg.outlier_threshold)
+        # Clipping at half a quartile range or more outside the quartiles moves no median, so it comes from the same passes.
+        if cfg.outlier_method == "iqr" and cfg.outlier_action == "clip" and cfg.outlier_threshold >= 0.5 and cfg.numeric_fill == "median" and cfg.category_fill != "drop":
+            q = quantiles(work, {c: as_number(work, c) for c in numbers}, [0.25, 0.5, 0.75])
+            model.bounds = _fences(q, cfg.outlier_threshold)
+            if all(v is None or isfinite(v) for three in q.values() for v in three):
+                middle = {c: v[1] for c, v in q.items()}
+        else:
+            model.bounds = outlier_bounds(work, numbers, cfg.outlier_method, cfg.outlier_threshold)
         if model.bounds:
             hit = work.agg(*[F.count_if(model.is_outlier(c)).alias(f"o{i}") for i, c in enumerate(model.bounds)]).first()
             touched = [c for i, c in enumerate(model.bounds) if hit[i]]
@@ -352,7 +366,7 @@ def fit(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> tuple[Clean
         work = work.na.drop("any", subset=numbers)
     if cfg.category_fill == "drop" and categories:
         work = work.na.drop("any", subset=categories)
-    _fit_numbers(work, model)
+    _fit_numbers(work, model, middle)
     _fit_categories(work, model)
     model.kept = [c for c in work.columns if c not in numbers and c not in categories and c not in model.removed]
     if numbers or categories:
@@ -371,7 +385,8 @@ def _filter_raw(df: DataFrame, model: CleaningModel, condition: Column) -> DataF
     return prepared.where(condition).select("_raw.*")
 
 
-def _fit_numbers(work: DataFrame, model: CleaningModel) -> None:
+def _fit_numbers(work: DataFrame, model: CleaningModel, middle: dict[str, float | None] | None = None) -> None:
+    """``middle``: the medians, if they are known already."""
     cfg, numbers = model.config, model.numbers
     if not numbers:
         return
@@ -386,7 +401,7 @@ def _fit_numbers(work: DataFrame, model: CleaningModel) -> None:
             best = work.groupBy(seen[c].alias("v")).agg(F.count(F.lit(1)).alias("n")).where("v is not null").agg(F.min_by("v", F.struct((-F.col("n")).alias("a"), F.col("v").alias("b"))))
             model.fills[c] = best.first()[0]
     elif cfg.numeric_fill == "median":
-        model.fills.update(medians(work, seen))
+        model.fills.update(middle or medians(work, seen))
     full = {c: F.coalesce(x, F.lit(model.fills[c])) if model.fills.get(c) is not None else x for c, x in seen.items()}
     if cfg.scaling == "standard":
         row = work.agg(*[F.struct(F.avg(x).alias("a"), F.stddev_pop(x).alias("b")).alias(f"s{i}") for i, x in enumerate(full.values())]).first()

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.columns import as_number, is_number, literal_rows, ref
-from ..functions.durable import durable
+from ..functions.durable import durable, ensure_checkpoint_dir
 from ..functions.joins import frequent_values, lookup_join
 from ..functions.layout import compact
 from ..functions.ranking import hash_positions, positions, ranked_counts, slice_cuts
@@ -360,12 +360,15 @@ def train(df: DataFrame, config: TrainingConfig) -> Training:
     key = list(config.key) or [c for c in rows.columns if c != target]
     inputs = [c for c in rows.columns if c != target]
     parts = split(rows.withColumn("label", label), key, "label" if task == CLASSIFICATION else None, config.test_size, config.val_size, config.seed)
+    # The order of the folds is counted before its rows are numbered, and the split should not run for both.
+    split_rows = parts.persist(StorageLevel.MEMORY_AND_DISK) if config.folds > 1 else parts
     # Folds are dealt among training rows only: each part and class is a group of its own.
-    strata = parts.withColumn("_stratum", F.concat_ws("|", "part", F.col("label").cast("string") if task == CLASSIFICATION else F.lit("")))
+    strata = split_rows.withColumn("_stratum", F.concat_ws("|", "part", F.col("label").cast("string") if task == CLASSIFICATION else F.lit("")))
     parts = fold_column(strata, key, config.folds, config.seed, "_stratum").drop("_stratum").persist(StorageLevel.MEMORY_AND_DISK)
 
     from dataclasses import replace
     cleaner, _ = fit_cleaning(parts.where("part = 'train'").select(*[ref(c) for c in inputs]), replace(config.cleaning, remove_duplicates=False))
+    split_rows.unpersist()  # `parts` was written by then
     features = [c for c in cleaner.feature_names if c not in cleaner.kept or cleaner.roles.get(c) == "id" and is_number(df.schema[c].dataType)]
     # Label, part and fold ride along as pass-through columns, so the rows stay matched to their labels.
     cleaner_with_labels = replace(cleaner, kept=cleaner.kept + ["label", "part", "fold"])
@@ -384,6 +387,8 @@ def train(df: DataFrame, config: TrainingConfig) -> Training:
     chosen = [m for m in known if not config.models or m in config.models]
     if not chosen:
         raise ValueError(f"no known model for {task} among {config.models}")
+    if {"gradient_boosting", "boosted_alt"} & set(chosen):
+        ensure_checkpoint_dir(spark)  # boosting cuts its lineage, a step a round, only where there is such a folder
     for name in chosen:
         start, params = time.time(), {}
         if config.tuning:

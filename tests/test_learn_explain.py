@@ -254,3 +254,20 @@ def test_tree_shap_works_out_each_cell_once(spark, monkeypatch):
     out = got.toPandas()
     want = shap_values(leaf_paths(model_trees(model, spark)), np.stack(out["xs"].to_numpy()))
     assert len(out) == 4000 and np.allclose(np.stack(out["phi"].to_numpy()), want)
+
+
+def test_pairs_of_one_pass_are_few(spark, monkeypatch):
+    from brightledger.functions import moments
+
+    asked = []
+    monkeypatch.setattr(moments, "pearson", lambda x, y, real=moments.pearson: asked.append(1) or real(x, y))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 6))
+    x[:, 3] += x[:, 0]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcdef")))
+    passes = []
+    monkeypatch.setattr(type(df), "agg", lambda self, *c, real=type(df).agg: passes.append(len(c)) or real(self, *c))
+    found = moments.pair_correlations(df, list("abcdef"))
+    assert max(passes) <= moments.PASS_PAIRS and sum(passes) == len(asked) == 15
+    for (a, b), r in found.items():
+        assert r == pytest.approx(np.corrcoef(x[:, ord(a) - 97], x[:, ord(b) - 97])[0, 1])

@@ -149,3 +149,18 @@ def test_too_many_categories_for_columns_are_refused(spark):
     assert len(fit(df, CleaningConfig(max_columns=123))[1].columns) == 1 + 123
     unseen = model.transform(spark.createDataFrame([(1.0, "never", "k1")], "x double, word string, kind string")).first()
     assert unseen["word_onehot"].numNonzeros() == 0 and unseen["kind_onehot"].numNonzeros() == 1
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 1.5])
+def test_fills_of_clipped_numbers_are_their_medians(spark, monkeypatch, threshold):
+    from brightledger.operators import cleaning
+
+    asked, real = [], cleaning.quantiles
+    monkeypatch.setattr(cleaning, "quantiles", lambda df, columns, probs: asked.append(probs) or real(df, columns, probs))
+    monkeypatch.setattr(cleaning, "medians", lambda df, columns: asked.append([0.5]) or {c: v[0] for c, v in real(df, columns, [0.5]).items()})
+    rows = [(float(i * i % 97), float(-i) if i % 3 else None, 1e9 if i % 11 == 0 else float(i % 5)) for i in range(60)]
+    model, _ = cleaning.fit(spark.createDataFrame(rows, "x double, y double, z double"), cleaning.CleaningConfig(remove_duplicates=False, outlier_threshold=threshold))
+    for i, c in enumerate("xyz"):
+        lo, hi = model.bounds.get(c, (-np.inf, np.inf))
+        assert model.fills[c] == np.median(np.clip([r[i] for r in rows if r[i] is not None], lo, hi))
+    assert len(asked) == (1 if threshold >= 0.5 else 2)
