@@ -144,6 +144,16 @@ def unpack(data: bytes, n: int, count: int) -> list[np.ndarray]:
 # Chunks
 
 
+def word_hashes(texts: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the number of words of every text; a chunk's bytes are not looked at all together."""
+    hashes, lengths = [], []
+    for b in tokens.slices([texts], words.SLICE):
+        w = words.find_words(b.column("text"))
+        hashes.append(words.hash_ranges(_LOWER[w.buffer], w.start, w.end))
+        lengths.append(np.diff(w.first).astype(np.int64))
+    return np.concatenate(hashes), np.concatenate(lengths)
+
+
 def chunked(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", size: int = CHUNK) -> DataFrame:
     """chunk, ids, held, lengths (words of each text), dictionary (hashes in order) and tokens (places in it) of runs of texts."""
     id_type = docs.schema[id_column].dataType.simpleString()
@@ -151,8 +161,8 @@ def chunked(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_c
     def run(batches):
         made = 0
         for b in tokens.slices(batches, size):
-            w = words.find_words(b.column("text"))
-            known, place = _distinct(words.hash_ranges(_LOWER[w.buffer], w.start, w.end))
+            hashes, lengths = word_hashes(b)
+            known, place = _distinct(hashes)
             # Frequent words first: small numbers take less room.
             order = np.argsort(-np.bincount(place, minlength=len(known)), kind="stable")
             rank = np.empty(len(order), np.int64)
@@ -164,7 +174,7 @@ def chunked(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_c
                     pa.array([(TaskContext.get().partitionId() << 32) + made]),
                     pa.ListArray.from_arrays(bounds, b.column("id")),
                     pa.ListArray.from_arrays(bounds, b.column("held")),
-                    pa.ListArray.from_arrays(bounds, pa.array(np.diff(w.first).astype(np.int64))),
+                    pa.ListArray.from_arrays(bounds, pa.array(lengths)),
                     pa.array([known.tobytes()]),
                     pa.array([pack([place])]),
                 ],

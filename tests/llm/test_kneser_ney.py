@@ -7,11 +7,12 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge_cases import EDGE, SAME_IDS
 from pyspark.sql import functions as F
 
-from brightledger.llm import kneser_ney as kn
+from brightledger.llm import kneser_ney as kn, words
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -144,6 +145,19 @@ def test_counts_of_any_size(tmp_path):
     assert kn.from_bytes(kn.to_bytes(keys, 1)).tolist() == [77 << 1, 78 << 1, (1 << 48) - 1] and len(kn.from_bytes(kn.to_bytes(keys[:0], 3))) == 0
 
 
+def test_words_of_a_chunk_are_hashed_by_slices(monkeypatch):
+    rows = [t for _, t in texts()] * 20
+    batch = pa.record_batch({"text": pa.array(rows, pa.string())})
+    w = words.find_words(batch.column("text"))
+    whole = words.hash_ranges(kn._LOWER[w.buffer], w.start, w.end)
+    looked_at, plain = [], words.hash_ranges
+    monkeypatch.setattr(words, "hash_ranges", lambda values, *ends: looked_at.append(len(values)) or plain(values, *ends))
+    monkeypatch.setattr(words, "SLICE", 4000)
+    hashes, lengths = kn.word_hashes(batch)
+    assert np.array_equal(hashes, whole) and np.array_equal(lengths, np.diff(w.first))
+    assert sum(looked_at) == len(w.buffer) > 10 * max(looked_at)
+
+
 def test_packed_columns():
     columns = [np.array([0, 5, 255]), np.array([70_000, 0, 1 << 40]), np.zeros(3, np.int64)]
     assert [c.tolist() for c in kn.unpack(kn.pack(columns), 3, 3)] == [c.tolist() for c in columns]
