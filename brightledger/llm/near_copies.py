@@ -10,7 +10,8 @@ shows in many of them come last, which keeps common passages from making large b
 
 Texts of the same shingles are one node. In a bucket every node is held against two pivots that the bucket draws, which
 joins a large group of near copies without all of its pairs; then nodes of a bucket that are not connected yet are held
-against each other. Every link is confirmed on the whole sets, so groups are those that all links would give.
+against each other, and pairs whose parities differ in more bits than linked sets can differ in shingles go at once. Every
+link is confirmed on the whole sets, so groups are those that all links would give.
 
 A text of fewer words than SIZE is one shingle. Null and empty texts and texts without words are one group. Repeated rows
 and null doc_ids are dealt with as `representatives` says. An empty table gives no rows.
@@ -29,6 +30,8 @@ from .durable import cut, release, table
 SIZE, PERCENT = 5, 80
 #: Shingles met in OFTEN texts of the sample are common; at most COMMON of them, the most frequent ones, come last.
 SAMPLE, OFTEN, COMMON = 4, 4, 200_000
+#: Words of 64 bits of the parities of a set.
+PARITY = 8
 
 
 def shingles_of(column: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +55,19 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
+def parities(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For every set of hashes, PARITY words: whether an odd number of them falls on each bit.
+
+    A shingle that only one of two sets holds changes one bit, so sets differ in at least as many shingles as bits.
+    """
+    bit, word = np.uint64(1) << (h >> np.uint64(58)), (h >> np.uint64(50)) % np.uint64(PARITY)
+    out = np.empty((len(first) - 1, PARITY), np.uint64)
+    for k in range(PARITY):
+        odd = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0)))])
+        out[:, k] = odd[first[1:]] ^ odd[first[:-1]]
+    return out
+
+
 def common_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
     """Hashes of shingles that many texts hold, the rarest first."""
 
@@ -79,7 +95,7 @@ def common_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
-    """g (hash of the set), least (smallest id and a hash of its text), n, prefix and SimHash of every distinct set of shingles.
+    """g (hash of the set), least (smallest id and a hash of its text), n, prefix, SimHash and parities of every distinct set of shingles.
 
     Texts of one set may repeat its shingles differently; the smallest of their fingerprints stands for them.
     """
@@ -94,6 +110,7 @@ def _nodes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> Data
             first = np.concatenate([[0], np.cumsum(n)])
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(h ^ np.uint64(simhash.SEED)), dtype=np.uint64)])
             g = words.mix(sums[first[1:]] - sums[first[:-1]])
+            odd = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * PARITY), pa.array(parities(h, first).view(np.int64).ravel()))
             late = np.zeros(len(h), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -104,10 +121,11 @@ def _nodes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> Data
             bounds = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
             prefix = pa.ListArray.from_arrays(bounds, pa.array(h[keep].view(np.int64)))
             fp = pa.array(simhash.fingerprints_of(b.column("text"), size).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64)), fp, prefix], ["id", "h", "g", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64)), fp, prefix, odd], ["id", "h", "g", "n", "fp", "prefix", "odd"])
 
-    rows = docs.select("id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "id long, h long, g long, n long, fp long, prefix array<long>")
-    return table(rows.groupBy("g").agg(F.min(F.struct("id", "h")).alias("least"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    rows = docs.select("id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "id long, h long, g long, n long, fp long, prefix array<long>, odd array<long>")
+    of_set = [F.first(c).alias(c) for c in ("n", "prefix", "odd")]
+    return table(rows.groupBy("g").agg(F.min(F.struct("id", "h")).alias("least"), F.min("fp").alias("fp"), *of_set))
 
 
 def _simhash_pairs(nodes: DataFrame) -> DataFrame:
@@ -120,8 +138,9 @@ def _simhash_pairs(nodes: DataFrame) -> DataFrame:
     return table(equal.union(near.select("a_g", "b_g")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """g and set, all shingles, of the wanted nodes (g, id, h)."""
+def _sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """g and set, all shingles, of the nodes in pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(nodes.select("g", "least.*"), "g")
 
     def run(batches):
         for b in tokens.slices(batches, words.SLICE):
@@ -139,6 +158,12 @@ def _may_link(x: Column, y: Column, percent: int) -> Column:
     return (x["g"] != y["g"]) & fits & ((100 + percent) * (1 + F.least(x["rest"], y["rest"])) >= percent * (x["n"] + y["n"]))
 
 
+def _odd_allow(x: Column, y: Column, total: Column, percent: int) -> Column:
+    """Whether the parities of two sets of so many shingles together allow a link."""
+    bits = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(PARITY)), F.lit(0))
+    return (100 + percent) * bits <= (100 - percent) * total
+
+
 def _pairs(x: Column, y: Column) -> list[Column]:
     return [F.least(x["g"], y["g"]).alias("a"), F.greatest(x["g"], y["g"]).alias("b")]
 
@@ -153,8 +178,7 @@ def grouped(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     """least (id, h) and root of every distinct set of shingles of docs (id long, text); links connect nodes of one root."""
     nodes = _nodes(docs, common_shingles(docs, size), size, percent)
     linked = _simhash_pairs(nodes)
-    asked = linked.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(nodes.select("g", "least.*"), "g")
-    copies = _confirmed(linked, _sets(docs, asked, size), percent)
+    copies = _confirmed(linked, _sets(docs, linked, nodes, size), percent)
     near = table(components(copies)).withColumnRenamed("node", "g")
     release()
     rest = (F.col("n") - F.col("pos") - 1).alias("rest")
@@ -165,25 +189,26 @@ def grouped(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     rows = rows.withColumn("draw", F.col("x.g").bitwiseXOR(F.xxhash64("token")))
     pivots = rows.groupBy("token").agg(F.min("draw").alias("lo"), F.max("draw").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     buckets = table(rows.join(table(pivots.where("r0 <> r1").select("token", "lo", "hi")), "token"))
-    wanted = buckets.select("x.g").distinct().join(nodes.select("g", "least.*"), "g")
-    sets = _sets(docs, wanted, size)
-    least = table(nodes.select("g", "least"))
-    release(nodes)
+    least = table(nodes.select("g", "least", "odd"))
+    release(nodes)  # and the shuffles of all prefixes, before texts are shuffled
     chosen = buckets.where("draw = lo OR draw = hi").select("token", F.col("root").alias("other"), F.col("x").alias("y")).distinct()
     held = buckets.select("token", "root", "x").join(chosen, "token").where((F.col("root") != F.col("other")) & _may_link(F.col("x"), F.col("y"), percent))
     first = table(held.select(*_pairs(F.col("x"), F.col("y"))).distinct())
-    roots = table(components(copies.union(_confirmed(first, sets, percent))))
+    sets = _sets(docs, first, least, size)
     release()
+    roots = table(components(copies.union(_confirmed(first, sets, percent))))
+    release(sets)
     # Nodes of a bucket that are still apart.
-    now = buckets.select("token", "x", F.col("x.g").alias("node")).join(roots, "node", "left").select("token", "x", F.coalesce("root", "node").alias("root"))
+    now = buckets.select("token", "x", F.col("x.g").alias("node")).join(roots, "node", "left").select("token", "x", "node", F.coalesce("root", "node").alias("root"))
     ends = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 3")
-    live = table(now.join(ends.select("token"), "token"))
-    other = live.select("token", F.col("x").alias("y"), F.col("root").alias("other"))
-    apart = live.join(other, "token").where((F.col("x.g") < F.col("y.g")) & (F.col("root") != F.col("other")) & _may_link(F.col("x"), F.col("y"), percent))
+    live = table(now.join(ends.select("token"), "token").join(least.select(F.col("g").alias("node"), "odd"), "node").drop("node"))
+    other = live.select("token", F.col("x").alias("y"), F.col("root").alias("other"), F.col("odd").alias("odd_y"))
+    alike = _may_link(F.col("x"), F.col("y"), percent) & _odd_allow(F.col("odd"), F.col("odd_y"), F.col("x.n") + F.col("y.n"), percent)
+    apart = live.join(other, "token").where((F.col("x.g") < F.col("y.g")) & (F.col("root") != F.col("other")) & alike)
     second = table(apart.select(*_pairs(F.col("x"), F.col("y"))).distinct().join(first, ["a", "b"], "left_anti"))
     release(buckets, live)
     # What these links join are the groups found so far, so the contraction goes on from their roots.
-    later = _confirmed(second, sets, percent)
+    later = _confirmed(second, _sets(docs, second, least, size), percent)
     for end in "ab":
         named = roots.select(F.col("node").alias(end), F.col("root").alias("_r"))
         later = later.join(named, end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")

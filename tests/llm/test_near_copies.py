@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from edge_cases import EDGE
 
@@ -70,6 +71,36 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, often):
     assert sorted(r["doc_id"] for r in near_copies.representatives(df).collect()) == sorted(want)
 
 
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
+    rnd = np.random.default_rng(5)
+    pool = rnd.integers(0, 1 << 64, 400, np.uint64)
+    sets = [np.zeros(0, np.uint64), *(rnd.choice(pool, k, replace=False) for k in rnd.integers(1, 400, 60))]
+    first = np.cumsum([0, *map(len, sets)])
+    odd = near_copies.parities(np.concatenate(sets), first)
+    assert odd.shape == (61, near_copies.PARITY) and not odd[0].any()
+    for a, x in zip(sets, odd):
+        for b, y in zip(sets, odd):
+            bits, differ = int(np.bitwise_count(x ^ y).sum()), len(np.setxor1d(a, b))
+            assert bits <= differ and (differ - bits) % 2 == 0
+    assert np.bitwise_count(odd[1] ^ odd[2]).sum() > 20
+
+
+def test_unlinked_texts_of_one_bucket_are_not_paired(spark, monkeypatch):
+    """Texts that share a quarter of their shingles meet in a bucket; few of their pairs may reach the sets."""
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passage = [word() for _ in range(40)]
+    rows = [(k, " ".join(passage + [word() for _ in range(30)])) for k in range(80)]
+    rows += [(100 + k, rows[k][1] + " more") for k in range(5)]
+    asked, plain = [], near_copies._confirmed
+    monkeypatch.setattr(near_copies, "_confirmed", lambda pairs, *a: asked.append(pairs.count()) or plain(pairs, *a))
+    # Positions alone let all of them through here, as they do where common shingles come early.
+    monkeypatch.setattr(near_copies, "_may_link", lambda x, y, percent: x["g"] != y["g"])
+    monkeypatch.setattr(near_copies, "prefix_length", lambda n, percent=80: n)
+    got = sorted(r["doc_id"] for r in near_copies.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == list(range(80)) and asked[-1] < 100
+
+
 def test_pipeline_stage_finds_pairs_that_differ_in_many_bits(spark):
     import corpus_pipeline
 
