@@ -138,3 +138,13 @@ def test_compact_holds_the_partitions_to_the_rows(spark):
     df = spark.range(0, 1000, 1, 64)
     assert compact(df, rows_per_task=50).rdd.getNumPartitions() == 21
     assert compact(df, 1000, 1).rdd.getNumPartitions() == 64
+
+
+def test_compact_holds_large_tables_to_a_few_partitions_a_core(spark):
+    from brightledger.functions.layout import compact
+
+    # 1,001 partitions of 100 rows would be 40 for each of 8 cores; they get ten times the rows.
+    df = spark.range(0, 100_000, 1, 200)
+    assert compact(df, rows_per_task=100).rdd.getNumPartitions() == 101
+    # And never so few that cores are idle.
+    assert compact(df, rows_per_task=2_500).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
