@@ -271,3 +271,16 @@ def test_pairs_of_one_pass_are_few(spark, monkeypatch):
     assert max(passes) <= moments.PASS_PAIRS and sum(passes) == len(asked) == 15
     for (a, b), r in found.items():
         assert r == pytest.approx(np.corrcoef(x[:, ord(a) - 97], x[:, ord(b) - 97])[0, 1])
+
+
+def test_the_surrogate_remembers_nodes_and_stays_the_same_forest(spark):
+    """Rows keep the node they are in from level to level, which changes no tree."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (600, 3))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(y=np.where(x[:, 0] * x[:, 1] > 0, "u", "v"))).coalesce(1)
+    rows, features, model, _ = X.surrogate(df, "y", trees=6, depth=5)
+    assert model.getCacheNodeIds()
+    plain = RandomForestClassifier(numTrees=6, maxDepth=5, seed=42, labelCol="label", featuresCol="features").fit(L.vectorise(rows, features, ["label"]).coalesce(1))
+    assert model.toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1]
